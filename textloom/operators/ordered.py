@@ -81,9 +81,11 @@ def running_totals(
     values: dict[str, Column],
     group_by: Sequence[str] = (),
     rows_per_cell: int = ROWS_PER_CELL,
+    keep_cell: bool = False,
 ) -> DataFrame:
     """Add, for each entry of ``values``, its inclusive running sum in key order
-    within the group. Other columns are carried along."""
+    within the group. Other columns are carried along. With ``keep_cell`` the
+    result stays hash-partitioned by group and ``_cell`` and keeps that column."""
     groups = list(group_by)
     named = {f"_v{i}": expr for i, expr in enumerate(values.values())}
     rows = add_cells(df, order_by, rows_per_cell)
@@ -107,7 +109,8 @@ def running_totals(
         rows.withColumns(sums)
         .join(offsets, same)
         .withColumns({out: F.col(n) + F.col(f"_o{n}") for out, n in zip(values, named)})
-        .drop(*named, *[f"_o{n}" for n in named], *[f"_o_{g}" for g in groups], "_o_cell", CELL)
+        .drop(*named, *[f"_o{n}" for n in named], *[f"_o_{g}" for g in groups], "_o_cell",
+              *([] if keep_cell else [CELL]))
     )
 
 
@@ -122,6 +125,19 @@ def head(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
+def prefix(df: DataFrame, n: int, order_by: Sequence[str],
+           rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """The first ``n`` rows in key order for large ``n``: the n-th key is looked
+    up on the key columns alone, then rows are filtered where they are read."""
+    last = ordinals(df.select(*order_by), order_by, name="_ord", rows_per_cell=rows_per_cell).where(
+        F.col("_ord") == n).first()
+    if last is None:
+        return df if n > 0 else df.limit(0)
+    types = {f.name: f.dataType for f in df.select(*order_by).schema}
+    end = F.struct(*[F.lit(last[k]).cast(types[k]).alias(f"k{i}") for i, k in enumerate(order_by)])
+    return df.where(_struct_of(order_by) <= end)
+
+
 def key_cutoffs(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
     """Largest order key per group, one row each: an ordered prefix described by
     its end, so that wide rows can be filtered where they are read."""
