@@ -27,7 +27,7 @@ def file_order(files: DataFrame, seed: int = 42, epoch: int = 0, shuffle: bool =
                               ["_key", "shard_id"], name="_ord")
     rank = F.col("_ord") - 1
     return ranked.select("shard_id", rank.alias("file_rank"), F.pmod(rank, F.lit(workers)).alias("worker"),
-                         F.floor(rank / workers).cast("bigint").alias("turn"))
+                         ordered.whole_div(rank, workers).alias("turn"))
 
 
 def row_order(packed: DataFrame, seed: int = 42, epoch: int = 0, shuffle: bool = False) -> DataFrame:
@@ -51,7 +51,7 @@ def batch_slots(packed: DataFrame, batch_size: int, workers: int = 1, seed: int
     place = F.col("_start") + F.col("row_rank")
     return (
         rows.join(starts, "shard_id")
-        .withColumn("batch_no", F.floor(place / batch_size).cast("bigint"))
+        .withColumn("batch_no", ordered.whole_div(place, batch_size))
         .withColumn("slot", F.pmod(place, F.lit(batch_size)).cast("int"))
         .drop("_start")
     )

@@ -20,7 +20,7 @@ import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,11 @@ def bisect_left(bounds: Column, key: Column, size: int) -> Column:
     return _bisect(size, lambda i: F.get(bounds, i) < key)
 
 
+def whole_div(value: Column, by: Column | int) -> Column:
+    """Integer division of whole numbers, exact at any size."""
+    return F.call_function("div", value, by if isinstance(by, Column) else F.lit(by))
+
+
 def add_cells(df: DataFrame, order_by: Sequence[str], rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """Add the column ``_cell``: consecutive ranges of the order key with about
     ``rows_per_cell`` rows each. Only key columns are read for the borders."""
@@ -70,9 +75,11 @@ def add_cells(df: DataFrame, order_by: Sequence[str], rows_per_cell: int = ROWS_
         return df.withColumn(CELL, F.lit(0))
     types = {f.name: f.dataType.simpleString() for f in keys.schema}
     fields = ",".join(f"k{i}:{types[name]}" for i, name in enumerate(order_by))
-    literal = json.dumps([{f"k{i}": v for i, v in enumerate(p)} for p in picks], ensure_ascii=False)
+    literal = json.dumps([{f"k{i}": v.asDict(True) if isinstance(v, Row) else v for i, v in enumerate(p)}
+                          for p in picks], ensure_ascii=False)
     bounds = F.from_json(F.lit(literal), f"array<struct<{fields}>>")
-    return df.withColumn(CELL, bisect_right(bounds, _struct_of(order_by), len(picks)))
+    cell = bisect_right(bounds, _struct_of(order_by), len(picks))
+    return df.withColumn(CELL, F.coalesce(cell, F.lit(0)))
 
 
 def running_totals(
@@ -164,7 +171,7 @@ def trailing_average(df: DataFrame, k: int, value: str, ordinal: str, group_by:
         return df.withColumn(name, F.col(value))
     size = max(rows_per_block, k)
     index = F.col(ordinal) - 1
-    block = F.floor(index / size).cast("bigint")
+    block = whole_div(index, size)
     copies = F.when(index % size > size - k, F.array(block, block + 1)).otherwise(F.array(block))
     frame = Window.partitionBy(*group_by, "_block").orderBy(ordinal).rowsBetween(-(k - 1), 0)
     return (

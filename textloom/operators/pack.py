@@ -24,21 +24,21 @@ def _join_slices() -> Column:
     return F.flatten(F.transform(parts, lambda p: p["slice"]))
 
 
-def pack_rows(docs: DataFrame, order_by: Sequence[str], seq_len: int, ids: str = "ids",
+def pack_rows(docs: DataFrame, order_by: Sequence[str], seq_len: int, ids: str = "ids", n: str = "n",
               tokens_per_cell: int = TOKENS_PER_CELL) -> DataFrame:
     """``(row_idx, ids)``; every row has ``seq_len`` ids but perhaps the last.
-    ``docs`` is a stored table of token arrays (end token included), as its
-    sizes are read before the arrays are."""
+    ``docs`` is a stored table of token arrays (end token included) with their
+    sizes in ``n``, so that positions are settled without reading the arrays."""
     if seq_len < 2:
         raise ValueError("seq_len must be at least 2")
-    sized = docs.select(*order_by, F.col(ids).alias("ids"), F.size(ids).cast("bigint").alias("n")).where("n > 0")
+    sized = docs.select(*order_by, F.col(ids).alias("ids"), F.col(n).cast("bigint").alias("n")).where("n > 0")
     total = sized.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).first()
     mean = max(1, (total["tokens"] or 0) // max(1, total["docs"]))
     run = ordered.running_totals(sized, order_by, {"stop": F.col("n")},
                                  rows_per_cell=max(1, tokens_per_cell // mean), keep_cell=True)
     length = F.lit(seq_len).cast("bigint")
     start = F.col("stop") - F.col("n")
-    first, last = F.floor(start / length), F.floor((F.col("stop") - 1) / length)
+    first, last = ordered.whole_div(start, length), ordered.whole_div(F.col("stop") - 1, length)
 
     def piece(row: Column) -> Column:
         begin = F.greatest(start, row * length)
@@ -47,7 +47,7 @@ def pack_rows(docs: DataFrame, order_by: Sequence[str], seq_len: int, ids: str =
             F.col("ids"), (begin - start + 1).cast("int"), (end - begin).cast("int")).alias("slice"))
 
     pieces = run.select(CELL, F.inline(F.transform(
-        F.sequence(first.cast("bigint"), last.cast("bigint")), piece)))
+        F.sequence(first, last), piece)))
     in_cell = pieces.groupBy(CELL, "row_idx").agg(F.min("at").alias("at"), _join_slices().alias("slice"))
     whole = in_cell.where(F.size("slice") == seq_len).select("row_idx", F.col("slice").alias("ids"))
     straddling = in_cell.where(F.size("slice") < seq_len).groupBy("row_idx").agg(_join_slices().alias("ids"))
@@ -75,7 +75,7 @@ def finish_rows(rows: DataFrame, seq_len: int, shard_tokens: int, pad_id: int =
         rows.where(keep)
         .select("row_idx", real.alias("_real"), padded.alias("input_ids"))
         .select("row_idx", "input_ids", flags.alias("attention_mask"),
-                F.floor(F.col("row_idx") / rows_per_shard).cast("bigint").alias("shard_id"))
+                ordered.whole_div(F.col("row_idx"), rows_per_shard).alias("shard_id"))
     )
 
 

@@ -21,12 +21,13 @@ from textloom.workspace import freeze
 
 SMALL_TABLE = 1 << 20
 MAX_BOUNDS = 1 << 20
+_START = "shard_start"
 
 
 def uniform_shards(run: DataFrame, shard_tokens: int, n: str = "n_tok") -> DataFrame:
     """Shard by position on the token line; ``run`` has the column ``running``."""
     start = F.col("running") - F.col(n)
-    return run.withColumn("shard_id", F.floor(start / F.lit(shard_tokens)).cast("bigint"))
+    return run.withColumn("shard_id", ordered.whole_div(start, shard_tokens))
 
 
 def _next_cut(points: DataFrame, group: str, shard_tokens: int, rows_per_cell: int) -> DataFrame:
@@ -35,15 +36,15 @@ def _next_cut(points: DataFrame, group: str, shard_tokens: int, rows_per_cell: i
     is cut into cells; a target without a row behind it in its cell takes the
     first row of a later cell."""
     targets = points.select(group, (F.col("at") + shard_tokens).alias("pos"), F.col("at").alias("asker"))
-    rows = points.where(F.col("at") > 0).select(
-        group, F.col("at").alias("pos"), F.lit(None).cast("bigint").alias("asker"))
+    rows = points.select(group, F.col("at").alias("pos"), F.lit(None).cast("bigint").alias("asker"))
     line = targets.unionByName(rows).withColumn("is_row", F.col("asker").isNull().cast("int"))
     line = ordered.add_cells(line, ["pos"], rows_per_cell)
     here = F.when(F.col("is_row") == 1, F.col("pos"))
-    ahead = Window.partitionBy(group, ordered.CELL).orderBy("pos", "is_row").rowsBetween(
-        0, Window.unboundedFollowing)
+    # Backwards, so that the frame grows instead of being recomputed per row.
+    ahead = Window.partitionBy(group, ordered.CELL).orderBy(F.desc("pos"), F.desc("is_row")).rowsBetween(
+        Window.unboundedPreceding, 0)
     local = line.withColumn("nxt", F.min(here).over(ahead)).where("is_row = 0")
-    later = Window.partitionBy(group).orderBy(ordered.CELL).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(group).orderBy(F.desc(ordered.CELL)).rowsBetween(Window.unboundedPreceding, -1)
     cells = line.groupBy(group, ordered.CELL).agg(F.min(here).alias("first_row")).select(
         F.col(group).alias("_g"), F.col(ordered.CELL).alias("_c"),
         F.min("first_row").over(later).alias("later_row"))
@@ -54,10 +55,10 @@ def _next_cut(points: DataFrame, group: str, shard_tokens: int, rows_per_cell: i
 
 def _cuts_by_doubling(run: DataFrame, group: str, shard_tokens: int, rows_per_cell: int) -> DataFrame:
     points = run.select(group, F.col("running").alias("at"))
-    start = points.select(group).distinct().withColumn("at", F.lit(0).cast("bigint"))
+    start = run.groupBy(group).agg(F.min(_START).alias("at"))
     jump = freeze(_next_cut(points.unionByName(start), group, shard_tokens, rows_per_cell)
                   .where(F.col("nxt").isNotNull()), "jump")
-    longest = points.agg(F.max("at")).first()[0] or 0
+    longest = run.agg(F.max(F.col("running") - F.col(_START))).first()[0] or 0
     reached, span = freeze(start, "cuts"), 1
     while True:
         moved = reached.join(jump, [group, "at"]).select(group, F.col("nxt").alias("at"))
@@ -67,13 +68,13 @@ def _cuts_by_doubling(run: DataFrame, group: str, shard_tokens: int, rows_per_ce
             break
         far = jump.select(group, F.col("at").alias("nxt"), F.col("nxt").alias("far"))
         jump = freeze(jump.join(far, [group, "nxt"]).select(group, "at", F.col("far").alias("nxt")), "jump")
-    return reached.where(F.col("at") > 0)
+    return reached.join(start, [group, "at"], "left_anti")
 
 
 def _cuts_in_one_pass(run: DataFrame, group: str, shard_tokens: int) -> DataFrame:
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         line = np.sort(rows["running"].to_numpy())
-        cuts, at = [], 0
+        cuts, at = [], int(rows[_START].iloc[0])
         while True:
             i = int(np.searchsorted(line, at + shard_tokens))
             if i == len(line):
@@ -82,7 +83,7 @@ def _cuts_in_one_pass(run: DataFrame, group: str, shard_tokens: int) -> DataFram
             cuts.append(at)
         return pd.DataFrame({group: rows[group].iloc[:1].repeat(len(cuts)).to_numpy(), "at": cuts})
 
-    narrow = run.select(group, "running")
+    narrow = run.select(group, "running", _START)
     kind = dict(narrow.dtypes)[group]
     return narrow.groupBy(group).applyInPandas(chain, f"{group} {kind}, at bigint")
 
@@ -94,8 +95,11 @@ def greedy_bounds(run: DataFrame, shard_tokens: int, order_by: Sequence[str], gr
 
     ``run`` is a stored table with the column ``running``. A table whose counted
     size fits one task is chained per source in one pass; larger ones go by
-    pointer doubling. Rows without tokens never close a shard."""
-    keyed = run.where(F.col(n) > 0)
+    pointer doubling. Rows without tokens never close a shard. A column
+    ``shard_start`` may give, per group, where on the token line its open shard
+    began; otherwise that is 0."""
+    begin = F.col(_START) if _START in run.columns else F.lit(0)
+    keyed = run.where(F.col(n) > 0).withColumn(_START, begin.cast("bigint"))
     if keyed.count() <= small_table:
         cuts = _cuts_in_one_pass(keyed, group, shard_tokens)
     else:

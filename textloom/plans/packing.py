@@ -32,6 +32,7 @@ def packed_rows(
     if max_rows > 0:
         present = ordered.prefix(present, max_rows, order_by)
     ids = enc.encode_text(spark, model, F.col(text).cast("string"))
-    stored = freeze(present.select(*order_by, enc.append_eos(ids, eos_id).alias("ids")), "token-ids")
+    encoded = present.select(*order_by, enc.append_eos(ids, eos_id).alias("ids"))
+    stored = freeze(encoded.withColumn("n", F.size("ids").cast("bigint")), "token-ids")
     rows = pack.pack_rows(stored, order_by, seq_len, tokens_per_cell=tokens_per_cell)
     return pack.finish_rows(rows, seq_len, shard_tokens, mask=mask)

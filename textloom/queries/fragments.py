@@ -76,3 +76,21 @@ def greedy_sql(rows: str, size: int) -> str:
   FROM cuts c WHERE c.cut IS NOT NULL),
 sharded AS (SELECT r.*, (SELECT count(*) FROM cuts c WHERE c.source = r.source AND c.k >= 1 AND c.cut < r.running)::BIGINT AS shard_id
   FROM {rows} r)"""
+
+SEQ_LEN, ROWS_PER_SHARD = 64, 40
+
+WORD_TOKENS = f"""toks AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS word,
+  generate_subscripts(regexp_extract_all(text, '{WORD}'), 1) AS pos FROM documents)"""
+WORD_VOCABULARY = f"""{WORD_TOKENS},
+specials(id, token) AS (VALUES (0, '<unk>'), (1, '<pad>'), (2, '<|endoftext|>'), (3, '<|im_start|>'), (4, '<|im_end|>')),
+vocab AS (SELECT word, (row_number() OVER (ORDER BY count(*) DESC, word) + 4)::INTEGER AS id FROM toks GROUP BY word)"""
+TOKEN_STREAM = f"""{WORD_VOCABULARY}, picked AS (SELECT doc_id FROM documents),
+stream AS (SELECT doc_id, pos, id FROM toks JOIN vocab USING (word) WHERE doc_id IN (SELECT doc_id FROM picked)
+  UNION ALL SELECT doc_id, 1000000000, 2 FROM picked)"""
+PACKED = f"""{TOKEN_STREAM},
+line AS (SELECT id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS p FROM stream),
+cut AS (SELECT p // {SEQ_LEN} AS row_idx, string_agg(id::VARCHAR, ' ' ORDER BY p) AS ids, count(*) AS n,
+  min(id) AS lo, max(id) AS hi, count(*) FILTER (id = 2) AS ends FROM line GROUP BY 1),
+packed AS (SELECT row_idx, row_idx // {ROWS_PER_SHARD} AS shard_id, ids || repeat(' 0', {SEQ_LEN} - n) AS input_ids,
+  substr(repeat(' 1', n), 2) || repeat(' 0', {SEQ_LEN} - n) AS attention_mask, n, lo, hi, ends
+  FROM cut WHERE n >= {SEQ_LEN // 2})"""
