@@ -1,4 +1,6 @@
-"""n-grams and blocks of one row's array."""
+"""n-grams and blocks of one row's array.
+
+Pass a plain column: an expression would be evaluated anew for every slice."""
 
 from __future__ import annotations
 

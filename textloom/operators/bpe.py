@@ -22,7 +22,7 @@ from textloom.workspace import freeze
 
 BASE = 0x10000
 TOP_PAIRS = 256
-FREEZE_EVERY = 16
+FREEZE_EVERY = 24
 
 
 def _symbol(token_id: int) -> str:
@@ -67,13 +67,10 @@ class BpeModel:
 
 def pair_counts(words: DataFrame, word: str = "word", freq: str = "freq") -> DataFrame:
     """Weighted count of neighbouring symbols, aggregated map-side first."""
-    starts = F.sequence(F.lit(1), F.length(word) - 1)
-    pairs = F.transform(starts, lambda i: F.substring(F.col(word), i, F.lit(2)))
-    return (
-        words.where(F.length(word) > 1)
-        .select(F.explode(pairs).alias("pair"), F.col(freq))
-        .groupBy("pair").agg(F.sum(freq).alias("pair_freq"))
-    )
+    long = words.where(F.length(word) > 1)
+    places = long.select(word, freq, F.explode(F.sequence(F.lit(1), F.length(word) - 1)).alias("_at"))
+    return places.groupBy(F.substring(F.col(word), F.col("_at"), F.lit(2)).alias("pair")).agg(
+        F.sum(freq).alias("pair_freq"))
 
 
 def top_pairs(counts: DataFrame, k: int) -> DataFrame:
@@ -88,23 +85,37 @@ def alphabet(words: DataFrame) -> list[str]:
     return [r["ch"] for r in chars.orderBy("ch").collect()]
 
 
+def _merged(merges: list[tuple[str, str]]) -> Column:
+    """The word after a list of merges, in order. A fold over a literal list keeps
+    the same generated code from round to round."""
+    if not merges:
+        return F.col("word")
+    steps = F.array(*[F.struct(F.lit(pair).alias("pair"), F.lit(new).alias("new")) for pair, new in merges])
+    return F.aggregate(steps, F.col("word"), lambda word, m: F.replace(word, m["pair"], m["new"]))
+
+
 def induce(counts: DataFrame, vocab_size: int = 32000, min_frequency: int = 2,
            min_word_freq: int = 1) -> BpeModel:
     """Learn merges from ``counts (word, freq)`` until the vocabulary is full or
     no pair is frequent enough. ``min_word_freq`` above 1 leaves rare words out,
     which is an approximation and off by default."""
     source = counts.where(F.col("freq") >= min_word_freq) if min_word_freq > 1 else counts
-    source = freeze(source, "words")
+    # Every round reads the whole table: spread it evenly over all cores.
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    source = freeze(source.repartition(cores), "words")
     letters = alphabet(source)
     tokens = list(SPECIAL_TOKENS) + letters
     ids = {t: i for i, t in enumerate(tokens)}
     coded = F.translate("word", "".join(letters), "".join(_symbol(FIRST_ID + i) for i in range(len(letters))))
     table = freeze(source.select(coded.alias("word"), "freq").where(F.length("word") > 1), "symbols")
     merges: list[tuple[int, int, int]] = []
-    expr: Column = F.col("word")
-    pending = 0
+    waiting: list[tuple[str, str]] = []
     while len(tokens) < vocab_size:
-        current = table.select(expr.alias("word"), "freq")
+        current = table.select(_merged(waiting).alias("word"), "freq")
+        if len(waiting) >= FREEZE_EVERY:
+            # Words that are one symbol by now have no pairs left.
+            table, waiting = freeze(current.where(F.length("word") > 1), "symbols"), []
+            current = table
         ranked = top_pairs(pair_counts(current), TOP_PAIRS).collect()
         taken: set[int] = set()
         for row in ranked:
@@ -116,15 +127,10 @@ def induce(counts: DataFrame, vocab_size: int = 32000, min_frequency: int = 2,
                 ids[merged] = len(tokens)
                 tokens.append(merged)
             merges.append((a, b, ids[merged]))
-            expr = F.replace(expr, F.lit(row["pair"]), F.lit(_symbol(ids[merged])))
+            waiting.append((row["pair"], _symbol(ids[merged])))
             taken |= {a, b}
             if a == b:
                 break
         if not taken:
             break
-        pending += 1
-        if pending == FREEZE_EVERY:
-            # Words that are one symbol by now have no pairs left.
-            table = freeze(table.select(expr.alias("word"), "freq").where(F.length("word") > 1), "symbols")
-            expr, pending = F.col("word"), 0
     return BpeModel(tokens, merges)

@@ -14,8 +14,8 @@ from textloom.operators import ordered
 def text_blocks(texts: DataFrame, key: Sequence[str], block_size: int, tokens: Column | None = None) -> DataFrame:
     """``(key, block_no, block)``: tokens of each non-blank text cut into blocks."""
     words = tx.tokens(tx.strip(F.col("text"))) if tokens is None else tokens
-    return texts.where(tx.strip(F.col("text")) != "").select(
-        *key, F.posexplode(ng.blocks(words, block_size)).alias("block_no", "block"))
+    split = texts.where(tx.strip(F.col("text")) != "").select(*key, words.alias("_words"))
+    return split.select(*key, F.posexplode(ng.blocks(F.col("_words"), block_size)).alias("block_no", "block"))
 
 
 def bigram_counts(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -68,7 +68,8 @@ def diversity(records: DataFrame, text: str = "output") -> DataFrame:
 
 def corpus_distinct(texts: DataFrame, n: int, group_by: Sequence[str] = (), text: str = "text") -> DataFrame:
     """n-grams and different n-grams over all texts of a group."""
-    grams = texts.select(*group_by, F.explode(ng.ngrams(tx.split_words(F.col(text)), n)).alias("gram"))
+    words = texts.select(*group_by, tx.split_words(F.col(text)).alias("_words"))
+    grams = words.select(*group_by, F.explode(ng.ngrams(F.col("_words"), n)).alias("gram"))
     counted = grams.groupBy(*group_by, "gram").agg(F.count(F.lit(1)).alias("times"))
     return counted.groupBy(*group_by).agg(
         F.sum("times").alias("ngrams"), F.count(F.lit(1)).alias("distinct_ngrams"),

@@ -62,24 +62,29 @@ def whole_div(value: Column, by: Column | int) -> Column:
 def add_cells(df: DataFrame, order_by: Sequence[str], rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """Add the column ``_cell``: consecutive ranges of the order key with about
     ``rows_per_cell`` rows each. Only key columns are read for the borders."""
+    return _with_cells(df, order_by, rows_per_cell)[0]
+
+
+def _with_cells(df: DataFrame, order_by: Sequence[str], rows_per_cell: int) -> tuple[DataFrame, int]:
+    """The table with its cells, and an upper limit for their number."""
     keys = df.select(*order_by)
     total = keys.count()
     cells = -(-total // rows_per_cell)
     if cells <= 1:
-        return df.withColumn(CELL, F.lit(0))
+        return df.withColumn(CELL, F.lit(0)), 1
     rate = min(1.0, cells * _SAMPLES_PER_CELL / total)
     chosen = F.pmod(F.xxhash64(*order_by), F.lit(_HASH_SPAN)) < int(rate * _HASH_SPAN)
     sample = sorted(tuple(row) for row in keys.where(chosen).collect())
     picks = sorted({sample[len(sample) * i // cells] for i in range(1, cells)}) if sample else []
     if not picks:
-        return df.withColumn(CELL, F.lit(0))
+        return df.withColumn(CELL, F.lit(0)), 1
     types = {f.name: f.dataType.simpleString() for f in keys.schema}
     fields = ",".join(f"k{i}:{types[name]}" for i, name in enumerate(order_by))
     literal = json.dumps([{f"k{i}": v.asDict(True) if isinstance(v, Row) else v for i, v in enumerate(p)}
                           for p in picks], ensure_ascii=False)
     bounds = F.from_json(F.lit(literal), f"array<struct<{fields}>>")
     cell = bisect_right(bounds, _struct_of(order_by), len(picks))
-    return df.withColumn(CELL, F.coalesce(cell, F.lit(0)))
+    return df.withColumn(CELL, F.coalesce(cell, F.lit(0))), len(picks) + 1
 
 
 def running_totals(
@@ -95,7 +100,12 @@ def running_totals(
     result stays hash-partitioned by group and ``_cell`` and keeps that column."""
     groups = list(group_by)
     named = {f"_v{i}": expr for i, expr in enumerate(values.values())}
-    rows = add_cells(df, order_by, rows_per_cell)
+    rows, cells = _with_cells(df, order_by, rows_per_cell)
+    if cells == 1:  # counted: everything fits one cell, there are no offsets
+        whole = Window.partitionBy(*groups, CELL).orderBy(*order_by).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        summed = rows.withColumns({out: F.sum(e).over(whole) for out, e in values.items()})
+        return summed if keep_cell else summed.drop(CELL)
     local = Window.partitionBy(*groups, CELL).orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     sums = {name: F.sum(expr).over(local) for name, expr in named.items()}

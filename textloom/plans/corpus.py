@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from textloom.functions import metadata, text as tx
 from textloom.operators import budget, mix as mx, ordered, shards
 from textloom.operators.interleave import interleave
+from textloom.sources.readers import spread
 from textloom.sources.registry import clean_documents, tag_sources
 from textloom.workspace import freeze
 
@@ -67,7 +68,7 @@ def mixed_corpus(
     be a function of the stored counts table."""
     spark = docs.sparkSession
     weights = freeze(mx.parse_mix(spark, mix, registry), "mix")
-    wanted = docs.join(F.broadcast(weights.select(F.col("source_key").alias("source"))), "source", "left_semi")
+    wanted = spread(docs).join(F.broadcast(weights.select(F.col("source_key").alias("source"))), "source", "left_semi")
     tagged = tag_sources(wanted, registry).withColumn("lang", F.col("source_lang"))
     used = {r[0] for r in registry.select("cleaner").distinct().collect()}
     cleaned = clean_documents(tagged.select("source", *order_by, "text", "lang", "cleaner"), min_chars, used)
@@ -99,7 +100,7 @@ def quality_subset(
     """Web-crawl rows that pass the quality filter, raw text kept, up to the row
     that reaches the target. ``crawl`` has ``raw_content, meta, quality_signals``."""
     fields = {f.name: f.dataType for f in crawl.schema}
-    good = crawl.where(metadata.accept(
+    good = spread(crawl).where(metadata.accept(
         F.col("raw_content"), metadata.perplexity(F.col("quality_signals")),
         max_ppl=max_ppl, on_missing=on_missing,
     )).select(F.lit(source).alias("source"), *order_by, F.col("raw_content").alias("text"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import encode as enc, ordered, pack
 from textloom.operators.vocab import EOS_ID
+from textloom.sources.readers import spread
 from textloom.workspace import freeze
 
 
@@ -28,7 +29,7 @@ def packed_rows(
     skipped; ``max_rows`` takes only the first documents. Encoding is the costly
     step: its result is stored once and read twice."""
     spark = docs.sparkSession
-    present = docs.where(F.col(text).isNotNull())
+    present = spread(docs).where(F.col(text).isNotNull())
     if max_rows > 0:
         present = ordered.prefix(present, max_rows, order_by)
     ids = enc.encode_text(spark, model, F.col(text).cast("string"))

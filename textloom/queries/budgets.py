@@ -9,7 +9,7 @@ from textloom.functions import text as tx
 from textloom.operators import budget, mix as mx, ordered, shards
 from textloom.plans.corpus import Corpus, line_corpus, mixed_corpus, quality_subset
 from textloom.queries import fragments as sql
-from textloom.queries.registry import query, table
+from textloom.queries.registry import query, table, texts
 from textloom.queries.sources import crawl_rows, CRAWL_SQL
 from textloom.sources import sinks
 from textloom.sources.registry import Source, clean_documents, registry_frame, tag_sources
@@ -36,7 +36,7 @@ def corpus(spark: SparkSession, sf: str, shard_mode: str = "greedy") -> Corpus:
 
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Stored table (source, doc_id, n_tok) of the cleaned documents."""
-    docs = table(spark, sf, "documents").select("source", "doc_id", "text").withColumn("cleaner", F.lit("plain"))
+    docs = texts(spark, sf, "source", "doc_id", "text").withColumn("cleaner", F.lit("plain"))
     cleaned = clean_documents(docs, cleaners_used={"plain"})
     return freeze(cleaned.select("source", "doc_id", tx.count_tokens(F.col("text")).alias("n_tok")), "counts")
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.sources.readers import spread
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,3 +35,8 @@ def query(covers: str, sql: str | None = None) -> Callable[[Run], Run]:
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of the documents table, on all cores: the file is one split."""
+    return spread(table(spark, sf, "documents").select(*columns))

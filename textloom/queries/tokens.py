@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx
 from textloom.operators import bpe, encode as enc, vocab
 from textloom.queries import fragments as sql
-from textloom.queries.registry import query, table
+from textloom.queries.registry import query, table, texts
 from textloom.workspace import freeze
 
 MERGES = 60
 
 
 def words_table(spark: SparkSession, sf: str) -> DataFrame:
-    return freeze(vocab.word_counts(table(spark, sf, "documents"), F.col("text")), "word-counts")
+    return freeze(vocab.word_counts(texts(spark, sf, "text"), F.col("text")), "word-counts")
 
 
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return vocab.word_vocabulary(vocab.word_counts(table(spark, sf, "documents"), F.col("text")))
+    return vocab.word_vocabulary(vocab.word_counts(texts(spark, sf, "text"), F.col("text")))
 
 
 def bpe_model(counts: DataFrame) -> bpe.BpeModel:
@@ -40,7 +40,7 @@ def pre_tokenized(spark, sf):
 
 @query("N2", f"WITH {sql.WORD_TOKENS} SELECT word, count(*) AS freq FROM toks GROUP BY word")
 def word_frequencies(spark, sf):
-    return vocab.word_counts(table(spark, sf, "documents"), F.col("text"))
+    return vocab.word_counts(texts(spark, sf, "text"), F.col("text"))
 
 
 @query("N7 N2", f"WITH {sql.WORD_VOCABULARY} SELECT id, token FROM specials UNION ALL SELECT id, word FROM vocab")
@@ -58,7 +58,7 @@ SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, count(*)::INTEG
 def encoded_with_eos(spark, sf):
     model = enc.WordModel.from_table(vocabulary(spark, sf))
     ids = enc.append_eos(enc.encode_text(spark, model, F.col("text")))
-    rows = table(spark, sf, "documents").select("doc_id", ids.alias("ids"))
+    rows = texts(spark, sf, "doc_id", "text").select("doc_id", ids.alias("ids"))
     return rows.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"),
                        F.size("ids").alias("n"))
 
@@ -68,7 +68,7 @@ FROM stream WHERE pos < 1000000000 GROUP BY doc_id""")
 def encoded_by_join(spark, sf):
     lookup = vocabulary(spark, sf).where(F.col("id") >= vocab.FIRST_ID).select(
         F.col("token").alias("word"), F.array("id").alias("ids"))
-    rows = enc.encode_by_join(table(spark, sf, "documents"), lookup, ["doc_id"], F.col("text"))
+    rows = enc.encode_by_join(texts(spark, sf, "doc_id", "text"), lookup, ["doc_id"], F.col("text"))
     return rows.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
@@ -76,7 +76,7 @@ def encoded_by_join(spark, sf):
 def decoded_text(spark, sf):
     words = vocabulary(spark, sf)
     ids = enc.append_eos(enc.encode_text(spark, enc.WordModel.from_table(words), F.col("text")))
-    return enc.decode(table(spark, sf, "documents").select("doc_id", ids.alias("ids")), words, ["doc_id"])
+    return enc.decode(texts(spark, sf, "doc_id", "text").select("doc_id", ids.alias("ids")), words, ["doc_id"])
 
 
 @query("L3", f"""WITH {sql.WORD_TOKENS}, counts AS (SELECT word, count(*) AS freq FROM toks GROUP BY word),
@@ -107,6 +107,6 @@ def bpe_round_trip(spark, sf):
     # Ids depend on the induced merges; their text without spaces does not.
     model = bpe_model(words_table(spark, sf))
     ids = enc.encode_text(spark, model, F.col("text"))
-    text = enc.decode(table(spark, sf, "documents").select("doc_id", ids.alias("ids")),
+    text = enc.decode(texts(spark, sf, "doc_id", "text").select("doc_id", ids.alias("ids")),
                       model.vocabulary(spark), ["doc_id"])
     return text.select("doc_id", F.replace("text", F.lit(" "), F.lit("")).alias("letters"))

@@ -11,6 +11,13 @@ from textloom.functions import text as tx
 from textloom.operators.ordered import head
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on an input of very few splits (a single
+    small file). Inputs with enough splits pass through untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def read_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
     """Log lines as ``(run, line_no, line)``. Line feeds, carriage returns and
     both end a line; bad bytes are tolerated. The run is the file unless named.

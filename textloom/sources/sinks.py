@@ -8,20 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _writers(df: DataFrame) -> int:
+    """Number of writing tasks. Given outright, so that adaptive execution does
+    not put many small shards on one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_shards(docs: DataFrame, path: str, clean: bool = False, source: str = "source") -> None:
     """Text shards, one directory per (source, shard), one file each. A shard
     holds a bounded number of tokens, so the shuffle key cannot be hot. Rewrites
     only the shards it has; ``clean`` also removes older ones."""
     mode = "static" if clean else "dynamic"
     (
-        docs.repartition(source, "shard_id")
+        docs.repartition(_writers(docs), source, "shard_id")
         .write.mode("overwrite").option("partitionOverwriteMode", mode)
         .partitionBy(source, "shard_id").parquet(path)
     )
 
 
-def write_packed(rows: DataFrame, path: str) -> None:
-    """Packed rows, one directory per shard."""
+def write_packed(rows: DataFrame, path: str, one_file_per_shard: bool = True) -> None:
+    """Packed rows, one directory per shard. By default each shard is one sorted
+    file; without that, tasks write the rows they hold, which saves a shuffle of
+    the rows and leaves a few files per shard."""
+    if one_file_per_shard:
+        rows = rows.repartition(_writers(rows), "shard_id").sortWithinPartitions("shard_id", "row_idx")
     rows.write.mode("overwrite").option("compression", "zstd").partitionBy("shard_id").parquet(path)
 
 
