@@ -91,7 +91,8 @@ def _cuts_in_one_pass(run: DataFrame, group: str, shard_tokens: int) -> DataFram
 def greedy_bounds(run: DataFrame, shard_tokens: int, order_by: Sequence[str], group: str = "source",
                   n: str = "n_tok", small_table: int = SMALL_TABLE,
                   rows_per_cell: int = ordered.ROWS_PER_CELL) -> DataFrame:
-    """Last order key of every full shard: ``(group, shard_id, last_key)``.
+    """Last order key of every full shard and the running total there:
+    ``(group, shard_id, last_key, closed_at)``.
 
     ``run`` is a stored table with the column ``running``. A table whose counted
     size fits one task is chained per source in one pass; larger ones go by
@@ -107,7 +108,8 @@ def greedy_bounds(run: DataFrame, shard_tokens: int, order_by: Sequence[str], gr
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(order_by)])
     ends = keyed.select(group, F.col("running").alias("at"), key.alias("last_key"))
     number = F.row_number().over(Window.partitionBy(group).orderBy("at")).cast("bigint") - 1
-    return cuts.join(ends, [group, "at"]).select(group, number.alias("shard_id"), "last_key")
+    return cuts.join(ends, [group, "at"]).select(
+        group, number.alias("shard_id"), "last_key", F.col("at").alias("closed_at"))
 
 
 def last_keys(sharded: DataFrame, order_by: Sequence[str], group: str = "source") -> DataFrame:
