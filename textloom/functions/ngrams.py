@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 def ngrams(words: Column, n: int) -> Column:
     """All runs of ``n`` words, joined by a space; none when there are fewer."""
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    if n == 1:
+        return words
+    starts = F.sequence(F.lit(0), F.size(words) - n)
+    grams = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]))
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 

@@ -6,7 +6,7 @@ spelled out here to agree with Python's notion of white space.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,15 +17,25 @@ PYTHON_SPACES = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
-SPACE_LIKE_RUN = r"(?U)[\s\x1c-\x1f\u200b\u00a0]+"
-WORD = r"(?U)\w+|[^\w\s]+"
+# Single spaces stay as they are: only longer runs and other characters match.
+SPACE_RUN = r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f&&[^ ]]"
+SPACE_LIKE_RUN = r"(?U)[\s\x1c-\x1f\u200b\u00a0]{2,}|[\s\x1c-\x1f\u200b\u00a0&&[^ ]]"
+# The two classes exclude each other, so the runs need no backtracking.
+WORD = r"(?U)\w++|[^\w\s]++"
 TAG = r"<[^>]+>"
 MIN_CHARS = 32
 MAX_PERPLEXITY = 400
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
+def evaluate_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Set column ``name`` to a costly expression so that filters on it are not
+    pushed down as a second copy of the expression: a generator of one row keeps
+    them above."""
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(expr)).alias(name))
+
+
 def as_text(value: Column, data_type: T.DataType | None = None) -> Column:
     """Any column as text: NULL becomes ``''``, nested values become JSON."""
     if isinstance(data_type, (T.StructType, T.ArrayType, T.MapType)):

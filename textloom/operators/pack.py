@@ -17,6 +17,7 @@ from textloom.operators import ordered
 from textloom.operators.ordered import CELL
 
 TOKENS_PER_CELL = 1 << 25
+_SMALL_CELL = 1 << 18
 
 
 def _join_slices() -> Column:
@@ -25,7 +26,7 @@ def _join_slices() -> Column:
 
 
 def pack_rows(docs: DataFrame, order_by: Sequence[str], seq_len: int, ids: str = "ids", n: str = "n",
-              tokens_per_cell: int = TOKENS_PER_CELL) -> DataFrame:
+              tokens_per_cell: int | None = None) -> DataFrame:
     """``(row_idx, ids)``; every row has ``seq_len`` ids but perhaps the last.
     ``docs`` is a stored table of token arrays (end token included) with their
     sizes in ``n``, so that positions are settled without reading the arrays."""
@@ -33,6 +34,10 @@ def pack_rows(docs: DataFrame, order_by: Sequence[str], seq_len: int, ids: str =
         raise ValueError("seq_len must be at least 2")
     sized = docs.select(*order_by, F.col(ids).alias("ids"), F.col(n).cast("bigint").alias("n")).where("n > 0")
     total = sized.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).first()
+    if tokens_per_cell is None:  # smaller cells for small inputs, to use all cores
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        share = (total["tokens"] or 0) // (2 * cores)
+        tokens_per_cell = min(TOKENS_PER_CELL, max(_SMALL_CELL, share))
     mean = max(1, (total["tokens"] or 0) // max(1, total["docs"]))
     run = ordered.running_totals(sized, order_by, {"stop": F.col("n")},
                                  rows_per_cell=max(1, tokens_per_cell // mean), keep_cell=True)

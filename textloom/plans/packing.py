@@ -23,7 +23,7 @@ def packed_rows(
     eos_id: int | None = EOS_ID,
     mask: str = "nonzero",
     text: str = "text",
-    tokens_per_cell: int = pack.TOKENS_PER_CELL,
+    tokens_per_cell: int | None = None,
 ) -> DataFrame:
     """Encode, append the end token, concatenate, cut, shard. NULL texts are
     skipped; ``max_rows`` takes only the first documents. Encoding is the costly

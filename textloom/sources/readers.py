@@ -12,10 +12,11 @@ from textloom.operators.ordered import head
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly work on an input of very few splits (a single
-    small file). Inputs with enough splits pass through untouched."""
+    """Use all cores for costly work on an input with fewer splits than cores (a
+    small file, perhaps with a single row group). Larger inputs pass through
+    untouched."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.cleaners import HTML_KEY_PREFIX, clean_by_name
-from textloom.functions.text import MIN_CHARS, as_text
+from textloom.functions.text import MIN_CHARS, as_text, evaluate_once
 from textloom.operators.ordered import ordinals
 from textloom.schemas import SOURCE_REGISTRY
 
@@ -96,12 +96,8 @@ def clean_documents(docs: DataFrame, min_chars: int = MIN_CHARS,
     else:
         names = {k: v for k, v in CLEANERS.items() if not cleaners_used or k in cleaners_used}
         cleaned = clean_by_name(F.col("text"), F.col("cleaner"), names)
-    return (
-        docs.where(F.col("text") != "")
-        .withColumn("text", cleaned)
-        .where(F.length("text") >= min_chars)
-        .drop("cleaner")
-    )
+    full = evaluate_once(docs.where(F.col("text") != ""), "text", cleaned)
+    return full.where(F.length("text") >= min_chars).drop("cleaner")
 
 
 def split_slice(docs: DataFrame, percent: float, order_by: Sequence[str],
