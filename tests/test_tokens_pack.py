@@ -49,8 +49,10 @@ def test_bpe_equals_library(spark, seed):
 def test_decode_both_ways(spark):
     frame = docs(spark).where("text is not null")
     words = vocab.word_vocabulary(vocab.word_counts(frame, F.col("text")), rows_per_cell=5)
-    model = enc.WordModel.from_table(words)
-    ids = frame.select("doc_id", enc.append_eos(enc.encode_text(spark, model, F.col("text"))).alias("ids"))
+    ids = enc.encode_documents(frame, words, ["doc_id"], F.col("text"))
+    joined = enc.encode_documents(frame, words, ["doc_id"], F.col("text"), max_broadcast=0)
+    assert sorted(ids.collect()) == sorted(joined.collect())
+    ids = ids.withColumn("ids", enc.append_eos(F.col("ids")))
     want = {r.doc_id: " ".join(r.w) for r in frame.select("doc_id", tx.tokens(F.col("text")).alias("w")).collect()}
     for limit in (1 << 16, 0):
         assert {r.doc_id: r.text for r in enc.decode(ids, words, ["doc_id"], max_literal=limit).collect()} == want

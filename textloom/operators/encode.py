@@ -97,6 +97,20 @@ def encode_text(spark: SparkSession, model: Model, text: Column) -> Column:
     return encode_column(spark, model, tx.tokens(text))
 
 
+def encode_documents(docs: DataFrame, model: Model | DataFrame, key: Sequence[str], text: Column,
+                     max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
+    """``(key, ids)`` with a model, or with a word vocabulary table ``(id,
+    token)`` of any size: shipped to the tasks when its counted size allows it,
+    joined otherwise."""
+    spark = docs.sparkSession
+    if isinstance(model, DataFrame):
+        if model.count() > max_broadcast:
+            lookup = model.where(F.col("id") >= FIRST_ID).select(F.col("token").alias("word"), F.array("id").alias("ids"))
+            return encode_by_join(docs, lookup, key, text, max_broadcast)
+        model = WordModel.from_table(model, max_broadcast)
+    return docs.select(*key, encode_text(spark, model, text).alias("ids"))
+
+
 def bpe_counter(spark: SparkSession, model: Model):
     """Token counter for the corpus plans."""
     return lambda text: F.size(encode_text(spark, model, text)).cast("bigint")

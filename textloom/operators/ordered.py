@@ -163,10 +163,15 @@ def key_cutoffs(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str]
 
 def take_prefix(df: DataFrame, cutoffs: DataFrame, order_by: Sequence[str],
                 group_by: Sequence[str]) -> DataFrame:
-    """Rows up to the cutoff of their group. ``cutoffs`` has one row per source
-    named in the mix or registry, so it is small enough to broadcast."""
+    """Rows up to the cutoff of their group. ``cutoffs`` is a stored table with
+    one row per source named in the mix or registry, so it is small enough to
+    broadcast; its largest key also goes to the scan as a plain filter."""
+    furthest = cutoffs.agg(F.max("_cutoff.k0")).first()[0]
+    if furthest is None:
+        return df.limit(0)
+    near = df.where(F.col(order_by[0]) <= F.lit(furthest))
     return (
-        df.join(F.broadcast(cutoffs), list(group_by))
+        near.join(F.broadcast(cutoffs), list(group_by))
         .where(_struct_of(order_by) <= F.col("_cutoff"))
         .drop("_cutoff")
     )

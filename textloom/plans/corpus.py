@@ -71,7 +71,8 @@ def mixed_corpus(
     wanted = spread(docs).join(F.broadcast(weights.select(F.col("source_key").alias("source"))), "source", "left_semi")
     tagged = tag_sources(wanted, registry).withColumn("lang", F.col("source_lang"))
     used = {r[0] for r in registry.select("cleaner").distinct().collect()}
-    cleaned = clean_documents(tagged.select("source", *order_by, "text", "lang", "cleaner"), min_chars, used)
+    raw = tagged.select("source", *order_by, "text", "lang", "cleaner")
+    cleaned = clean_documents(raw, min_chars, used)
     counts = freeze(cleaned.select("source", *order_by, counter(F.col("text")).alias("n_tok")), "counts")
     total = total_tokens(counts) if callable(total_tokens) else total_tokens
     budgets = mx.token_budgets(weights, total)
@@ -79,9 +80,9 @@ def mixed_corpus(
         budget.admit_capped(mx.attach_budgets(counts, budgets), F.col("budget"), order_by,
                             rows_per_cell=rows_per_cell).drop("budget"), "admitted")
     bounds = _bounds(admitted, shard_tokens, order_by, shard_mode)
-    cutoffs = ordered.key_cutoffs(admitted, order_by, ["source"])
-    taken = ordered.take_prefix(cleaned, cutoffs, order_by, ["source"]).where(F.col("text").rlike(tx.WORD))
-    documents = shards.assign_shards(taken, bounds, order_by)
+    cutoffs = freeze(ordered.key_cutoffs(admitted, order_by, ["source"]), "cutoffs")
+    near = clean_documents(ordered.take_prefix(raw, cutoffs, order_by, ["source"]), min_chars, used)
+    documents = shards.assign_shards(near.where(F.col("text").rlike(tx.WORD)), bounds, order_by)
     return Corpus(admitted, bounds, documents, tuple(order_by))
 
 
@@ -111,7 +112,7 @@ def quality_subset(
         budget.admit_crossing(counts, F.lit(float(target)), order_by, ["source"],
                               rows_per_cell=rows_per_cell), "admitted")
     bounds = _bounds(admitted, shard_tokens, order_by, shard_mode)
-    cutoffs = ordered.key_cutoffs(admitted, order_by, ["source"])
+    cutoffs = freeze(ordered.key_cutoffs(admitted, order_by, ["source"]), "cutoffs")
     documents = shards.assign_shards(
         ordered.take_prefix(good, cutoffs, order_by, ["source"]), bounds, order_by)
     return Corpus(admitted, bounds, documents, tuple(order_by))
@@ -145,6 +146,6 @@ def line_corpus(
             rows_per_cell=rows_per_cell)
         taken = numbered.where(F.col("running") - F.col("n_bytes") < max_bytes) if max_bytes else numbered
     taken = freeze(taken.select("source", order_by, "line_no"), "lines")
-    cutoffs = ordered.key_cutoffs(taken, [order_by], ["source"])
+    cutoffs = freeze(ordered.key_cutoffs(taken, [order_by], ["source"]), "cutoffs")
     near = ordered.take_prefix(lined, cutoffs, [order_by], ["source"])
     return near.join(taken, ["source", order_by]).select("line_no", "line")

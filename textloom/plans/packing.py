@@ -15,7 +15,7 @@ from textloom.workspace import freeze
 
 def packed_rows(
     docs: DataFrame,
-    model: enc.Model,
+    model: enc.Model | DataFrame,
     order_by: Sequence[str] = ("doc_id",),
     seq_len: int = 2048,
     shard_tokens: int = 50_000_000,
@@ -26,14 +26,14 @@ def packed_rows(
     tokens_per_cell: int | None = None,
 ) -> DataFrame:
     """Encode, append the end token, concatenate, cut, shard. NULL texts are
-    skipped; ``max_rows`` takes only the first documents. Encoding is the costly
-    step: its result is stored once and read twice."""
-    spark = docs.sparkSession
+    skipped; ``max_rows`` takes only the first documents. ``model`` may be a word
+    vocabulary table. Encoding is the costly step: its result is stored once and
+    read twice."""
     present = spread(docs).where(F.col(text).isNotNull())
     if max_rows > 0:
         present = ordered.prefix(present, max_rows, order_by)
-    ids = enc.encode_text(spark, model, F.col(text).cast("string"))
-    encoded = present.select(*order_by, enc.append_eos(ids, eos_id).alias("ids"))
+    encoded = enc.encode_documents(present, model, order_by, F.col(text).cast("string"))
+    encoded = encoded.withColumn("ids", enc.append_eos(F.col("ids"), eos_id))
     stored = freeze(encoded.withColumn("n", F.size("ids").cast("bigint")), "token-ids")
     rows = pack.pack_rows(stored, order_by, seq_len, tokens_per_cell=tokens_per_cell)
     return pack.finish_rows(rows, seq_len, shard_tokens, mask=mask)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import encode as enc, epochs, pack, vocab
+from textloom.operators import epochs, pack, vocab
 from textloom.plans.packing import packed_rows as pack_documents
 from textloom.queries import fragments as sql
 from textloom.queries.registry import query, table
@@ -18,9 +18,8 @@ SEED, EPOCH, WORKERS, BATCH = 42, 3, 4, 16
 
 
 def packs(spark: SparkSession, sf: str, docs: DataFrame | None = None, **options) -> DataFrame:
-    model = enc.WordModel.from_table(vocabulary(spark, sf))
     rows = table(spark, sf, "documents").select("doc_id", "text") if docs is None else docs
-    return pack_documents(rows, model, seq_len=L, shard_tokens=L * ROWS_PER_SHARD, **options)
+    return pack_documents(rows, vocabulary(spark, sf), seq_len=L, shard_tokens=L * ROWS_PER_SHARD, **options)
 
 
 def shown(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import encode as enc, mix as mx
+from textloom.operators import mix as mx
 from textloom.queries import fragments as sql
 from textloom.queries.budgets import share_of_corpus, source_registry, token_counts
 from textloom.queries.logs import POINTS, log_lines
@@ -60,9 +60,9 @@ def streamed_budget(spark, sf):
 @query("X3", f"WITH {sql.PACKED} SELECT row_idx, shard_id, input_ids FROM packed")
 def streamed_packing(spark, sf):
     path, out, state_dir, check = (new_path(spark, n) for n in ("arriving", "packed", "state", "check"))
-    model = enc.WordModel.from_table(vocabulary(spark, sf))
+    words = vocabulary(spark, sf)
     arrive(documents(spark, sf), "doc_id", path, lambda: pack.packed_stream(
-        ingest.arriving(spark, path, DOCS), model, out, state_dir, check, L, L * ROWS_PER_SHARD, ["doc_id"]))
+        ingest.arriving(spark, path, DOCS), words, out, state_dir, check, L, L * ROWS_PER_SHARD, ["doc_id"]))
     tail = pack.finish_stream(spark, state_dir, L, L * ROWS_PER_SHARD)
     rows = spark.read.parquet(out).select(*tail.columns).unionByName(tail)
     return rows.select("row_idx", "shard_id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))

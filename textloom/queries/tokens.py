@@ -56,9 +56,8 @@ def word_token_counts(spark, sf):
 @query("N6 N4", f"""WITH {sql.TOKEN_STREAM}
 SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, count(*)::INTEGER AS n FROM stream GROUP BY doc_id""")
 def encoded_with_eos(spark, sf):
-    model = enc.WordModel.from_table(vocabulary(spark, sf))
-    ids = enc.append_eos(enc.encode_text(spark, model, F.col("text")))
-    rows = texts(spark, sf, "doc_id", "text").select("doc_id", ids.alias("ids"))
+    rows = enc.encode_documents(texts(spark, sf, "doc_id", "text"), vocabulary(spark, sf), ["doc_id"], F.col("text"))
+    rows = rows.withColumn("ids", enc.append_eos(F.col("ids")))
     return rows.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"),
                        F.size("ids").alias("n"))
 
@@ -75,8 +74,8 @@ def encoded_by_join(spark, sf):
 @query("N9", f"SELECT doc_id, array_to_string(pieces, ' ') AS text FROM ({_PIECES})")
 def decoded_text(spark, sf):
     words = vocabulary(spark, sf)
-    ids = enc.append_eos(enc.encode_text(spark, enc.WordModel.from_table(words), F.col("text")))
-    return enc.decode(texts(spark, sf, "doc_id", "text").select("doc_id", ids.alias("ids")), words, ["doc_id"])
+    ids = enc.encode_documents(texts(spark, sf, "doc_id", "text"), words, ["doc_id"], F.col("text"))
+    return enc.decode(ids.withColumn("ids", enc.append_eos(F.col("ids"))), words, ["doc_id"])
 
 
 @query("L3", f"""WITH {sql.WORD_TOKENS}, counts AS (SELECT word, count(*) AS freq FROM toks GROUP BY word),

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.cleaners import HTML_KEY_PREFIX, clean_by_name
 from textloom.functions.text import MIN_CHARS, as_text, evaluate_once
-from textloom.operators.ordered import ordinals
+from textloom.operators.ordered import key_cutoffs, ordinals, prefix, take_prefix
 from textloom.schemas import SOURCE_REGISTRY
+from textloom.workspace import freeze
 
 
 @dataclass(frozen=True)
@@ -102,12 +103,12 @@ def clean_documents(docs: DataFrame, min_chars: int = MIN_CHARS,
 
 def split_slice(docs: DataFrame, percent: float, order_by: Sequence[str],
                 group_by: Sequence[str] = ()) -> DataFrame:
-    """The first ``percent`` % of rows in source order, to the nearest row."""
-    numbered = ordinals(docs, order_by, group_by, "_ord")
-    sizes = docs.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_rows"))
-    if group_by:
-        numbered = numbered.join(sizes, list(group_by))
-        keep = F.col("_ord") <= F.round(F.col("_rows") * (percent / 100.0)).cast("bigint")
-    else:
-        keep = F.col("_ord") <= round(sizes.first()["_rows"] * percent / 100.0)
-    return numbered.where(keep).drop("_ord", "_rows")
+    """The first ``percent`` % of rows in source order, to the nearest row. The
+    end of the slice is found on the key columns alone."""
+    if not group_by:
+        return prefix(docs, round(docs.count() * percent / 100.0), order_by)
+    keys = docs.select(*group_by, *order_by)
+    sizes = keys.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_rows"))
+    wanted = F.round(F.col("_rows") * (percent / 100.0)).cast("bigint")
+    kept = ordinals(keys, order_by, group_by, "_ord").join(sizes, list(group_by)).where(F.col("_ord") <= wanted)
+    return take_prefix(docs, freeze(key_cutoffs(kept, order_by, group_by), "cutoffs"), order_by, group_by)

@@ -36,7 +36,7 @@ def take_batch(batch: DataFrame, before: DataFrame, shard_tokens: int, order_by:
     admitted = judged.where("ok")
 
     bounds = freeze(shards.greedy_bounds(admitted, shard_tokens, order_by), "bounds")
-    cutoffs = ordered.key_cutoffs(admitted, order_by, ["source"])
+    cutoffs = freeze(ordered.key_cutoffs(admitted, order_by, ["source"]), "cutoffs")
     taken = ordered.take_prefix(batch, cutoffs, order_by, ["source"]).where(F.col("text").rlike(tx.WORD))
     base = F.broadcast(before.select("source", "shard_base"))
     documents = shards.assign_shards(taken, bounds, order_by).join(base, "source").withColumn(

@@ -37,7 +37,7 @@ def pack_batch(stored: DataFrame, before: DataFrame, seq_len: int,
     return full.withColumn("row_idx", F.col("row_idx") + F.lit(old["next_row"])), after
 
 
-def packed_stream(docs: DataFrame, model: enc.Model, out_dir: str, state_dir: str, checkpoint: str,
+def packed_stream(docs: DataFrame, model: enc.Model | DataFrame, out_dir: str, state_dir: str, checkpoint: str,
                   seq_len: int, shard_tokens: int, order_by: Sequence[str],
                   eos_id: int | None = EOS_ID) -> StreamingQuery:
     """Pack everything that has arrived; full rows go to ``out_dir/batch_id=n``."""
@@ -45,8 +45,9 @@ def packed_stream(docs: DataFrame, model: enc.Model, out_dir: str, state_dir: st
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ids = enc.append_eos(enc.encode_text(spark, model, F.col("text")), eos_id)
-        present = batch.where(F.col("text").isNotNull()).select(*order_by, ids.alias("ids"))
+        present = batch.where(F.col("text").isNotNull())
+        present = enc.encode_documents(present, model, order_by, F.col("text")).withColumn(
+            "ids", enc.append_eos(F.col("ids"), eos_id))
         stored = freeze(present.withColumn("n", F.size("ids").cast("bigint")), "token-ids")
         full, after = pack_batch(stored, state.load(spark, state_dir, batch_id, empty), seq_len, order_by)
         state.store(pack.finish_rows(full, seq_len, shard_tokens, final=False), out_dir, batch_id)
