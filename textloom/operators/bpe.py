@@ -134,3 +134,16 @@ def induce(counts: DataFrame, vocab_size: int = 32000, min_frequency: int = 2,
         if not taken:
             break
     return BpeModel(tokens, merges)
+
+
+def save(model: BpeModel, spark: SparkSession, path: str) -> None:
+    """Vocabulary and merges as two small tables."""
+    model.vocabulary(spark).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    model.merge_table(spark).write.mode("overwrite").parquet(f"{path}/merges")
+
+
+def load(spark: SparkSession, path: str) -> BpeModel:
+    """A saved model; both tables are bounded by the vocabulary size."""
+    tokens = spark.read.parquet(f"{path}/vocabulary").orderBy("id").toArrow()["token"].to_pylist()
+    merges = spark.read.parquet(f"{path}/merges").orderBy("rank").collect()
+    return BpeModel(tokens, [(r["id_a"], r["id_b"], r["id_merged"]) for r in merges])
