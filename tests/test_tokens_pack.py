@@ -35,12 +35,13 @@ def test_bpe_equals_library(spark, seed):
     model = bpe.induce(vocab.word_counts(frame, F.col("text")), vocab_size=85)
     tok = library(texts, 85)
     assert {t: i for i, t in enumerate(model.tokens)} == tok.get_vocab()
-    extra = frame.unionByName(spark.createDataFrame([(100, "unseenZZ wörd aab banana")], frame.schema))
+    extra = frame.unionByName(spark.createDataFrame([(100, "unseenZZ wörd aab banana"),
+                                                  (101, "a..<|endoftext|>b <unk>>< <|im_end|>|> <|endoftext <pad")], frame.schema))
     got = {r.doc_id: r.ids for r in extra.select(
         "doc_id", enc.encode_text(spark, model, F.coalesce("text", F.lit(""))).alias("ids")).collect()}
     for r in extra.collect():
         assert got[r.doc_id] == tok.encode(r.text or "", add_special_tokens=False).ids
-    table = freeze(enc.word_ids(vocab.word_counts(extra, F.col("text")), model))
+    table = freeze(enc.word_ids(vocab.word_counts(extra, F.col("text"), enc.tokens), model))
     for limit in (10**6, 0):
         joined = enc.encode_by_join(extra, table, ["doc_id"], F.coalesce("text", F.lit("")), limit)
         assert {r.doc_id: r.ids for r in joined.collect()} == got

@@ -47,6 +47,8 @@ class BpeModel:
     def encode_word(self, word: str) -> list[int]:
         """Merge the best-ranked pair until none is left; unknown characters
         stay one unknown token each."""
+        if word in SPECIAL_TOKENS:
+            return [self.ids[word]]
         parts = [self.ids.get(ch, UNK_ID) for ch in word]
         while len(parts) > 1:
             best = min((self.ranks[p] + (i,) for i, p in enumerate(zip(parts, parts[1:])) if p in self.ranks),

@@ -20,11 +20,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as tx
-from textloom.operators.vocab import EOS_ID, FIRST_ID, UNK_ID
+from textloom.operators.vocab import EOS_ID, FIRST_ID, SPECIAL_TOKENS, UNK_ID
 
 MAX_BROADCAST_WORDS = 1 << 21
 MAX_LITERAL_TOKENS = 1 << 16
 _CACHE_WORDS = 1 << 20
+SPECIAL_IDS = {token: i for i, token in enumerate(SPECIAL_TOKENS)}
+_SPECIAL = "|".join(rf"\Q{token}\E" for token in SPECIAL_TOKENS)
+_WORD_OR_SPECIAL = rf"(?U){_SPECIAL}|\w++|(?:(?!{_SPECIAL})[^\w\s])++"
+
+
+def tokens(text: Column, special: bool = True) -> Column:
+    """Words and punctuation runs. With ``special`` a special token written out
+    in a text is one piece and gets its own id; otherwise it is plain text."""
+    plain = tx.tokens(text)
+    if not special:
+        return plain
+    split = F.regexp_extract_all(text, F.lit(_WORD_OR_SPECIAL), F.lit(0))
+    return F.when(text.rlike(_SPECIAL), split).otherwise(plain)
 
 
 class Model(Protocol):
@@ -37,7 +50,7 @@ class WordModel:
     """Whole words; anything else is one unknown token."""
 
     def __init__(self, ids: dict[str, int]):
-        self.ids = ids
+        self.ids = SPECIAL_IDS | ids
 
     def encode_word(self, word: str) -> list[int]:
         return [self.ids.get(word, UNK_ID)]
@@ -92,9 +105,9 @@ def encode_column(spark: SparkSession, model: Model, words: Column) -> Column:
     return encode(words)
 
 
-def encode_text(spark: SparkSession, model: Model, text: Column) -> Column:
-    """Ids of a text, without special tokens."""
-    return encode_column(spark, model, tx.tokens(text))
+def encode_text(spark: SparkSession, model: Model, text: Column, special: bool = True) -> Column:
+    """Ids of a text; none are added."""
+    return encode_column(spark, model, tokens(text, special))
 
 
 def encode_documents(docs: DataFrame, model: Model | DataFrame, key: Sequence[str], text: Column,
@@ -135,7 +148,10 @@ def encode_by_join(docs: DataFrame, table: DataFrame, key: Sequence[str], text:
     """``(key, ids)`` by looking every word up in ``table (word, ids)``. The
     table is broadcast only when its counted size allows it; otherwise the join
     shuffles on the word, and adaptive execution splits the hot ones."""
-    words = docs.select(*key, F.posexplode_outer(tx.tokens(text)).alias("_pos", "word"))
+    words = docs.select(*key, F.posexplode_outer(tokens(text)).alias("_pos", "word"))
+    special = docs.sparkSession.createDataFrame([(t, [i]) for t, i in SPECIAL_IDS.items()], "word string, ids array<int>")
+    ordinary = table.where(~F.col("word").isin(*SPECIAL_TOKENS)).select("word", "ids")
+    table = ordinary.unionByName(special)
     side = F.broadcast(table) if table.count() <= max_broadcast else table
     found = words.join(side, "word", "left").select(
         *key, F.when(F.col("_pos").isNotNull(), F.struct(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,11 @@ def special_tokens(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SPECIAL_TOKENS)), "id int, token string")
 
 
-def word_counts(docs: DataFrame, text: Column) -> DataFrame:
+def word_counts(docs: DataFrame, text: Column,
+                split: Callable[[Column], Column] = tx.tokens) -> DataFrame:
     """How often each word or punctuation run occurs; counted map-side first, so
     a frequent word is a small number of partial counts."""
-    return docs.select(F.explode(tx.tokens(text)).alias("word")).groupBy("word").agg(
+    return docs.select(F.explode(split(text)).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("freq"))
 
 
