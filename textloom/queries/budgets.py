@@ -128,7 +128,7 @@ def corpus_summary(spark, sf):
 SELECT source, shard_id, doc_id, text, 'en' AS lang FROM sharded""")
 def corpus_shards_written(spark, sf):
     path = new_path(spark, "corpus")
-    sinks.write_shards(corpus(spark, sf).documents, path)
+    sinks.write_shards(corpus(spark, sf).documents, path, clean=True)
     back = sinks.read_shards(spark, path, ["source", "shard_id", "doc_id", "text", "lang"])
     return back.withColumn("shard_id", F.col("shard_id").cast("bigint"))
 
