@@ -5,12 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.benchmark_scan import contamination
 from textloom.llm.catalogue import RUNS, SQL, query, table  # noqa: F401
 from textloom.llm.fingerprints import neighbour_fingerprints
 from textloom.llm.hilbert import as_number, curve_shards
 from textloom.llm.url_rules import judge_urls
 
 SHARDS = 16
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query(rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w
+  FROM benchmark),
+sized AS (SELECT item, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0),
+patterns AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM sized, unnest(range(1, len(w) - n + 2)) AS t(i)),
+sizes AS (SELECT DISTINCT n FROM patterns),
+windows AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM docs, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
+found AS (SELECT doc_id, i, n, item FROM windows JOIN patterns USING (n, p)),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
+def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document against every window of the benchmark."""
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
 
 
 @query()
