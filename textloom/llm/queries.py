@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.benchmark_scan import contamination
+from textloom.llm.best_fit import pack_documents
 from textloom.llm.catalogue import RUNS, SQL, query, table  # noqa: F401
 from textloom.llm.fingerprints import neighbour_fingerprints
 from textloom.llm.hilbert import as_number, curve_shards
@@ -85,3 +86,9 @@ def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
 def op8_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of every document, its edited text and its next document."""
     return neighbour_fingerprints(table(spark, sf, "documents"))
+
+
+@query()
+def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as tokens in sequences of at most 1024."""
+    return pack_documents(table(spark, sf, "documents"))
