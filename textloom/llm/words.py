@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 21
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
@@ -91,7 +92,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[p
     """Slices of at most ``limit`` bytes of text, or one row where that has more."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
     at = 0
     while at < len(ends):
         done = ends[at - 1] if at else 0
@@ -102,7 +103,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[p
 
 def find_words(texts: pa.Array, rule: WordRule) -> Words:
     """The words of all texts; NULL has none."""
-    texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
