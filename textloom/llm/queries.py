@@ -10,6 +10,7 @@ from textloom.llm.best_fit import pack_documents
 from textloom.llm.catalogue import RUNS, SQL, query, table  # noqa: F401
 from textloom.llm.fingerprints import neighbour_fingerprints
 from textloom.llm.hilbert import as_number, curve_shards
+from textloom.llm.near_dups import near_duplicates
 from textloom.llm.url_rules import judge_urls
 
 SHARDS = 16
@@ -92,3 +93,9 @@ def op8_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as tokens in sequences of at most 1024."""
     return pack_documents(table(spark, sf, "documents"))
+
+
+@query()
+def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's near-duplicate component."""
+    return near_duplicates(table(spark, sf, "documents"))

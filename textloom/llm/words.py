@@ -88,11 +88,12 @@ class Words:
         return np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.starts))
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``limit`` bytes of text, or one row where that has more."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE, also: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``limit`` bytes of text in one or two columns, or one row where that has more."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    ends = np.cumsum(sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64)
+                         for c in (column, also) if c))
     at = 0
     while at < len(ends):
         done = ends[at - 1] if at else 0
