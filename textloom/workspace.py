@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def workspace_dir(spark: SparkSession) -> str:
@@ -32,10 +33,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def freeze(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the workspace and return the re-read table."""
+    """Write ``df`` to the workspace and return the re-read table. Shuffle files of
+    the write are of no more use then, so Spark is told to drop them at its end."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
