@@ -11,6 +11,7 @@ from textloom.llm.catalogue import RUNS, SQL, query, table  # noqa: F401
 from textloom.llm.fingerprints import neighbour_fingerprints
 from textloom.llm.hilbert import as_number, curve_shards
 from textloom.llm.near_dups import near_duplicates
+from textloom.llm.substrings import remove_repeats
 from textloom.llm.url_rules import judge_urls
 
 SHARDS = 16
@@ -99,3 +100,20 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's near-duplicate component."""
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query(r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, hash(array_to_string(w[i:i + 12], ' ')) AS p FROM docs, unnest(range(1, len(w) - 11)) AS t(i)),
+firsts AS (SELECT p, min(doc_id) AS first_id FROM windows GROUP BY p),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM windows JOIN firsts USING (p) WHERE first_id < doc_id),
+lost AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
+       sha256(array_to_string([x FOR x, k IN w IF NOT list_contains(coalesce(ks, []), k)], ' ')) AS kept_sha256
+FROM docs LEFT JOIN lost USING (doc_id)
+""")
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the windows that an earlier document has."""
+    return remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
