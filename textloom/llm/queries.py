@@ -12,6 +12,7 @@ from textloom.llm.fingerprints import neighbour_fingerprints
 from textloom.llm.hilbert import as_number, curve_shards
 from textloom.llm.near_dups import near_duplicates
 from textloom.llm.substrings import remove_repeats
+from textloom.llm.toxicity import LIMIT, held_out, score_documents, train
 from textloom.llm.url_rules import judge_urls
 
 SHARDS = 16
@@ -117,3 +118,12 @@ FROM docs LEFT JOIN lost USING (doc_id)
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the windows that an earlier document has."""
     return remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """A toxicity score for every document, learnt from the labels outside the held-out fold."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf, "labels"))
+    return score_documents(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
