@@ -167,7 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["hi"] - s["lo"]))
     counted = scan_documents(docs, benchmark, window).withColumn("n_hit", hit)
     return counted.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        "doc_id", "text_key", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from textloom.llm.benchmark_scan import contamination
 from textloom.llm.best_fit import pack_documents
 from textloom.llm.catalogue import RUNS, SQL, query, table  # noqa: F401
+from textloom.llm.field_tokens import section_tokens
 from textloom.llm.fingerprints import neighbour_fingerprints
 from textloom.llm.hilbert import as_number, curve_shards
+from textloom.llm.language_model import backoff_scores
 from textloom.llm.near_dups import near_duplicates
 from textloom.llm.substrings import remove_repeats
 from textloom.llm.toxicity import LIMIT, held_out, score_documents, train
@@ -40,7 +42,7 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """)
 def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Every document against every window of the benchmark."""
-    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_key")
 
 
 
@@ -127,3 +129,33 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = train(docs, table(spark, sf, "labels"))
     return score_documents(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
+
+
+@query()
+def op2_section_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every line of every document, from one encoding of each document."""
+    return section_tokens(table(spark, sf, "documents"))
+
+
+@query(rf"""
+WITH docs AS (
+  SELECT doc_id, doc_id % 2 AS f, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (
+  SELECT doc_id, f, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS u FROM docs, unnest(range(1, len(w) + 1)) AS t(i)),
+totals AS (SELECT f, count(*) AS n FROM words GROUP BY f),
+singles AS (SELECT x, f, count(*) AS c FROM words GROUP BY x, f),
+pairs AS (SELECT u, x, f, count(*) AS c FROM words WHERE u IS NOT NULL GROUP BY u, x, f),
+logs AS (
+  SELECT t.doc_id, p.c IS NOT NULL AS found,
+         CASE WHEN p.c IS NOT NULL THEN ln(p.c / a.c)
+              ELSE CASE WHEN t.u IS NULL THEN 0 ELSE ln(0.4) END + ln(coalesce(b.c, 0.4) / n.n) END AS s
+  FROM words t JOIN totals n ON n.f = 1 - t.f
+  LEFT JOIN singles b ON b.x = t.x AND b.f = 1 - t.f
+  LEFT JOIN singles a ON a.x = t.u AND a.f = 1 - t.f
+  LEFT JOIN pairs p ON p.x = t.x AND p.u = t.u AND p.f = 1 - t.f)
+SELECT doc_id, len(w) AS n_words, coalesce(n_found, 0) AS n_found, round(score, 6) AS score
+FROM docs LEFT JOIN (SELECT doc_id, CAST(count(*) FILTER (found) AS BIGINT) AS n_found, avg(s) AS score FROM logs GROUP BY doc_id) USING (doc_id)
+""")
+def op6_backoff_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's mean log score under the counts of the other half of the documents."""
+    return backoff_scores(table(spark, sf, "documents")).withColumn("score", F.round("score", 6))

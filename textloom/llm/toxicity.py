@@ -244,19 +244,18 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     return fit([r.text for part in rows for r in part], [r.toxic for part in rows for r in part])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
-            kept = [n for n in part.schema.names]
-            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in kept], pa.array(predict(model, part.column("text")))], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(predict(model, part.column("text")))], [*part.schema.names, name])
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of ``docs`` (``doc_id``, ``text`` and others) with its ``score``.
+def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Every row of ``docs`` (``text`` and others) with its score as column ``name``.
 
     Defined results: NULL, empty and word-free texts get the network's value of an empty window; repeated rows
-    score alike; no rows give no rows; NULL ids score as any other; a column named ``score`` is replaced. Only the text is an input."""
+    score alike; no rows give no rows; NULL ids score as any other; a column of that name is replaced. Only the text is an input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("score")
-    schema = rows.select("*", F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(lambda batches: _score(batches, shared.value), schema)
+    rows = docs.drop(name)
+    schema = rows.select("*", F.lit(0.0).alias(name)).schema
+    return rows.mapInArrow(lambda batches: _score(batches, shared.value, name), schema)
