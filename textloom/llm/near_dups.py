@@ -5,13 +5,13 @@
 2. Documents with equal sets form a class; only its smallest document goes on.
 3. Documents that share a band hash form a bucket. A bucket is not expanded into pairs: in
    each round some of its documents become *hubs* and are paired with the members of
-   other components. Hubs double from round to round, and a bucket is done when its
-   members that never were a hub are in one component, so no pair of a bucket stays unjudged.
+   other components. Each round has ``MORE`` times the hubs, and a bucket is done when its members
+   that never were a hub are in one component, so no pair of a bucket stays unjudged.
 4. Packed signatures give the estimate ``(m - c) / (1 - c)``, with ``m`` the share of equal values by
    bit counts and ``c = 2^-BITS`` the chance of equal bits; pairs far below the threshold
-   (five standard deviations) go.
-5. The rest is confirmed on the full sets, each document's best pair first; pairs that are
-   already connected need no second look. Components are labels in written tables.
+   (four standard deviations) go.
+5. The rest is confirmed on the full sets, in the first round each document's best pair before the others; pairs
+   that are already connected need no second look. Components are labels in written tables.
 """
 
 from __future__ import annotations
@@ -21,15 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
+from textloom.llm.ragged import gathered
 from textloom.llm.words import LOWER_BLANKS, WordRule, find_words, mix, pieces, runs
 from textloom.workspace import freeze
 
 SHINGLE = 5
-HASHES, BAND_ROWS, BITS = 128, 4, 8
+HASHES, BITS = 256, 8
+BANDS, BAND_ROWS = 32, 4  # of the first 128 hashes
+MORE = 8
 PERCENT = 75
 _SEEDS = np.random.default_rng(5)
 _FACTORS = _SEEDS.integers(1 << 31, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -79,7 +83,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 short = (code >> np.uint64(32)).astype(np.uint32)
                 for i in range(HASHES):
                     minima[i] = np.minimum.reduceat(short * _FACTORS[i] + _SHIFTS[i], at)
-            bands = np.empty((len(some), HASHES // BAND_ROWS), np.uint64)
+            bands = np.empty((len(some), BANDS), np.uint64)
             for b in range(bands.shape[1]):
                 h = np.full(len(some), b + 1, np.uint64)
                 for i in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
@@ -92,13 +96,24 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "signature"])
 
 
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            row, code = shingle_sets(part.column("text"))
+            cuts = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id"), pa.array([code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+            ], ["doc_id", "codes"])
+
+
 def _judge(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text_a", also="text_b"):
-            row_a, code_a = shingle_sets(part.column("text_a"))
-            row_b, code_b = shingle_sets(part.column("text_b"))
-            n = part.num_rows
-            row, code = np.concatenate([row_a, row_b]), np.concatenate([code_a, code_b])
+        for part in pieces(batch, "codes_a", also="codes_b"):
+            n, row, code = part.num_rows, [], []
+            for side in ("codes_a", "codes_b"):
+                row.append(np.repeat(np.arange(n), np.asarray(pc.binary_length(part.column(side))) // 8))
+                code.append(gathered(pa.table({side: part.column(side)}), side, np.uint64))
+            row, code = np.concatenate(row), np.concatenate(code)
             order = np.lexsort((code, row))
             row, code = row[order], code[order]
             common = np.bincount(row[1:][(row[1:] == row[:-1]) & (code[1:] == code[:-1])], minlength=n)
@@ -123,7 +138,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 def _least_estimate(percent: int) -> float:
     p = percent / 100
-    return p - 5 * math.sqrt(p * (1 - p) / HASHES)
+    return p - 4 * math.sqrt(p * (1 - p) / HASHES)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -174,9 +189,9 @@ def _link(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent:
         if members.isEmpty():
             return links
         turn = F.xxhash64("doc_id", "bucket")
-        hubs = freeze(members.groupBy("bucket", F.pmod(turn, F.lit(hubs_each)).alias("slot")).agg(
+        hubs = members.groupBy("bucket", F.pmod(turn, F.lit(hubs_each)).alias("slot")).agg(
             F.min_by(F.struct(F.col("doc_id").alias("hub"), F.col("label").alias("hub_label")), F.struct(turn, "doc_id")).alias("h"),
-        ).select("bucket", "h.*"), "hubs")
+        ).select("bucket", "h.*")
         met = members.join(hubs, "bucket").where("label <> hub_label").select(
             F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
         sig = lambda side: signatures.select(F.col("doc_id").alias(side), F.col("signature").alias(f"sig_{side}"))
@@ -184,24 +199,24 @@ def _link(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent:
         pairs = freeze(judged.where(F.col("likely") >= _least_estimate(percent)), "pairs")
         if not pairs.isEmpty():
             ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            held = freeze(texts.join(ids, "doc_id"), "texts")
-            best = pairs.groupBy("b").agg(F.max_by("a", F.struct("likely", -F.col("a"))).alias("a"))
-            links = _confirm(best, held, percent, links)
-            labels = components(links)
-            rest = labelled(labelled(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb")
-            rest = freeze(rest.select("a", "b"), "pairs")
-            if not rest.isEmpty():
-                links = _confirm(rest, held, percent, links)
+            sets = freeze(texts.join(ids, "doc_id").mapInArrow(_set_rows, "doc_id bigint, codes binary"), "sets")
+            rest = pairs.select("a", "b")
+            if links is None:
+                best = pairs.groupBy("b").agg(F.max_by("a", F.struct("likely", -F.col("a"))).alias("a"))
+                links = _confirm(best, sets, percent)
+                labels = components(links)
+                rest = labelled(labelled(rest.join(best, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb")
+            found = _confirm(rest.select("a", "b"), sets, percent)
+            if not found.isEmpty():
+                links = links.unionByName(found)
                 labels = components(links)
         # Pairs with a hub are judged; what remains are pairs of documents that were none.
-        members = freeze(members.drop("label").join(
-            hubs.select("bucket", F.col("hub").alias("doc_id")), ["bucket", "doc_id"], "left_anti"), "members")
-        hubs_each *= 2
+        members = members.drop("label").join(hubs.select("bucket", F.col("hub").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
+        hubs_each *= MORE
 
 
-def _confirm(pairs: DataFrame, held: DataFrame, percent: int, known: DataFrame | None) -> DataFrame:
-    """``known`` and those of ``pairs`` whose full sets are similar enough."""
-    text = lambda side: held.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    found = pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(
-        lambda batches: _judge(batches, percent), "a bigint, b bigint")
-    return freeze(found if known is None else known.unionByName(found), "links")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose full sets are similar enough."""
+    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("codes").alias(f"codes_{name}"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "codes_a", "codes_b")
+    return freeze(both.mapInArrow(lambda batches: _judge(batches, percent), "a bigint, b bigint"), "links")
