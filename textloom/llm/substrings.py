@@ -247,9 +247,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     total = counted.agg(F.sum("n_words")).first()[0] or 0
     parts = max(-(-total // (2 * keys_per_group)), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Whole copies: the smallest document of each word sequence goes on alone.
-    leaders = counted.groupBy("all_sha256").agg(F.min("id").alias("leader"))
-    marked = freeze(counted.join(leaders, "all_sha256").withColumn(
-        "copy", (F.col("id") > F.col("leader")) & (F.col("n_words") >= window)), "marked")
+    # A written table: joined to it, a sequence that many documents have can be split at run time.
+    leaders = freeze(counted.groupBy("all_sha256").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("_n"))
+                     .where("_n > 1").drop("_n"), "leaders")
+    marked = freeze(counted.join(leaders, "all_sha256", "left").withColumn(
+        "copy", F.coalesce((F.col("id") > F.col("leader")) & (F.col("n_words") >= window), F.lit(False))), "marked")
 
     keys = texts.select("id", "text").mapInArrow(lambda b: _key_rows(b, parts, window, anchor), _KEYS)
     shared = freeze(keys.groupBy("part").applyInArrow(lambda g: _repeated_keys(g, hot), "id bigint, places array<int>"), "shared")
