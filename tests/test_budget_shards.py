@@ -7,40 +7,6 @@ from textloom.operators import budget, shards
 from textloom.workspace import freeze
 
 
-def loop_capped(rows, target):
-    out, total = [], 0
-    for k, n in rows:
-        if total >= target:
-            break
-        if n <= 0:
-            continue
-        if total + n > int(target * 1.01):
-            break
-        total += n
-        out.append(k)
-    return out
-
-
-def loop_crossing(rows, target):
-    out, total = [], 0
-    for k, n in rows:
-        out.append(k)
-        total += n
-        if total >= target:
-            break
-    return out
-
-
-def loop_shards(rows, size):
-    out, acc, shard = {}, 0, 0
-    for k, n in rows:
-        out[k] = shard
-        acc += n
-        if acc >= size:
-            shard, acc = shard + 1, 0
-    return out
-
-
 def sources(seed, n=60):
     rnd = random.Random(seed)
     data = {s: [(i, rnd.choice([0, 1, 3, 10, 50, 400])) for i in range(rnd.randrange(1, n))] for s in "abcdef"}
@@ -54,28 +20,59 @@ def frame(spark, data):
                                  "source string, k bigint, n_tok bigint")
 
 
+def admitted(df, admit, target, cell):
+    rows = admit(df, F.lit(target), ["k"], ["source"], rows_per_cell=cell).select("source", "k").collect()
+    return {s: sorted(r.k for r in rows if r.source == s) for s in {r.source for r in rows}}
+
+
+@pytest.mark.parametrize("cell", [1 << 20, 13])
+@pytest.mark.parametrize("target", [0, 1, 100, 400, 1000, 10**6])
+def test_capped_budget(spark, target, cell):
+    """Rows with tokens form a prefix within 1 % above the target, and the next such row either finds the
+    target met or would go beyond that."""
+    data = sources(target)
+    got = admitted(frame(spark, data), budget.admit_capped, target, cell)
+    for s, rows in data.items():
+        real = [(k, n) for k, n in rows if n > 0]
+        taken = got.get(s, [])
+        assert taken == [k for k, _ in real[:len(taken)]]
+        total = sum(n for _, n in real[:len(taken)])
+        assert total <= int(target * 1.01)
+        assert sum(n for _, n in real[:len(taken) - 1]) < target or not taken
+        for _, n in real[len(taken):len(taken) + 1]:
+            assert total >= target or total + n > int(target * 1.01)
+
+
 @pytest.mark.parametrize("cell", [1 << 20, 13])
 @pytest.mark.parametrize("target", [0, 1, 100, 400, 1000, 10**6])
-def test_budgets_match_the_loop(spark, target, cell):
+def test_crossing_budget(spark, target, cell):
+    """The shortest prefix that is not empty and reaches the target, or else all rows."""
     data = sources(target)
-    df = frame(spark, data)
-    for admit, loop in ((budget.admit_capped, loop_capped), (budget.admit_crossing, loop_crossing)):
-        got = admit(df, F.lit(target), ["k"], ["source"], rows_per_cell=cell).select("source", "k").collect()
-        want = {(s, k) for s, rows in data.items() for k in loop(rows, target)}
-        assert {tuple(r) for r in got} == want
+    got = admitted(frame(spark, data), budget.admit_crossing, target, cell)
+    for s, rows in data.items():
+        taken = got[s]
+        assert taken == [k for k, _ in rows[:len(taken)]]
+        assert len(taken) == len(rows) or sum(n for _, n in rows[:len(taken)]) >= target
+        assert len(taken) == 1 or sum(n for _, n in rows[:len(taken) - 1]) < target
 
 
 @pytest.mark.parametrize("small_table,max_bounds,cell", [(1 << 20, 1 << 20, 1 << 20), (0, 1 << 20, 11), (0, 0, 17)])
 @pytest.mark.parametrize("size", [1, 60, 400])
-def test_greedy_shards_match_the_loop(spark, size, small_table, max_bounds, cell):
+def test_greedy_shards_are_full_and_minimal(spark, size, small_table, max_bounds, cell):
     from textloom.operators.ordered import running_totals
 
     data = sources(7 * size)
     run = freeze(running_totals(frame(spark, data), ["k"], {"running": F.col("n_tok")}, ["source"], cell))
     bounds = freeze(shards.greedy_bounds(run, size, ["k"], small_table=small_table, rows_per_cell=cell))
     got = shards.assign_shards(run, bounds, ["k"], max_bounds=max_bounds, rows_per_cell=cell).collect()
-    assert {(r.source, r.k): r.shard_id for r in got} == {
-        (s, k): v for s, rows in data.items() for k, v in loop_shards(rows, size).items()}
+    shard = {(r.source, r.k): r.shard_id for r in got}
+    for s, rows in data.items():
+        ids = [shard[s, k] for k, _ in rows]
+        assert ids == sorted(ids) and set(ids) == set(range(ids[-1] + 1))
+        for i in set(ids):
+            own = [n for j, (_, n) in zip(ids, rows) if j == i]
+            assert sum(own[:-1]) < size  # nothing but the last row fills a shard
+            assert sum(own) >= size or i == ids[-1]
 
 
 @pytest.mark.parametrize("max_bounds", [1 << 20, 0])

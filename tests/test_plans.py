@@ -1,3 +1,5 @@
+from itertools import accumulate
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,30 +40,22 @@ def test_unknown_source_is_dropped_and_the_rest_scaled(spark):
     assert [r.source_key for r in mx.unknown_keys(mx.mix_entries(spark, mix), known).collect()] == ["rpj"]
 
 
-def loop_lines(data):
-    queues = {k: list(v) for k, v in data.items()}
-    while queues:
-        for k in list(queues):
-            if not queues[k]:
-                del queues[k]
-                continue
-            text = queues[k].pop(0).strip()
-            if text:
-                yield text.replace("\n", " ")
+def in_turn(data):
+    """Each source's first texts, then the second ones, and so on; blank texts only take up their turn."""
+    places = {(turn, source): text.strip() for source, texts in enumerate(data.values()) for turn, text in enumerate(texts)}
+    return [" ".join(places[p].split("\n")) for p in sorted(places) if places[p]]
 
 
 @pytest.mark.parametrize("cell", [1 << 20, 4])
 @pytest.mark.parametrize("limit", [dict(max_bytes=None), dict(max_bytes=30), dict(max_bytes=1), dict(max_lines=5)])
-def test_line_corpus_matches_the_loop(spark, limit, cell):
+def test_line_corpus_takes_turns(spark, limit, cell):
     data = {"a": ["one", " ", "t\nwo", "three"], "b": [], "c": ["é", "", "", "zz", "last one"], "d": ["\n"]}
     rows = [(s, o, i, t) for o, (s, v) in enumerate(data.items()) for i, t in enumerate(v)]
     docs = spark.createDataFrame(rows, "source string, ordinal int, doc_id bigint, text string")
-    want, size = [], 0
-    for line in loop_lines(data):
-        want.append(line)
-        size += len(line.encode()) + 1
-        if limit.get("max_bytes") and size >= limit["max_bytes"] or limit.get("max_lines") == len(want):
-            break
+    lines = in_turn(data)
+    sizes = list(accumulate(len(line.encode()) + 1 for line in lines))
+    short = [n for n, size in enumerate(sizes, 1) if size < (limit.get("max_bytes") or float("inf"))]
+    want = lines[:min(len(short) + 1, limit.get("max_lines", len(lines)))]
     got = line_corpus(docs, **{"max_bytes": None, **limit}, rows_per_cell=cell).orderBy("line_no").collect()
     assert [r.line for r in got] == want
     assert [r.line_no for r in got] == list(range(1, len(want) + 1))
@@ -136,7 +130,7 @@ def test_epoch_order_is_complete_and_reproducible(spark, workers):
 
 def test_packed_read_needs_files(spark, tmp_path):
     spark.range(1).select("id", F.lit(0).alias("shard_id")).write.parquet(str(tmp_path / "p"))
-    with pytest.raises(Exception):
+    with pytest.raises(FileNotFoundError, match="no packed files"):
         readers.read_packed(spark, str(tmp_path / "p"), pattern="none_*")
 
 
