@@ -87,3 +87,18 @@ def test_uniform_shards_keep_their_ids(spark, max_bounds):
     want = {(r.source, r.k): r.shard_id for r in uniform.collect()}
     assert {(r.source, r.k): r.shard_id for r in got} == want
     assert want[("a", 4)] == 5
+
+
+def test_many_bounds_cost_a_document_little(spark):
+    """A row meets arrays of the square root of the number of bounds."""
+    import time
+
+    docs = spark.range(20_000).selectExpr("'a' AS source", "id * 10 AS k")
+    took = []
+    for n in (100, 200_000):
+        bounds = freeze(spark.range(n).selectExpr("'a' AS source", "id AS shard_id", f"named_struct('k0', id * {200_000 // n}) AS last_key"))
+        start = time.time()
+        got = shards.assign_shards(docs, bounds, ["k"]).selectExpr("min(shard_id) lo", "max(shard_id) hi", "count(*) n").first()
+        took.append(time.time() - start)
+        assert (got.lo, got.hi, got.n) == (0, n, 20_000) if n == 100 else got.lo == 0 and got.hi == 199_990
+    assert took[1] < 25

@@ -169,3 +169,28 @@ def test_bigram_loss_by_hand(spark):
 def test_interleave_keeps_turns_of_blanks(spark):
     df = spark.createDataFrame([("a", 5), ("a", 9), ("b", 1)], "source string, doc_id bigint")
     assert {(r.source, r.doc_id): r.turn for r in interleave(df, "doc_id").collect()} == {("a", 5): 1, ("a", 9): 2, ("b", 1): 1}
+
+
+def test_log_lines_with_odd_separators(spark):
+    lines = [("r", i, f"step {s} x\x85   loss 1.5") for i, s in enumerate(["7", "9" * 30, "8"])]
+    got = series.parse_lines(spark.createDataFrame(lines, "run string, line_no bigint, line string")).collect()
+    assert [(r.step, r.loss) for r in got] == [(7, 1.5), (8, 1.5)]
+
+
+def test_files_of_several_roots_are_apart(spark):
+    rows = spark.range(20).select((F.col("id") % 2).cast("int").alias("root"), (F.col("id") % 4 / 2).cast("bigint").alias("shard_id"),
+                                  F.col("id").alias("row_idx"))
+    files = epochs.file_order(rows, shuffle=False).orderBy("file_rank").collect()
+    assert [(r.root, r.shard_id) for r in files] == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    slots = epochs.batch_slots(rows, 3, workers=2).collect()
+    assert len({(r.worker, r.batch_no, r.slot) for r in slots}) == 20
+
+
+def test_sources_by_other_keys_and_by_arrival(spark, tmp_path):
+    path = str(tmp_path / "s")
+    spark.range(40).selectExpr("concat('Q', lpad(id, 3, '0')) AS name", "CAST(id AS STRING) AS text").coalesce(1).write.parquet(path)
+    for source in (Source("s", path, order_by="name"), Source("s", path, order_by=None), Source("s", path, order_by="absent")):
+        got = scan_source(spark, source).orderBy("ord_key").collect()
+        assert [r.text for r in got] == [str(i) for i in range(40)] and [r.ord_key for r in got] == list(range(1, 41))
+    part = scan_source(spark, Source("s", path, order_by="name", percent=25)).collect()
+    assert sorted(int(r.text) for r in part) == list(range(10))

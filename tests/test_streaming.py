@@ -60,3 +60,22 @@ def test_running_totals_accept_start(spark):
     for small in (1 << 20, 0):
         bounds = shards.greedy_bounds(freeze(run), 25, ["k"], small_table=small)
         assert sorted(r.closed_at for r in bounds.collect()) == [45, 75]
+
+
+def test_all_batches_are_counted(spark, tmp_path):
+    """More micro-batches than a query's recent progress keeps."""
+    from pyspark.sql import functions as F
+
+    from textloom.streaming import ingest
+
+    spark.range(24).selectExpr("id AS doc_id", "'s' AS source", "'x' AS text").repartition(12).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        with ingest.recorded(spark, "seen") as log:
+            rows = ingest.arriving(spark, str(tmp_path / "in"), "doc_id bigint, source string, text string", max_files=1)
+            query = ingest.append_to(ingest.observed(rows, "seen", n=F.count(F.lit(1))), str(tmp_path / "out"), str(tmp_path / "check"))
+            got = log.rows(query)
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    assert len(got) > 3 and sum(r["n"] for r in got) == 24

@@ -100,3 +100,50 @@ def test_pack_shuffles_arrays_once(spark):
     by_cell = [line for line in plan.split("\n") if "Exchange hashpartitioning(_cell" in line]
     assert sum("ReusedExchange" not in line for line in by_cell) == 2  # arrays, cell totals
     assert sum("ReusedExchange" in line for line in by_cell) == 1
+
+
+def test_both_ways_to_encode_agree_on_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "low <pad> new zzz"), (3, "low <pad> new zzz"), (3, "low"), (4, "<unk>"), (None, "new")]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = spark.createDataFrame([(5, "low"), (9, "new"), (12, "<pad>"), (13, "<unk>")], "id int, token string")
+    shown = [sorted(map(repr, enc.encode_documents(odd, words, ["doc_id"], F.col("text"), max_broadcast=n).collect())) for n in (100, 0)]
+    assert shown[0] == shown[1] and len(shown[0]) == len(rows)
+    special = enc.SPECIAL_IDS
+    assert repr([5, special["<pad>"], 9, vocab.UNK_ID]) in shown[0][1] + shown[0][2] + shown[0][3] + shown[0][4]
+    ids = spark.createDataFrame([(1, None), (2, []), (3, [5, 7, 9, 1]), (3, [5, 7, 9, 1]), (4, [8])], "doc_id bigint, ids array<int>")
+    texts = [sorted(map(repr, enc.decode(ids, words, ["doc_id"], max_literal=n).collect())) for n in (1 << 16, 0)]
+    assert texts[0] == texts[1] and len(texts[0]) == 5 and texts[0][2] == "Row(doc_id=3, text='low new')"
+
+
+def test_long_words_encode_in_order_n_log_n():
+    import time
+
+    letters = ["a", "b"]
+    model = bpe.BpeModel([*vocab.SPECIAL_TOKENS, *letters, "ab", "abab", "ba", "aa"],
+                         [(5, 6, 7), (7, 7, 8), (6, 5, 9), (5, 5, 10)])
+
+    def slow(word):
+        parts = [model.ids[ch] for ch in word]
+        while True:
+            ranked = [(model.ranks[pair][0], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in model.ranks]
+            if not ranked:
+                return parts
+            _, i = min(ranked)
+            parts[i:i + 2] = [model.ranks[(parts[i], parts[i + 1])][1]]
+
+    rnd = random.Random(1)
+    for n in (1, 2, 3, 7, 40, 90):
+        word = "".join(rnd.choice(letters) for _ in range(n))
+        assert model.encode_word(word) == slow(word)
+    start = time.time()
+    model.encode_word("ab" * 100_000)
+    assert time.time() - start < 5
+
+
+def test_packed_rerun_leaves_no_old_shards(spark, tmp_path):
+    from textloom.sources import readers, sinks
+
+    rows = spark.range(10).select(F.col("id").alias("row_idx"), (F.col("id") % 5).alias("shard_id"))
+    for n in (10, 2):
+        sinks.write_packed(rows.where(F.col("row_idx") < n), str(tmp_path / "p"))
+    assert readers.read_packed(spark, str(tmp_path / "p")).count() == 2

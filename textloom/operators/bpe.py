@@ -13,6 +13,7 @@ merges could have been overtaken: the result equals one merge per round.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,14 +51,32 @@ class BpeModel:
         if word in SPECIAL_TOKENS:
             return [self.ids[word]]
         parts = [self.ids.get(ch, UNK_ID) for ch in word]
-        while len(parts) > 1:
-            best = min((self.ranks[p] + (i,) for i, p in enumerate(zip(parts, parts[1:])) if p in self.ranks),
-                       default=None)
-            if best is None:
-                break
-            _, merged, i = best
-            parts[i:i + 2] = [merged]
-        return parts
+        # A chain of symbols and a heap of mergeable pairs by rank, then place:
+        # n log n for a word of n letters.
+        after = list(range(1, len(parts) + 1))
+        before = list(range(-1, len(parts) - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(parts) and (found := self.ranks.get((parts[i], parts[j]))):
+                heappush(heap, (found[0], i, parts[i], parts[j]))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, left, right = heappop(heap)
+            j = after[i]
+            if parts[i] != left or j >= len(parts) or parts[j] != right:
+                continue  # merged with another symbol meanwhile
+            parts[i], parts[j] = self.ranks[(left, right)][1], -1
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            if before[i] >= 0:
+                offer(before[i])
+            offer(i)
+        return [p for p in parts if p >= 0]
 
     def vocabulary(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(enumerate(self.tokens)), "id int, token string")

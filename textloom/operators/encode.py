@@ -10,6 +10,7 @@ Three ways to look words up, all with the same result:
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -50,7 +51,7 @@ class WordModel:
     """Whole words; anything else is one unknown token."""
 
     def __init__(self, ids: dict[str, int]):
-        self.ids = SPECIAL_IDS | ids
+        self.ids = ids | SPECIAL_IDS
 
     def encode_word(self, word: str) -> list[int]:
         return [self.ids.get(word, UNK_ID)]
@@ -147,17 +148,25 @@ def encode_by_join(docs: DataFrame, table: DataFrame, key: Sequence[str], text:
                    max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """``(key, ids)`` by looking every word up in ``table (word, ids)``. The
     table is broadcast only when its counted size allows it; otherwise the join
-    shuffles on the word, and adaptive execution splits the hot ones."""
-    words = docs.select(*key, F.posexplode_outer(tokens(text)).alias("_pos", "word"))
+    shuffles on the word, and adaptive execution splits the hot ones. A NULL text
+    has NULL ids; rows that repeat a key and text stay as many rows."""
+    words = docs.select(*key, F.xxhash64(text).alias("_text"), text.isNull().alias("_null"),
+                        F.posexplode_outer(tokens(text)).alias("_pos", "word"))
     special = docs.sparkSession.createDataFrame([(t, [i]) for t, i in SPECIAL_IDS.items()], "word string, ids array<int>")
     ordinary = table.where(~F.col("word").isin(*SPECIAL_TOKENS)).select("word", "ids")
     table = ordinary.unionByName(special)
     side = F.broadcast(table) if table.count() <= max_broadcast else table
     found = words.join(side, "word", "left").select(
-        *key, F.when(F.col("_pos").isNotNull(), F.struct(
+        *key, "_text", "_null", F.coalesce("_pos", F.lit(0)).alias("_pos"), F.when(F.col("_pos").isNotNull(), F.struct(
             "_pos", F.coalesce("ids", F.array(F.lit(UNK_ID))).alias("ids"))).alias("piece"))
-    pieces = F.array_sort(F.collect_list("piece"))
-    return found.groupBy(*key).agg(F.flatten(F.transform(pieces, lambda p: p["ids"])).alias("ids"))
+    pieces = F.array_sort(F.collect_set("piece"))
+    return _repeated(found, key, F.when(~F.first("_null"), F.flatten(F.transform(pieces, lambda p: p["ids"]))), "ids")
+
+
+def _repeated(pieces: DataFrame, key: Sequence[str], value: Column, name: str) -> DataFrame:
+    """One value per key and ``_text``, as many times as the input had that row."""
+    grouped = pieces.groupBy(*key, "_text").agg(value.alias(name), F.count_if(F.col("_pos") == 0).alias("_n"))
+    return grouped.select(*key, name, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
 
 
 def append_eos(ids: Column, eos_id: int | None = EOS_ID) -> Column:
@@ -167,20 +176,23 @@ def append_eos(ids: Column, eos_id: int | None = EOS_ID) -> Column:
 
 def decode(docs: DataFrame, vocabulary: DataFrame, key: Sequence[str], ids: str = "ids",
            skip_special: bool = True, max_literal: int = MAX_LITERAL_TOKENS) -> DataFrame:
-    """``(key, text)``: pieces joined by single spaces, special tokens left out.
-    A vocabulary of bounded size becomes a literal array indexed by id; a larger
-    one is joined."""
+    """``(key, text)``: pieces joined by single spaces, special tokens and ids
+    without a token left out; NULL ids have a NULL text. A vocabulary whose largest
+    id is bounded becomes a literal array indexed by id; a larger one is joined."""
     first = FIRST_ID if skip_special else 0
-    size = vocabulary.count()
+    size = (vocabulary.agg(F.max("id")).first()[0] or 0) + 1
     if size <= max_literal:
-        rows = vocabulary.orderBy("id").toArrow()
+        rows = vocabulary.toArrow()
         dense = dict(zip(rows["id"].to_pylist(), rows["token"].to_pylist()))
-        names = F.lit([dense.get(i, "") for i in range(max(dense, default=-1) + 1)] or [""])
+        known = json.dumps([dense.get(i) for i in range(size)])
+        names = F.from_json(F.lit(known), "array<string>")
         kept = F.filter(F.col(ids), lambda i: i >= first)
         return docs.select(*key, F.array_join(F.transform(kept, lambda i: F.get(names, i)), " ").alias("text"))
-    pieces = docs.select(*key, F.posexplode_outer(ids).alias("_pos", "id"))
+    pieces = docs.select(*key, F.xxhash64(ids).alias("_text"), F.col(ids).isNull().alias("_null"),
+                         F.posexplode_outer(ids).alias("_pos", "id"))
     named = pieces.join(vocabulary, "id", "left").select(
-        *key, F.when(F.col("id") >= first, F.struct("_pos", "token")).alias("piece"))
-    ordered_pieces = F.array_sort(F.collect_list("piece"))
-    return named.groupBy(*key).agg(
-        F.array_join(F.transform(ordered_pieces, lambda p: p["token"]), " ").alias("text"))
+        *key, "_text", "_null", F.coalesce("_pos", F.lit(0)).alias("_pos"),
+        F.when(F.col("id") >= first, F.struct("_pos", "token")).alias("piece"))
+    ordered_pieces = F.array_sort(F.collect_set("piece"))
+    text = F.array_join(F.transform(ordered_pieces, lambda p: p["token"]), " ")
+    return _repeated(named, key, F.when(~F.first("_null"), text), "text")

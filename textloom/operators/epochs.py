@@ -2,7 +2,8 @@
 workers, shuffle rows within a file, stack micro-batches.
 
 Shuffles are orders by a keyed hash. They depend on seed, epoch and key only,
-so any worker can recompute its own part.
+so any worker can recompute its own part. Rows of several roots carry the column
+``root``; a file is then a (root, shard_id), and files go in that order unshuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import ordered
+from textloom.workspace import freeze
 
 
 def shuffle_key(seed: int, epoch: int, *parts: str) -> Column:
@@ -18,23 +20,29 @@ def shuffle_key(seed: int, epoch: int, *parts: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed + epoch)), *[F.col(p).cast("string") for p in parts]))
 
 
+def file_key(packed: DataFrame) -> list[str]:
+    """The columns that name a file."""
+    return [c for c in ("root", "shard_id") if c in packed.columns]
+
+
 def file_order(files: DataFrame, seed: int = 42, epoch: int = 0, shuffle: bool = True,
                workers: int = 1) -> DataFrame:
-    """Rank of each ``shard_id`` in the epoch (from 0), its worker, and its turn
-    with that worker. One row per shard."""
-    key = shuffle_key(seed, epoch, "shard_id") if shuffle else F.lit("")
-    ranked = ordered.ordinals(files.select("shard_id").distinct().withColumn("_key", key),
-                              ["_key", "shard_id"], name="_ord")
+    """Rank of each file in the epoch (from 0), its worker, and its turn with
+    that worker. One row per file."""
+    file = file_key(files)
+    key = shuffle_key(seed, epoch, *file) if shuffle else F.lit("")
+    ranked = ordered.ordinals(files.select(*file).distinct().withColumn("_key", key), ["_key", *file], name="_ord")
     rank = F.col("_ord") - 1
-    return ranked.select("shard_id", rank.alias("file_rank"), F.pmod(rank, F.lit(workers)).alias("worker"),
+    return ranked.select(*file, rank.alias("file_rank"), F.pmod(rank, F.lit(workers)).alias("worker"),
                          ordered.whole_div(rank, workers).alias("turn"))
 
 
 def row_order(packed: DataFrame, seed: int = 42, epoch: int = 0, shuffle: bool = False) -> DataFrame:
     """Add ``row_rank`` (from 0) within the shard. A shard has a fixed number of
     rows, so the window is bounded."""
-    keys = [shuffle_key(seed, epoch, "shard_id", "row_idx")] if shuffle else []
-    w = Window.partitionBy("shard_id").orderBy(*keys, "row_idx")
+    file = file_key(packed)
+    keys = [shuffle_key(seed, epoch, *file, "row_idx")] if shuffle else []
+    w = Window.partitionBy(*file).orderBy(*keys, "row_idx")
     return packed.withColumn("row_rank", F.row_number().over(w).cast("bigint") - 1)
 
 
@@ -43,14 +51,15 @@ def batch_slots(packed: DataFrame, batch_size: int, workers: int = 1, seed: int
     """Add worker, batch number and place in the batch to each row. A worker
     reads its files in order; where a file starts follows from the row counts of
     the files before it, a table with one row per shard."""
+    file = file_key(packed)
     rows = row_order(packed, seed, epoch, shuffle_rows)
-    sizes = packed.groupBy("shard_id").agg(F.count(F.lit(1)).alias("_rows"))
-    files = file_order(sizes, seed, epoch, shuffle_files, workers).join(sizes, "shard_id")
+    sizes = freeze(packed.groupBy(*file).agg(F.count(F.lit(1)).alias("_rows")), "sizes")
+    files = file_order(sizes, seed, epoch, shuffle_files, workers).join(sizes, file)
     before = Window.partitionBy("worker").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("shard_id", "worker", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    starts = files.select(*file, "worker", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     place = F.col("_start") + F.col("row_rank")
     return (
-        rows.join(starts, "shard_id")
+        rows.join(starts, file)
         .withColumn("batch_no", ordered.whole_div(place, batch_size))
         .withColumn("slot", F.pmod(place, F.lit(batch_size)).cast("int"))
         .drop("_start")

@@ -4,7 +4,9 @@ Budgets, shards, packs and series all depend on arrival order. A window ordered
 over a whole table (or over a source that holds a third of it) would run in one
 task. Here the order key is cut into *cells* of a bounded number of rows:
 
-1. a hash-chosen sample of keys gives the cell borders (one small job);
+1. a hash-chosen sample of keys gives the cell borders (one small job). Spark
+   sorts them, so a key may be of any sortable type and NULL, and the driver gets
+   one border per cell;
 2. each row finds its cell by bisection on a literal array, so the cell is a
    pure function of the key and a recomputed task gives the same answer;
 3. cell totals are aggregated map-side first and summed up over the cells;
@@ -16,17 +18,17 @@ The order key must be unique within a group.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_CELL = 1 << 20
 _SAMPLES_PER_CELL = 32
 _HASH_SPAN = 1 << 31
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 CELL = "_cell"
 
 
@@ -74,17 +76,19 @@ def _with_cells(df: DataFrame, order_by: Sequence[str], rows_per_cell: int) -> t
         return df.withColumn(CELL, F.lit(0)), 1
     rate = min(1.0, cells * _SAMPLES_PER_CELL / total)
     chosen = F.pmod(F.xxhash64(*order_by), F.lit(_HASH_SPAN)) < int(rate * _HASH_SPAN)
-    sample = sorted(tuple(row) for row in keys.where(chosen).collect())
-    picks = sorted({sample[len(sample) * i // cells] for i in range(1, cells)}) if sample else []
-    if not picks:
+    borders = keys.where(chosen).select(_struct_of(order_by).alias("key"))
+    # Evenly spaced keys of the sample; one row with at most one border per cell comes back.
+    part = lambda i: whole_div(i.cast("bigint") * cells, F.size("sample"))
+    kept = F.filter("sample", lambda _, i: part(i) != part(i - 1))
+    row = (borders.agg(F.array_sort(F.collect_set("key")).alias("sample")).select(kept.alias("keys"))
+           .select(F.to_json("keys", _EXACT).alias("text"), F.size("keys").alias("n")).first())
+    if not row["n"]:
         return df.withColumn(CELL, F.lit(0)), 1
     types = {f.name: f.dataType.simpleString() for f in keys.schema}
     fields = ",".join(f"k{i}:{types[name]}" for i, name in enumerate(order_by))
-    literal = json.dumps([{f"k{i}": v.asDict(True) if isinstance(v, Row) else v for i, v in enumerate(p)}
-                          for p in picks], ensure_ascii=False)
-    bounds = F.from_json(F.lit(literal), f"array<struct<{fields}>>")
-    cell = bisect_right(bounds, _struct_of(order_by), len(picks))
-    return df.withColumn(CELL, F.coalesce(cell, F.lit(0))), len(picks) + 1
+    bounds = F.from_json(F.lit(row["text"]), f"array<struct<{fields}>>", _EXACT)
+    cell = bisect_right(bounds, _struct_of(order_by), row["n"])
+    return df.withColumn(CELL, F.coalesce(cell, F.lit(0))), row["n"] + 1
 
 
 def running_totals(

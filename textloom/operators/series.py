@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from textloom.operators import ordered
 
 # Fixed value: a step number followed later on the line by a loss value.
-STEP_AND_LOSS = r"(?iU)\bstep\b\s*(\d+).*?\bloss\b\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
+STEP_AND_LOSS = r"(?iUd)\bstep\b\s*(\d+).*?\bloss\b\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``(run, line_no, step, loss)`` from the first match on each line; lines
-    without one are left out."""
-    found = F.regexp_extract("line", STEP_AND_LOSS, 1)
+    without one, or with a step beyond 64 bits, are left out. Only a line feed
+    ends a line (flag ``d``)."""
     return (
-        lines.withColumn("_step", found).where(F.col("_step") != "")
-        .select("run", "line_no", F.col("_step").try_cast("bigint").alias("step"),
-                F.regexp_extract("line", STEP_AND_LOSS, 2).try_cast("double").alias("loss"))
+        lines.withColumn("step", F.regexp_extract("line", STEP_AND_LOSS, 1).try_cast("bigint"))
+        .where(F.col("step").isNotNull())
+        .select("run", "line_no", "step", F.regexp_extract("line", STEP_AND_LOSS, 2).try_cast("double").alias("loss"))
     )
 
 

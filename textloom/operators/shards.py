@@ -9,6 +9,7 @@ row ``2^r`` cuts ahead, so ``K`` shards need ``log2(K)`` joins.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -123,20 +124,26 @@ def assign_shards(df: DataFrame, bounds: DataFrame, order_by: Sequence[str], gro
     """Give each row the shard of the first bound at or after its key; rows
     behind the last bound are in the shard after it.
 
-    Up to ``max_bounds`` bounds (counted) are broadcast as one sorted array per
-    source and searched by bisection, so the documents are not shuffled. Beyond
-    that, the bounds are merged into the order of the rows and counted."""
+    Up to ``max_bounds`` bounds (counted) are broadcast in two levels, blocks of
+    consecutive bounds and the last key of each block, and searched by bisection: the
+    documents are not shuffled, and a row meets arrays of the square root of the number
+    of bounds only. Beyond that, the bounds are merged into the order of the rows
+    and counted."""
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(order_by)])
     size = bounds.count()
     if size <= max_bounds:
-        arrays = bounds.groupBy(group).agg(
-            F.sort_array(F.collect_list(F.struct("last_key", "shard_id"))).alias("_ends"))
-        keys = F.transform("_ends", lambda e: e["last_key"])
-        searched = df.join(F.broadcast(arrays.withColumn("_keys", keys)), group, "left")
-        at = F.coalesce(ordered.bisect_left(F.col("_keys"), key, size), F.lit(0))
-        found = searched.withColumn("_at", at)
-        shard = F.coalesce(F.get("_ends", F.col("_at"))["shard_id"], F.col("_at").cast("bigint"))
-        return found.withColumn("shard_id", shard).drop("_ends", "_keys", "_at")
+        per = math.isqrt(size) + 1
+        place = F.row_number().over(Window.partitionBy(group).orderBy("last_key")) - 1
+        blocks = bounds.withColumn("_block", ordered.whole_div(place, per).cast("int")).groupBy(group, "_block").agg(
+            F.sort_array(F.collect_list("last_key")).alias("_keys"),
+            F.transform(F.sort_array(F.collect_list(F.struct("last_key", "shard_id"))), lambda e: e["shard_id"]).alias("_ids"))
+        tops = blocks.groupBy(group).agg(F.sort_array(F.collect_list(F.element_at("_keys", -1))).alias("_tops"),
+                                         F.sum(F.size("_keys")).alias("_size"))
+        block = F.coalesce(ordered.bisect_left(F.col("_tops"), key, per), F.lit(0)).cast("int")
+        near = df.join(F.broadcast(tops), group, "left").withColumn("_block", block).drop("_tops")
+        found = near.join(F.broadcast(blocks), [group, "_block"], "left")
+        shard = F.get("_ids", ordered.bisect_left(F.col("_keys"), key, per))
+        return found.withColumn("shard_id", F.coalesce(shard, "_size", F.lit(0)).cast("bigint")).drop("_block", "_keys", "_ids", "_size")
     number = F.row_number().over(Window.partitionBy(group).orderBy("last_key")).cast("bigint") - 1
     ends = bounds.select(F.col(group).alias("_g"), F.col("last_key").alias("_k"),
                          F.lit(1).cast("bigint").alias("_end"))

@@ -24,8 +24,8 @@ def _ratio(n: int) -> str:
 
 
 def generations(spark: SparkSession, sf: str) -> DataFrame:
-    """Assistant turns stand in for generated texts."""
-    return table(spark, sf, "conversations").where("role = 'assistant'").select(
+    """All turns stand in for generated texts."""
+    return table(spark, sf, "conversations").select(
         "conv_id", "turn", F.col("text").alias("output"))
 
 
@@ -36,7 +36,7 @@ def distinct_ngram_ratios(spark, sf):
     return words.select("doc_id", *[F.round(ng.distinct_ratio(F.col("w"), n), 9).alias(f"d{n}") for n in (1, 2, 3)])
 
 
-@query("A11", f"""WITH words AS (SELECT conv_id, turn, {_SPLIT} AS w FROM conversations WHERE role = 'assistant')
+@query("A11", f"""WITH words AS (SELECT conv_id, turn, {_SPLIT} AS w FROM conversations)
 SELECT conv_id, turn, round({_ratio(1)}, 9) AS distinct_1, round({_ratio(2)}, 9) AS distinct_2 FROM words""")
 def diversity_report(spark, sf):
     rows = ev.diversity(generations(spark, sf))
@@ -53,14 +53,14 @@ def corpus_distinct_bigrams(spark, sf):
     return rows.withColumn("ratio", F.round("ratio", 9))
 
 
-@query("K5 A11 T16", f"""WITH words AS (SELECT text, conv_id, turn, {_SPLIT} AS w FROM conversations WHERE role = 'assistant')
-SELECT conv_id || '/' || turn AS "prompt:", text AS output, 0.1235::DOUBLE AS sec, round({_ratio(1)}, 9) AS distinct_1,
+@query("K5 A11 T16", f"""WITH words AS (SELECT text, conv_id, turn, {_SPLIT} AS w FROM conversations)
+SELECT conv_id || '/' || turn AS "prompt:", text AS output, round(length(text) / 7, 4) AS sec, round({_ratio(1)}, 9) AS distinct_1,
 round({_ratio(2)}, 9) AS distinct_2 FROM words""")
 def generation_records_written(spark, sf):
     path = new_path(spark, "generations")
     records = ev.diversity(generations(spark, sf)).select(
         F.concat_ws("/", "conv_id", "turn").alias("prompt"), "output",
-        tx.round4(F.lit(0.12349)).alias("sec"),
+        tx.round4(F.length("output") / 7).alias("sec"),
         F.round("distinct_1", 9).alias("distinct_1"), F.round("distinct_2", 9).alias("distinct_2"))
     sinks.write_generations(records, path, literal_prompt_key=True)
     return spark.read.schema("`prompt:` string, output string, sec double, distinct_1 double, distinct_2 double").json(path)

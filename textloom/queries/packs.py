@@ -76,31 +76,38 @@ def packed_roots_read_back(spark, sf):
     return shown(readers.read_packed(spark, *roots)).select("root", "row_idx", "shard_id", "input_ids")
 
 
-_FILES = f"""files AS (SELECT shard_id, row_number() OVER (ORDER BY md5('{SEED + EPOCH}|' || shard_id), shard_id) - 1 AS file_rank
-  FROM (SELECT DISTINCT shard_id FROM packed)),
-split AS (SELECT shard_id, file_rank, file_rank % {WORKERS} AS worker, file_rank // {WORKERS} AS turn FROM files)"""
+def two_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """The packed rows stored once and seen as two roots, the second with the odd rows only."""
+    rows = freeze(packs(spark, sf), "packed")
+    return rows.withColumn("root", F.lit(0)).unionByName(rows.where("row_idx % 2 = 1").withColumn("root", F.lit(1)))
+
+
+_FILES = f"""roots AS (SELECT 0 AS root, * FROM packed UNION ALL SELECT 1, * FROM packed WHERE row_idx % 2 = 1),
+files AS (SELECT root, shard_id, row_number() OVER (ORDER BY md5('{SEED + EPOCH}|' || root || '|' || shard_id), root, shard_id) - 1 AS file_rank
+  FROM (SELECT DISTINCT root, shard_id FROM roots)),
+split AS (SELECT root, shard_id, file_rank, file_rank % {WORKERS} AS worker, file_rank // {WORKERS} AS turn FROM files)"""
 
 
-@query("E1 E2", f"WITH {sql.PACKED}, {_FILES} SELECT shard_id, file_rank, worker, turn FROM split")
+@query("E1 E2", f"WITH {sql.PACKED}, {_FILES} SELECT root, shard_id, file_rank, worker, turn FROM split")
 def epoch_file_order(spark, sf):
-    return epochs.file_order(packs(spark, sf), SEED, EPOCH, True, WORKERS)
+    return epochs.file_order(two_roots(spark, sf), SEED, EPOCH, True, WORKERS)
 
 
-@query("E3", f"""WITH {sql.PACKED} SELECT shard_id, row_idx,
-row_number() OVER (PARTITION BY shard_id ORDER BY md5('{SEED + EPOCH}|' || shard_id || '|' || row_idx), row_idx) - 1 AS row_rank FROM packed""")
+@query("E3", f"""WITH {sql.PACKED}, {_FILES} SELECT root, shard_id, row_idx, row_number() OVER (PARTITION BY root, shard_id
+  ORDER BY md5('{SEED + EPOCH}|' || root || '|' || shard_id || '|' || row_idx), row_idx) - 1 AS row_rank FROM roots""")
 def epoch_row_order(spark, sf):
-    return epochs.row_order(packs(spark, sf), SEED, EPOCH, True).select("shard_id", "row_idx", "row_rank")
+    return epochs.row_order(two_roots(spark, sf), SEED, EPOCH, True).select("root", "shard_id", "row_idx", "row_rank")
 
 
 _SLOTS = f"""{_FILES}, slots AS (SELECT p.*, worker, row_number() OVER (PARTITION BY worker ORDER BY turn, row_idx) - 1 AS place
-  FROM packed p JOIN split USING (shard_id))"""
+  FROM roots p JOIN split USING (root, shard_id))"""
 
 
 @query("E4 E2", f"""WITH {sql.PACKED}, {_SLOTS}
-SELECT worker, place // {BATCH} AS batch_no, (place % {BATCH})::INTEGER AS slot, row_idx FROM slots""")
+SELECT worker, place // {BATCH} AS batch_no, (place % {BATCH})::INTEGER AS slot, root, row_idx FROM slots""")
 def batch_slots(spark, sf):
-    rows = epochs.batch_slots(packs(spark, sf), BATCH, WORKERS, SEED, EPOCH)
-    return rows.select("worker", "batch_no", "slot", "row_idx")
+    rows = epochs.batch_slots(two_roots(spark, sf), BATCH, WORKERS, SEED, EPOCH)
+    return rows.select("worker", "batch_no", "slot", "root", "row_idx")
 
 
 @query("E4 E5 E6", f"""WITH {sql.PACKED}, {_SLOTS}
@@ -109,7 +116,7 @@ SELECT worker, place // {BATCH} AS batch_no, count(*)::INTEGER AS rows, (count(*
 string_agg(input_ids, '|' ORDER BY place) AS input_ids, string_agg(attention_mask, '|' ORDER BY place) AS attention_mask
 FROM slots GROUP BY worker, place // {BATCH}""")
 def micro_batches(spark, sf):
-    stacked = epochs.batches(epochs.batch_slots(packs(spark, sf), BATCH, WORKERS, SEED, EPOCH))
+    stacked = epochs.batches(epochs.batch_slots(two_roots(spark, sf), BATCH, WORKERS, SEED, EPOCH))
     kind = stacked.schema["input_ids"].dataType.simpleString()
     text = {c: F.array_join(F.transform(c, lambda r: F.array_join(r.cast("array<string>"), " ")), "|")
             for c in ("input_ids", "attention_mask")}

@@ -15,7 +15,7 @@ from textloom.sources.registry import (Source, cleaned_sources, registry_frame,
 
 # Web-crawl rows derived from documents: language in a JSON meta field, a
 # perplexity list in a JSON signal field.
-CRAWL_SQL = """crawl AS (SELECT doc_id, lang, text AS raw_content,
+CRAWL_SQL = """crawl AS (SELECT doc_id, lang, text AS raw_content, n_chars,
   CAST((doc_id * 37) % 800 AS DOUBLE) AS ppl FROM documents)"""
 
 
@@ -114,19 +114,23 @@ _PREVIEW = "CASE WHEN length({0}) > 200 THEN substr({0}, 1, 200) || ' ...[trunca
 
 @query("S12 L2", f"""WITH {CRAWL_SQL}, firsts AS (SELECT *, replace(raw_content, chr(10), ' ') AS flat FROM crawl ORDER BY doc_id LIMIT 5)
 SELECT doc_id, 'raw_content' AS field, '' AS key, {_PREVIEW.format('flat')} AS value FROM firsts
-UNION ALL SELECT doc_id, 'meta', 'language', lang FROM firsts""")
+UNION ALL SELECT doc_id, 'meta', 'language', lang FROM firsts
+UNION ALL SELECT doc_id, 'quality_signals', CASE WHEN doc_id % 2 = 0 THEN 'ccnet_perplexity' ELSE '' END,
+CASE WHEN doc_id % 2 = 0 THEN signal ELSE '{{"ccnet_perplexity":' || signal END FROM (SELECT *, '[[0.0,' || n_chars || '.0,' || ppl || ']]' AS signal FROM firsts)""")
 def sample_preview(spark, sf):
-    rows = ordered.head(crawl_rows(spark, sf).drop("quality_signals"), 5, ["doc_id"])
-    return readers.preview(rows, "doc_id", text_fields=["raw_content"], json_fields=["meta"])
+    # Every other value lacks its end, so it is shown as it is.
+    signals = F.col("quality_signals")
+    broken = F.when(F.col("doc_id") % 2 == 0, signals).otherwise(F.substring(signals, F.lit(1), F.length(signals) - 1))
+    rows = ordered.head(crawl_rows(spark, sf).withColumn("quality_signals", broken), 5, ["doc_id"])
+    return readers.preview(rows, "doc_id", text_fields=["raw_content"], json_fields=["meta", "quality_signals"])
 
 
 @query("S10", f"""SELECT conv_id, turn, line_no, p AS prompt FROM (
   SELECT conv_id, turn, {sql.strip('line')} AS p, line_no - 1 AS line_no FROM (SELECT conv_id, turn,
     unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line_no
-    FROM conversations WHERE role = 'user')) WHERE p <> ''""")
+    FROM conversations)) WHERE p <> ''""")
 def prompt_lines(spark, sf):
-    users = table(spark, sf, "conversations").where("role = 'user'")
-    lines = users.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return readers.prompts(lines, "line").withColumnRenamed("line", "prompt")
 
 

@@ -86,7 +86,8 @@ def streamed_progress(spark, sf):
                                   tokens=F.sum(tx.count_tokens(F.col("text"))))
         return ingest.append_to(counted, out, check)
 
-    queries = arrive(documents(spark, sf), "doc_id", path, run)
-    rows = [(p["docs"], p["tokens"]) for q in queries for p in ingest.progress_rows(q, "progress")]
+    with ingest.recorded(spark, "progress") as log:
+        queries = arrive(documents(spark, sf), "doc_id", path, run)
+        rows = [(p["docs"], p["tokens"]) for q in queries for p in log.rows(q)]
     return spark.createDataFrame(rows, "docs bigint, tokens bigint").agg(
         F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +24,15 @@ def spread(df: DataFrame) -> DataFrame:
 def read_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
     """Log lines as ``(run, line_no, line)``. Line feeds, carriage returns and
     both end a line; bad bytes are tolerated. The run is the file unless named.
-    Files are read in splits, so ``line_no`` orders lines within a file: the
-    split's offset first, then the place within the task."""
+    ``line_no`` orders lines by file, by the offset of the split they were read
+    in, and by place within the split."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return lines.select(
         (F.lit(run) if run else F.col("file")).alias("run"),
-        F.struct("block", within.alias("at")).alias("line_no"),
+        F.struct("file", "block", within.alias("at")).alias("line_no"),
         F.col("value").alias("line"))
 
 
@@ -77,17 +79,19 @@ def preview(rows: DataFrame, key: str, text_fields: Sequence[str] = (),
 
 
 def read_packed(spark: SparkSession, *roots: str, pattern: str = "*.parquet") -> DataFrame:
-    """Packed rows of several roots, in the order given: ``root`` is the place
-    of the root, ``shard_id`` the shard within it. Fails when nothing matches."""
+    """Packed rows of several roots: ``root`` is the place of the root in the
+    order given, ``shard_id`` the shard within it. The order of the files is that
+    of (root, shard_id); sort by it, and by row_idx, where order counts. Fails when
+    no root has a matching file."""
     parts = []
     for i, root in enumerate(roots):
-        rows = spark.read.option("pathGlobFilter", pattern).option("basePath", root).parquet(root)
+        try:
+            rows = spark.read.option("pathGlobFilter", pattern).option("basePath", root).parquet(root)
+        except AnalysisException as error:
+            if error.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+                raise
+            continue
         parts.append(rows.withColumn("root", F.lit(i)).withColumn("shard_id", F.col("shard_id").cast("bigint")))
     if not parts:
-        raise FileNotFoundError("no packed roots given")
-    packed = parts[0]
-    for more in parts[1:]:
-        packed = packed.unionByName(more)
-    if not packed.inputFiles():
         raise FileNotFoundError(f"no packed files in {list(roots)} (pattern={pattern})")
-    return packed
+    return reduce(DataFrame.unionByName, parts)

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.cleaners import HTML_KEY_PREFIX, clean_by_name
 from textloom.functions.text import MIN_CHARS, as_text, evaluate_once
@@ -18,17 +19,20 @@ from textloom.workspace import freeze
 
 @dataclass(frozen=True)
 class Source:
-    """One named source: where it lives, which field holds the text."""
+    """One named source: where it lives, which field holds the text. ``order_by``
+    is a key of any sortable type; without it, or where the field is missing, rows
+    come as they arrive, by file and place in it. ``percent`` keeps the first part only."""
 
     key: str
     path: str
     text_field: str = "text"
     lang: str = ""
-    order_by: str = "doc_id"
+    order_by: str | None = "doc_id"
     format: str = "parquet"
     cleaner: str | None = None
     options: dict[str, str] = field(default_factory=dict)
     filter: str | None = None
+    percent: float | None = None
 
     @property
     def cleaner_name(self) -> str:
@@ -54,19 +58,28 @@ def tag_sources(docs: DataFrame, registry: DataFrame, on: str = "source") -> Dat
 
 def scan_source(spark: SparkSession, source: Source) -> DataFrame:
     """One source as ``(source, ord_key, text, lang)``; a missing or NULL text
-    field becomes ``''``, other types become text. Only two columns are read."""
+    field becomes ``''``, other types become text. Only two columns are read. A whole
+    number is the key itself; other keys are numbered from 1 in their order, equal
+    ones by their place."""
     raw = spark.read.format(source.format).options(**source.options).load(source.path)
+    by_row = source.format == "parquet"
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
+                     (F.col("_metadata.row_index") if by_row else F.monotonically_increasing_id()).alias("_row"))
     if source.filter:
         raw = raw.where(source.filter)
     fields = {f.name: f.dataType for f in raw.schema}
     found = fields.get(source.text_field)
     text = F.lit("") if found is None else as_text(F.col(source.text_field), found)
-    return raw.select(
-        F.lit(source.key).alias("source"),
-        F.col(source.order_by).cast("bigint").alias("ord_key"),
-        text.alias("text"),
-        F.lit(source.lang).alias("lang"),
-    )
+    key = fields.get(source.order_by) if source.order_by else None
+    named = [F.lit(source.key).alias("source"), text.alias("text"), F.lit(source.lang).alias("lang")]
+    if isinstance(key, T.IntegralType):
+        rows = raw.select(*named, F.col(source.order_by).cast("bigint").alias("ord_key"))
+    else:
+        own = [] if key is None else [F.col(source.order_by).alias("_key")]
+        placed = raw.select(*named, *own, "_file", "_row")
+        rows = ordinals(placed, [*(["_key"] if own else []), "_file", "_row"], name="ord_key").drop("_key", "_file", "_row")
+    rows = rows.select("source", "ord_key", "text", "lang")
+    return rows if source.percent is None else split_slice(rows, source.percent, ["ord_key"])
 
 
 def scan_sources(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:

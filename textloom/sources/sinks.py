@@ -29,10 +29,12 @@ def write_shards(docs: DataFrame, path: str, clean: bool = False, source: str =
 def write_packed(rows: DataFrame, path: str, one_file_per_shard: bool = True) -> None:
     """Packed rows, one directory per shard. By default each shard is one sorted
     file; without that, tasks write the rows they hold, which saves a shuffle of
-    the rows and leaves a few files per shard."""
+    the rows and leaves a few files per shard. Shards of an earlier run are
+    removed."""
     if one_file_per_shard:
         rows = rows.repartition(_writers(rows), "shard_id").sortWithinPartitions("shard_id", "row_idx")
-    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("shard_id").parquet(path)
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd")
+     .partitionBy("shard_id").parquet(path))
 
 
 def write_lines(lines: DataFrame, path: str, order_by: Sequence[str], column: str = "line") -> None:

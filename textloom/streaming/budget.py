@@ -50,7 +50,7 @@ def take_batch(batch: DataFrame, before: DataFrame, shard_tokens: int, order_by:
         F.coalesce("_total", "total").alias("total"),
         F.coalesce("_start", "shard_start").alias("shard_start"),
         (F.col("shard_base") + F.coalesce("_closed", F.lit(0))).alias("shard_base"),
-        (F.col("stopped") | F.coalesce("_ended", F.lit(False))).alias("stopped"))
+        (F.col("stopped") | F.coalesce("_ended", F.lit(False)) | (F.coalesce("_total", "total") >= F.col("budget"))).alias("stopped"))
     return documents, after
 
 
@@ -66,10 +66,14 @@ def budgeted_stream(cleaned: DataFrame, start: DataFrame, out_dir: str, state_di
                     shard_tokens: int, order_by: Sequence[str],
                     counter: Callable[[Column], Column] = tx.count_tokens) -> StreamingQuery:
     """Process everything that has arrived. Documents go to
-    ``out_dir/batch_id=n``, the state to ``state_dir/batch_id=n``."""
+    ``out_dir/batch_id=n``, the state to ``state_dir/batch_id=n``. Once all budgets
+    are met, batches are not read any more and leave no documents."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         before = state.load(batch.sparkSession, state_dir, batch_id, start)
+        if before.where(~F.col("stopped")).isEmpty():
+            state.store(before, state_dir, batch_id)
+            return
         documents, after = take_batch(batch, before, shard_tokens, order_by, counter)
         state.store(documents, out_dir, batch_id)
         state.store(after, state_dir, batch_id)

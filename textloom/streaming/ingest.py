@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import threading
+from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from textloom.functions.text import MIN_CHARS
 from textloom.sources.registry import clean_documents
@@ -38,9 +41,44 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return drain(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint)
 
 
-def progress_rows(query: StreamingQuery, name: str) -> Iterable[dict]:
-    """Observed metrics of each micro-batch so far."""
-    for progress in query.recentProgress:
-        row = progress.observedMetrics.get(name)
+class ProgressLog(StreamingQueryListener):
+    """Observed metrics of every micro-batch, as they are reported: unlike a query's
+    recent progress, nothing is dropped. One row per batch and run is kept."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self._rows: dict[str, dict[int, dict]] = defaultdict(dict)
+        self._ended: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
         if row is not None:
-            yield {"batch_id": progress.batchId, **row.asDict()}
+            batch = event.progress.batchId
+            self._rows[str(event.progress.runId)][batch] = {"batch_id": batch, **row.asDict()}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended[str(event.runId)].set()
+
+    def rows(self, query: StreamingQuery, timeout: float = 60) -> list[dict]:
+        """All batches of a run that has ended."""
+        run = str(query.runId)
+        if not self._ended[run].wait(timeout):
+            raise TimeoutError(f"the end of run {run} was not reported")
+        return [row for _, row in sorted(self._rows[run].items())]
+
+
+@contextmanager
+def recorded(spark: SparkSession, name: str) -> Iterator[ProgressLog]:
+    """Record the metrics observed as ``name`` by the queries started inside."""
+    log = ProgressLog(name)
+    spark.streams.addListener(log)
+    try:
+        yield log
+    finally:
+        spark.streams.removeListener(log)
