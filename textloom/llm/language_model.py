@@ -15,7 +15,7 @@ and a document's score is the mean logarithm of its words' S; the first word has
    at most) and scored where they are read. A pair is no more frequent than its rarer word, so
    no pair that is left is hot.
 3. All other pairs whose two words the other fold has are dealt out by hash, as packed columns. Each part counts its pairs in
-   both folds and joins the counts back to the pairs by sorting; gains are summed per document and part, then per document.
+   both folds and joins the counts back to the pairs by sorting; gains are summed per document and part, dealt out by document, and summed again.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ BACKOFF = 0.4
 MOST_WORDS = 6_000_000
 FREQUENT = 512
 PAIRS_PER_PART = 1_000_000
-_PAIRS = "part int, pair binary, row_key binary, first binary, second binary"
+_PAIRS = "part int, n int, pair binary, row_key binary, first binary, second binary"
 
 
 @dataclass(frozen=True)
@@ -169,8 +169,8 @@ def _pair_rows(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, parts: int)
             "first": first.astype(np.int64), "second": t.count[at].astype(np.int64)})
 
 
-def _join_counts(group: pa.Table, totals: np.ndarray) -> pa.Table:
-    """Counts of this part's pairs, joined to the pairs, summed per row."""
+def _join_counts(group: pa.Table, totals: np.ndarray, parts: int) -> pa.Table:
+    """Counts of this part's pairs, joined to the pairs and summed per row; the sums dealt out by row."""
     pair, row_key, first, second = (gathered(group, n, k) for n, k in (
         ("pair", np.uint64), ("row_key", np.int64), ("first", np.int64), ("second", np.int64)))
     fold = (first < 0).astype(np.int64)
@@ -179,7 +179,14 @@ def _join_counts(group: pa.Table, totals: np.ndarray) -> pa.Table:
     found = other > 0
     gain = _gain(other[found], np.abs(first[found]), second[found], totals[1 - fold[found]].astype(np.float64))
     keys, number = np.unique(row_key[found], return_inverse=True)
-    return pa.table({"row_key": keys, "gain": np.bincount(number, gain, len(keys)).astype(np.float64), "n": np.bincount(number, minlength=len(keys))})
+    return pa.Table.from_batches([by_part((keys.view(np.uint64) % np.uint64(parts)).astype(np.int32), {
+        "row_key": keys, "gain": np.bincount(number, gain, len(keys)).astype(np.float64), "found": np.bincount(number, minlength=len(keys)).astype(np.int64)})])
+
+
+def _sum_rows(group: pa.Table) -> pa.Table:
+    keys, number = np.unique(gathered(group, "row_key", np.int64), return_inverse=True)
+    sums = [np.bincount(number, gathered(group, n, k), len(keys)) for n, k in (("gain", np.float64), ("found", np.int64))]
+    return pa.table({"row_key": pa.array(keys, pa.int64()), "gain": sums[0].astype(np.float64), "n": sums[1].astype(np.int64)})
 
 
 def backoff_scores(docs: DataFrame, most_words: int = MOST_WORDS, frequent: int = FREQUENT, pairs_per_part: int = PAIRS_PER_PART) -> DataFrame:
@@ -229,8 +236,8 @@ def backoff_scores(docs: DataFrame, most_words: int = MOST_WORDS, frequent: int
                                   "doc_id bigint, row_key bigint, n_words bigint, base double, n_frequent bigint"), "base")
     parts = max(-(-words // pairs_per_part), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     gains = rows.mapInArrow(lambda b: _pair_rows(b, model.value, parts), _PAIRS).groupBy("part").applyInArrow(
-        lambda g: _join_counts(g, model.value.totals), "row_key bigint, gain double, n bigint")
-    summed = gains.groupBy("row_key").agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"))
+        lambda g: _join_counts(g, model.value.totals, parts), "part int, n int, row_key binary, gain binary, found binary")
+    summed = freeze(gains.groupBy("part").applyInArrow(_sum_rows, "row_key bigint, gain double, n bigint"), "gains")
     # Repeated rows have one key and so one sum for all of them.
     times = base.groupBy("row_key").agg(F.count(F.lit(1)).alias("times"))
     scored = base.join(times.join(summed, "row_key", "left"), "row_key")

@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.ragged import gathered
 from textloom.llm.words import LOWER_BLANKS, WordRule, find_words, mix, pieces, runs
 from textloom.workspace import freeze
 
@@ -112,7 +111,7 @@ def _judge(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             n, row, code = part.num_rows, [], []
             for side in ("codes_a", "codes_b"):
                 row.append(np.repeat(np.arange(n), np.asarray(pc.binary_length(part.column(side))) // 8))
-                code.append(gathered(pa.table({side: part.column(side)}), side, np.uint64))
+                code.append(np.frombuffer(b"".join(part.column(side).to_pylist()), np.uint64))
             row, code = np.concatenate(row), np.concatenate(code)
             order = np.lexsort((code, row))
             row, code = row[order], code[order]

@@ -39,17 +39,32 @@ def spaced(words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np
     return out, begin, begin + sizes
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Compressed bytes, all first bytes before all second ones: the high bytes of small numbers vanish."""
+    return _CODEC.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), asbytes=True)
+
+
+def unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(data, n * width, asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
 def by_part(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row per part number: its entries of each column, as bytes."""
+    """One row per part number: how many entries it has, and its entries of each column, packed."""
     order = np.argsort(part, kind="stable")
     numbers, at = np.unique(part[order], return_index=True)
     cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(order)]))
     sorted_columns = {name: values[order] for name, values in columns.items()}
     return pa.RecordBatch.from_pydict({
-        "part": pa.array(numbers, pa.int32()),
-        **{name: pa.array([v[a:b].tobytes() for a, b in cuts], pa.binary()) for name, v in sorted_columns.items()}})
+        "part": pa.array(numbers, pa.int32()), "n": pa.array([b - a for a, b in cuts], pa.int32()),
+        **{name: pa.array([pack(v[a:b]) for a, b in cuts], pa.binary()) for name, v in sorted_columns.items()}})
 
 
 def gathered(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    """All entries of a bytes column of ``by_part`` rows."""
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    """All entries of a column of ``by_part`` rows."""
+    return np.concatenate([np.zeros(0, kind), *[unpack(data, n, kind) for data, n in zip(
+        table.column(name).to_pylist(), table.column("n").to_pylist())]])

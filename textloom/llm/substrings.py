@@ -41,7 +41,7 @@ KEYS_PER_GROUP = 400_000
 HOT = 1000
 NO_ID = (1 << 63) - 1
 _COUNTED = "doc_id bigint, id bigint, text_key bigint, n_words bigint, all_sha256 string"
-_KEYS = "part int, codes binary, ids binary, places binary"
+_KEYS = "part int, n int, codes binary, ids binary, places binary"
 _SEGMENTS = ("part int, hot boolean, k1 bigint, k2 bigint, k3 bigint, id bigint, many boolean, text string, "
              "held array<struct<id:bigint,text_key:bigint,at:int>>")
 _TREE_KEY = ["k1", "k2", "k3"]
