@@ -147,3 +147,11 @@ def test_packed_rerun_leaves_no_old_shards(spark, tmp_path):
     for n in (10, 2):
         sinks.write_packed(rows.where(F.col("row_idx") < n), str(tmp_path / "p"))
     assert readers.read_packed(spark, str(tmp_path / "p")).count() == 2
+
+
+def test_hot_words_are_spread(spark):
+    """One word in nine places of ten, joined and not broadcast."""
+    hot = spark.range(300).selectExpr("id AS doc_id", "concat(repeat('hot ', 90), 'w', id % 7, ' rare') AS text")
+    words = spark.createDataFrame([(5, "hot"), (6, "rare"), (7, "w1")], "id int, token string")
+    got, want = (sorted(enc.encode_documents(hot, words, ["doc_id"], F.col("text"), max_broadcast=n).collect()) for n in (0, 100))
+    assert got == want

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as tx
+from textloom.operators.ordered import with_salts
 from textloom.operators.vocab import EOS_ID, FIRST_ID, SPECIAL_TOKENS, UNK_ID
 
 MAX_BROADCAST_WORDS = 1 << 21
 MAX_LITERAL_TOKENS = 1 << 16
+SALTS = 16
 _CACHE_WORDS = 1 << 20
 SPECIAL_IDS = {token: i for i, token in enumerate(SPECIAL_TOKENS)}
 _SPECIAL = "|".join(rf"\Q{token}\E" for token in SPECIAL_TOKENS)
@@ -148,15 +150,19 @@ def encode_by_join(docs: DataFrame, table: DataFrame, key: Sequence[str], text:
                    max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """``(key, ids)`` by looking every word up in ``table (word, ids)``. The
     table is broadcast only when its counted size allows it; otherwise the join
-    shuffles on the word, and adaptive execution splits the hot ones. A NULL text
+    shuffles on the word and a salt, which spreads hot words. A NULL text
     has NULL ids; rows that repeat a key and text stay as many rows."""
     words = docs.select(*key, F.xxhash64(text).alias("_text"), text.isNull().alias("_null"),
                         F.posexplode_outer(tokens(text)).alias("_pos", "word"))
     special = docs.sparkSession.createDataFrame([(t, [i]) for t, i in SPECIAL_IDS.items()], "word string, ids array<int>")
     ordinary = table.where(~F.col("word").isin(*SPECIAL_TOKENS)).select("word", "ids")
     table = ordinary.unionByName(special)
-    side = F.broadcast(table) if table.count() <= max_broadcast else table
-    found = words.join(side, "word", "left").select(
+    if table.count() <= max_broadcast:
+        met = words.join(F.broadcast(table), "word", "left")
+    else:  # a hot word is spread over salts by its place
+        salt = F.pmod(F.xxhash64("_text", "_pos"), F.lit(SALTS)).cast("int")
+        met = words.withColumn("_salt", salt).join(with_salts(table, SALTS), ["word", "_salt"], "left")
+    found = met.select(
         *key, "_text", "_null", F.coalesce("_pos", F.lit(0)).alias("_pos"), F.when(F.col("_pos").isNotNull(), F.struct(
             "_pos", F.coalesce("ids", F.array(F.lit(UNK_ID))).alias("ids"))).alias("piece"))
     pieces = F.array_sort(F.collect_set("piece"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from textloom.functions import ngrams as ng, text as tx
 from textloom.operators import ordered
 
+SALTS = 16
+
 
 def text_blocks(texts: DataFrame, key: Sequence[str], block_size: int, tokens: Column | None = None) -> DataFrame:
     """``(key, block_no, block)``: tokens of each non-blank text cut into blocks."""
@@ -35,13 +37,16 @@ def _pairs(blocks: DataFrame, key: Sequence[str]) -> DataFrame:
 def block_losses(blocks: DataFrame, bigrams: DataFrame, key: Sequence[str], add_k: float = 1.0) -> DataFrame:
     """Mean negative log probability of each block under a bigram model with
     add-k smoothing: ``(key, block_no, n_tok, loss)``. Blocks of one token have
-    nothing to predict and are left out. ``bigrams`` is a stored table."""
+    nothing to predict and are left out. ``bigrams`` is a stored table. A context that
+    many blocks have is spread over ``SALTS`` partitions by the token after it."""
     place = [*key, "block_no"]
     contexts = bigrams.groupBy("left").agg(F.sum("pair_count").alias("left_count"))
     types = bigrams.select(F.col("left").alias("t")).unionByName(bigrams.select(F.col("right").alias("t")))
     vocabulary = types.distinct().count()
     seen = _pairs(blocks, place).groupBy(*place, "left", "right").agg(F.count(F.lit(1)).alias("times"))
-    scored = seen.join(bigrams, ["left", "right"], "left").join(contexts, "left", "left")
+    salted = seen.withColumn("_salt", F.pmod(F.xxhash64("right"), F.lit(SALTS)).cast("int"))
+    scored = salted.join(bigrams, ["left", "right"], "left").join(
+        ordered.with_salts(contexts, SALTS), ["left", "_salt"], "left")
     p = (F.coalesce("pair_count", F.lit(0)) + add_k) / (F.coalesce("left_count", F.lit(0)) + add_k * vocabulary)
     return scored.groupBy(*place).agg(
         (F.sum("times") + 1).alias("n_tok"),

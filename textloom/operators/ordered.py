@@ -56,6 +56,12 @@ def bisect_left(bounds: Column, key: Column, size: int) -> Column:
     return _bisect(size, lambda i: F.get(bounds, i) < key)
 
 
+def with_salts(df: DataFrame, salts: int, name: str = "_salt") -> DataFrame:
+    """Every row once for each salt: the small side of a join whose large side has
+    hot keys, spread over the salts by another column."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
 def whole_div(value: Column, by: Column | int) -> Column:
     """Integer division of whole numbers, exact at any size."""
     return F.call_function("div", value, by if isinstance(by, Column) else F.lit(by))
