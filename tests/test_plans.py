@@ -194,3 +194,29 @@ def test_sources_by_other_keys_and_by_arrival(spark, tmp_path):
         assert [r.text for r in got] == [str(i) for i in range(40)] and [r.ord_key for r in got] == list(range(1, 41))
     part = scan_source(spark, Source("s", path, order_by="name", percent=25)).collect()
     assert sorted(int(r.text) for r in part) == list(range(10))
+
+
+@pytest.mark.parametrize("budgets", [{"a": 30, "b": 5}, {"a": 10**9, "b": 0}, {"a": 900, "b": 10**9}])
+def test_counting_ends_with_the_budget(spark, budgets):
+    from textloom.operators.budget import admit_capped
+    from textloom.plans.corpus import counts_until
+
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 5 = 0 THEN 'b' ELSE 'a' END AS source", "CASE WHEN id > 0 THEN id * 3 END AS k",
+                                        "repeat('w ', CAST(id % 4 AS INT)) AS text")
+
+    def count(rows):
+        return rows.select("source", "k", (F.size(F.split("text", " ")) - 1).cast("bigint").alias("n_tok"))
+
+    got = counts_until(docs, count, budgets, ["k"])
+    rows = got.groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in rows} == {r.source: r["count"] for r in got.distinct().groupBy("source").count().collect()}
+    for r in rows:
+        if budgets[r.source] < 100:
+            assert r["count"] < 200
+    def admitted(counts):
+        with_budget = counts.withColumn("budget", F.create_map(*[F.lit(x) for kv in budgets.items() for x in kv])[F.col("source")])
+        return sorted(admit_capped(with_budget, F.col("budget"), ["k"]).select("source", "k").na.fill(-1).collect())
+    assert admitted(got) == admitted(count(docs))
+    assert counts_until(docs.limit(0), count, budgets, ["k"]).count() == 0
+    words = counts_until(docs.selectExpr("source", "CAST(k AS STRING) AS k", "text"), count, budgets, ["k"])
+    assert words.count() == 3000

@@ -8,11 +8,15 @@ admitted key, and go straight to their shard.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import metadata, text as tx
 from textloom.operators import budget, mix as mx, ordered, shards
@@ -22,6 +26,7 @@ from textloom.sources.registry import clean_documents, tag_sources
 from textloom.workspace import freeze
 
 Counter = Callable[[Column], Column]
+STEPS = 64
 
 
 @dataclass(frozen=True)
@@ -42,6 +47,50 @@ class Corpus:
         return shards.shard_summary(self.sharded_counts())
 
 
+def counts_until(rows: DataFrame, count: Callable[[DataFrame], DataFrame], budgets: dict[str, float],
+                 order_by: Sequence[str]) -> DataFrame:
+    """The stored counts of each source's rows up to a key where its budget is met. Sums only grow, so
+    no row behind that key can be admitted. ``count`` makes ``(source, keys, n_tok)`` of rows.
+
+    A first 64th of each source tells how many tokens its keys hold; the next range is chosen
+    by that, and what is past half of the source is taken whole. Quantiles of the first key
+    cut the ranges, and each range filters the scan. Keys that are not numbers are
+    counted in one go, as are sources without quantiles."""
+    key = order_by[0]
+    if not isinstance(rows.schema[key].dataType, T.NumericType):
+        return freeze(count(rows), "counts")
+    marks = [i / STEPS for i in range(1, STEPS)]
+    edges = {r[0]: r[1] or [] for r in rows.where(F.col("source").isin(list(budgets))).groupBy("source").agg(
+        F.percentile_approx(key, marks, 1000)).collect()}
+    totals, upto, rows_of = dict.fromkeys(edges, 0), dict.fromkeys(edges, 0), dict.fromkeys(edges, 0)
+    goal = {s: 1 if e else STEPS for s, e in edges.items()}
+    parts: list[DataFrame] = []
+    while goal:
+        ranges = []
+        for source, end in goal.items():
+            inside = F.col("source") == source
+            if upto[source]:
+                inside &= F.col(key) > edges[source][upto[source] - 1]
+            if end < STEPS:
+                low = F.col(key) <= edges[source][end - 1]
+                inside &= low if upto[source] else low | F.col(key).isNull()
+            ranges.append(inside)
+        parts.append(freeze(count(rows.where(reduce(or_, ranges))), "counts"))
+        sums = {r[0]: r[1:] for r in parts[-1].groupBy("source").agg(F.sum("n_tok"), F.count(F.lit(1))).collect()}
+        for source, end in list(goal.items()):
+            tokens, found = sums.get(source, (0, 0))
+            totals[source] += tokens or 0
+            rows_of[source] += found
+            upto[source] = end
+            # One row at least: a rule may take the first whatever its budget.
+            if totals[source] >= budgets[source] and rows_of[source] or end == STEPS:
+                del goal[source]
+                continue
+            need = math.ceil(1.25 * end * budgets[source] / totals[source]) if totals[source] else STEPS
+            goal[source] = max(2 * end, need) if max(2 * end, need) <= STEPS // 2 else STEPS
+    return reduce(DataFrame.unionByName, parts) if parts else freeze(count(rows), "counts")
+
+
 def _bounds(admitted: DataFrame, shard_tokens: int, order_by: Sequence[str], mode: str) -> DataFrame:
     if mode == "greedy":
         return freeze(shards.greedy_bounds(admitted, shard_tokens, order_by), "bounds")
@@ -72,10 +121,16 @@ def mixed_corpus(
     tagged = tag_sources(wanted, registry).withColumn("lang", F.col("source_lang"))
     used = {r[0] for r in registry.select("cleaner").distinct().collect()}
     raw = tagged.select("source", *order_by, "text", "lang", "cleaner")
-    cleaned = clean_documents(raw, min_chars, used)
-    counts = freeze(cleaned.select("source", *order_by, counter(F.col("text")).alias("n_tok")), "counts")
-    total = total_tokens(counts) if callable(total_tokens) else total_tokens
-    budgets = mx.token_budgets(weights, total)
+
+    def count(rows: DataFrame) -> DataFrame:
+        return clean_documents(rows, min_chars, used).select("source", *order_by, counter(F.col("text")).alias("n_tok"))
+
+    if callable(total_tokens):
+        counts = freeze(count(raw), "counts")
+        budgets = mx.token_budgets(weights, total_tokens(counts))
+    else:
+        budgets = mx.token_budgets(weights, total_tokens)
+        counts = counts_until(raw, count, {r.source_key: r.budget for r in budgets.collect()}, order_by)
     admitted = freeze(
         budget.admit_capped(mx.attach_budgets(counts, budgets), F.col("budget"), order_by,
                             rows_per_cell=rows_per_cell).drop("budget"), "admitted")
@@ -106,8 +161,16 @@ def quality_subset(
         max_ppl=max_ppl, on_missing=on_missing,
     )).select(F.lit(source).alias("source"), *order_by, F.col("raw_content").alias("text"),
               metadata.language(F.col("meta"), fields["meta"]).alias("lang"))
-    counts = freeze(good.select("source", *order_by, counter(F.col("text")).alias("n_tok")), "counts")
-    target = target_tokens(counts) if callable(target_tokens) else target_tokens
+
+    def count(rows: DataFrame) -> DataFrame:
+        return rows.select("source", *order_by, counter(F.col("text")).alias("n_tok"))
+
+    if callable(target_tokens):
+        counts = freeze(count(good), "counts")
+        target = target_tokens(counts)
+    else:
+        target = target_tokens
+        counts = counts_until(good, count, {source: target}, order_by)
     admitted = freeze(
         budget.admit_crossing(counts, F.lit(float(target)), order_by, ["source"],
                               rows_per_cell=rows_per_cell), "admitted")
