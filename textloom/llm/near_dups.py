@@ -157,11 +157,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = firsts.select(F.explode("bands").alias("bucket"), "doc_id").distinct()
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = freeze(rows.join(shared, "bucket"), "members")
-    links = _link(texts, firsts.select("doc_id", "signature"), members, percent)
+    labels = _labels(texts, firsts.select("doc_id", "signature"), members, percent)
     label = F.coalesce("label", "rep")
     named = signed.select("doc_id", *keys).join(classes, keys, "left")
-    if links is not None:
-        named = named.join(components(links), F.col("rep") == F.col("node"), "left")
+    if labels is not None:
+        named = named.join(labels, F.col("rep") == F.col("node"), "left")
     else:
         named = named.withColumn("label", F.lit(None).cast("bigint"))
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce(label, F.col("doc_id")))
@@ -169,9 +169,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _link(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
-    """Confirmed links ``(a, b)`` that connect all pairs of linked documents in a bucket."""
-    links: DataFrame | None = None
+def _labels(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
+    """``(node, label)`` of all linked documents: the smallest document that links in the buckets reach."""
     labels: DataFrame | None = None
     hubs_each = 1
 
@@ -186,7 +185,7 @@ def _link(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent:
         mixed = open_members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
         members = freeze(open_members.join(mixed, "bucket"), "members")
         if members.isEmpty():
-            return links
+            return labels
         turn = F.xxhash64("doc_id", "bucket")
         hubs = members.groupBy("bucket", F.pmod(turn, F.lit(hubs_each)).alias("slot")).agg(
             F.min_by(F.struct(F.col("doc_id").alias("hub"), F.col("label").alias("hub_label")), F.struct(turn, "doc_id")).alias("h"),
@@ -200,15 +199,14 @@ def _link(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent:
             ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             sets = freeze(texts.join(ids, "doc_id").mapInArrow(_set_rows, "doc_id bigint, codes binary"), "sets")
             rest = pairs.select("a", "b")
-            if links is None:
+            if labels is None:
                 best = pairs.groupBy("b").agg(F.max_by("a", F.struct("likely", -F.col("a"))).alias("a"))
-                links = _confirm(best, sets, percent)
-                labels = components(links)
+                labels = components(_confirm(best, sets, percent))
                 rest = labelled(labelled(rest.join(best, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb")
             found = _confirm(rest.select("a", "b"), sets, percent)
             if not found.isEmpty():
-                links = links.unionByName(found)
-                labels = components(links)
+                # A label is a link to the smallest document, and stands for all links so far.
+                labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
         # Pairs with a hub are judged; what remains are pairs of documents that were none.
         members = members.drop("label").join(hubs.select("bucket", F.col("hub").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
         hubs_each *= MORE
