@@ -16,6 +16,9 @@ _SETTING = "spark.checkpoint.dir"
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_written: list[str] = []
+
+
 def workspace_dir(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables."""
     root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
@@ -37,6 +40,7 @@ def freeze(df: DataFrame, name: str = "table") -> DataFrame:
     the write are of no more use then, so Spark is told to drop them at its end."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _written.append(path)
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
@@ -46,9 +50,25 @@ def freeze(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_tables() -> list[str]:
+    """Paths of the tables written so far and not dropped, in order."""
+    return list(_written)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove intermediate tables that nothing will read any more."""
+    for path in paths:
+        _delete(spark, path)
+        if path in _written:
+            _written.remove(path)
+
+
 def drop_workspace(spark: SparkSession) -> None:
     """Remove this application's intermediate tables, once results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(workspace_dir(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    _delete(spark, workspace_dir(spark))
+    _written.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
