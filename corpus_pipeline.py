@@ -8,6 +8,7 @@ and empty tables pass as the operators define. Rows are told apart by doc_id and
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,33 +18,55 @@ from textloom.llm.best_fit import pack_documents
 from textloom.llm.near_dups import near_duplicates
 from textloom.llm.substrings import remove_repeats
 from textloom.llm.toxicity import LIMIT, score_documents, train
-from textloom.workspace import freeze
+from textloom.workspace import drop_tables, freeze, written_tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _SCORE, _ID, _KEY = "_toxic_score", "_stage_id", "_stage_key"
 
 
+_needed: list[str] = []
+
+
+def _after_another(stage: Stage) -> Stage:
+    """A stage starts when the rows of the one before it are written, so the intermediate
+    tables of that one are dropped first."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _needed)
+        before = set(written_tables())
+        rows = stage(spark, docs, sf_dir)
+        _needed[:] = [path for path in written_tables() if path not in before]
+        return rows
+
+    return run
+
+
 def _same_row(docs: DataFrame):
     return docs["doc_id"].eqNullSafe(F.col(_ID)) & (F.xxhash64(docs["text"]) == F.col(_KEY))
 
 
+@_after_another
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the limit."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_documents(docs, model, _SCORE).where(F.col(_SCORE) < LIMIT).select(docs.columns)
 
 
+@_after_another
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each near-duplicate component."""
     dropped = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(_ID)).distinct()
     return docs.join(dropped, docs["doc_id"] == F.col(_ID), "left_anti")
 
 
+@_after_another
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has. Texts that lose words are their kept words with one space
     between, and ``n_chars`` follows; others stay as they are."""
-    cut = remove_repeats(docs, with_text=True).where("n_removed > 0").select(
-        F.col("doc_id").alias(_ID), F.col("text_key").alias(_KEY), F.col("kept_text").alias("_kept")).dropDuplicates([_ID, _KEY])
+    # Written on its own, so that its shuffle files go before the documents are shuffled.
+    cut = freeze(remove_repeats(docs, with_text=True).where("n_removed > 0").select(
+        F.col("doc_id").alias(_ID), F.col("text_key").alias(_KEY), F.col("kept_text").alias("_kept")).dropDuplicates([_ID, _KEY]), "cut")
     joined = docs.join(cut, _same_row(docs), "left")
     text = F.coalesce(F.col("_kept"), docs["text"])
     new = {"text": text, "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(docs["n_chars"]).cast(
@@ -51,6 +74,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return joined.select([new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
+@_after_another
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(
@@ -58,6 +82,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(found, _same_row(docs), "left_anti")
 
 
+@_after_another
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
     return pack_documents(docs)
