@@ -31,7 +31,7 @@ from textloom.workspace import freeze
 
 SHINGLE = 5
 HASHES, BITS = 256, 8
-BANDS, BAND_ROWS = 32, 4  # of the first 128 hashes
+BANDS, BAND_ROWS = 42, 6
 MORE = 8
 PERCENT = 75
 _SEEDS = np.random.default_rng(5)
