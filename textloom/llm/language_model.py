@@ -36,7 +36,8 @@ from textloom.workspace import freeze
 BACKOFF = 0.4
 MOST_WORDS = 6_000_000
 FREQUENT = 512
-PAIRS_PER_PART = 1_000_000
+PAIRS_PER_PART = 4_000_000
+PAIRS_AT_ONCE = 1_000_000
 _PAIRS = "part int, n int, pair binary, row_key binary, first binary, second binary"
 
 
@@ -159,14 +160,25 @@ def _base(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, frequent: np.ndar
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, parts: int) -> Iterator[pa.RecordBatch]:
+    waiting: list[dict[str, np.ndarray]] = []
+
+    def dealt() -> pa.RecordBatch:
+        """Many pairs at once, so that each part's share is worth compressing."""
+        columns = {name: np.concatenate([w[name] for w in waiting]) for name in waiting[0]}
+        waiting.clear()
+        return by_part((columns["pair"] % np.uint64(parts)).astype(np.int32), columns)
+
     for part, t in _texts(batches, lexicon):
         at = _pairs(t)
         at = at[(t.rank[at] < 0) | (t.rank[at - 1] < 0)]
         pair = mix(t.codes[at - 1] * np.uint64(3) + mix(t.codes[at]))
         first = np.where(t.fold[at] == 1, -t.count[at - 1], t.count[at - 1])  # the sign tells the fold
-        yield by_part((pair % np.uint64(parts)).astype(np.int32), {
-            "pair": pair, "row_key": np.asarray(part.column("row_key"))[t.row[at]],
-            "first": first.astype(np.int64), "second": t.count[at].astype(np.int64)})
+        waiting.append({"pair": pair, "row_key": np.asarray(part.column("row_key"))[t.row[at]],
+                        "first": first.astype(np.int64), "second": t.count[at].astype(np.int64)})
+        if sum(len(w["pair"]) for w in waiting) >= PAIRS_AT_ONCE:
+            yield dealt()
+    if waiting:
+        yield dealt()
 
 
 def _join_counts(group: pa.Table, totals: np.ndarray, parts: int) -> pa.Table:
@@ -234,7 +246,7 @@ def backoff_scores(docs: DataFrame, most_words: int = MOST_WORDS, frequent: int
     table = sc.broadcast(dense)
     base = freeze(rows.mapInArrow(lambda b: _base(b, model.value, table.value),
                                   "doc_id bigint, row_key bigint, n_words bigint, base double, n_frequent bigint"), "base")
-    parts = max(-(-words // pairs_per_part), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(-(-words // pairs_per_part), int(spark.conf.get("spark.sql.shuffle.partitions")))
     gains = rows.mapInArrow(lambda b: _pair_rows(b, model.value, parts), _PAIRS).groupBy("part").applyInArrow(
         lambda g: _join_counts(g, model.value.totals, parts), "part int, n int, row_key binary, gain binary, found binary")
     summed = freeze(gains.groupBy("part").applyInArrow(_sum_rows, "row_key bigint, gain double, n bigint"), "gains")
