@@ -3,10 +3,13 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm.benchmark_scan import contamination
 from textloom.llm.components import components
+from textloom.llm import near_dups
 from textloom.llm.near_dups import near_duplicates
 from textloom.llm.substrings import remove_repeats
 
@@ -84,6 +87,28 @@ def test_near_duplicates(spark, docs_of):
     assert near_duplicates(docs_of([])).count() == 0
 
 
+def test_no_pair_at_the_threshold_is_missed():
+    """Every one of 30,000 pairs of similarity 0.75 shares a band and passes the estimate."""
+    long = [" ".join(f"w{n}x{i}" for i in range(12)) for n in range(30_000)]
+    short = [" ".join(t.split()[:10]) for t in long]
+    signed = []
+    for texts in (long, short):
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+        signed.append(pa.Table.from_batches(near_dups._sign(iter([batch]))))
+    (bands_a, bits_a), (bands_b, bits_b) = [[np.stack(t[c].combine_chunks().flatten().to_numpy().reshape(len(long), -1)) for c in ("bands", "signature")] for t in signed]
+    assert (bands_a == bands_b).any(axis=1).all()
+    unlike = (bits_a.view(np.uint8) != bits_b.view(np.uint8)).mean(axis=1)
+    chance = 2.0 ** -near_dups.BITS
+    assert ((1 - unlike - chance) / (1 - chance) >= near_dups._least_estimate(75)).all()
+
+
+def test_rows_of_one_id_and_unlike_size(spark, docs_of):
+    a, b = PASSAGE.split(), brute.random_text(rng, 200, WORDS).split()
+    rows = [(1, " ".join(a)), (1, " ".join(a + b)), (2, " ".join([*a, *b, "end"])), (3, " ".join([*a, "end"]))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+
+
 def test_near_duplicate_chain(spark, docs_of):
     """A row of documents of which only neighbours are similar, and many that share a part but are not linked."""
     base = [f"w{i}" for i in range(400)]

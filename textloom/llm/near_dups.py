@@ -5,11 +5,11 @@
 2. Documents with equal sets form a class; only its smallest document goes on.
 3. Documents that share a band hash form a bucket. A bucket is not expanded into pairs: in
    each round some of its documents become *hubs* and are paired with the members of
-   other components. Each round has ``MORE`` times the hubs, and a bucket is done when its members
+   other components, unless their set sizes alone rule a link out. Each round has ``MORE`` times the hubs, and a bucket is done when its members
    that never were a hub are in one component, so no pair of a bucket stays unjudged.
 4. Packed signatures give the estimate ``(m - c) / (1 - c)``, with ``m`` the share of equal values by
    bit counts and ``c = 2^-BITS`` the chance of equal bits; pairs far below the threshold
-   (four standard deviations) go.
+   (``DEVIATIONS`` standard deviations) go.
 5. The rest is confirmed on the full sets, in the first round each document's best pair before the others; pairs
    that are already connected need no second look. Components are labels in written tables.
 """
@@ -30,8 +30,9 @@ from textloom.llm.words import LOWER_BLANKS, WordRule, find_words, mix, pieces,
 from textloom.workspace import freeze
 
 SHINGLE = 5
-HASHES, BITS = 256, 8
-BANDS, BAND_ROWS = 42, 6
+HASHES, BITS = 320, 8
+BANDS, BAND_ROWS = 64, 5
+DEVIATIONS = 5.5
 MORE = 8
 PERCENT = 75
 _SEEDS = np.random.default_rng(5)
@@ -137,7 +138,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 def _least_estimate(percent: int) -> float:
     p = percent / 100
-    return p - 4 * math.sqrt(p * (1 - p) / HASHES)
+    return p - DEVIATIONS * math.sqrt(p * (1 - p) / HASHES)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -153,8 +154,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keys = ["set_a", "set_b", "n_shingles"]
     classes = freeze(some.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     firsts = freeze(some.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *keys]).dropDuplicates(["doc_id", *keys])
-                    .select("doc_id", "bands", "signature"), "firsts")
-    rows = firsts.select(F.explode("bands").alias("bucket"), "doc_id").distinct()
+                    .select("doc_id", F.col("n_shingles").cast("int").alias("size"), "bands", "signature"), "firsts")
+    # Rows of one doc_id are one node with a range of sizes.
+    rows = firsts.select(F.explode("bands").alias("bucket"), "doc_id", "size").groupBy("bucket", "doc_id").agg(
+        F.min("size").alias("least"), F.max("size").alias("most"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = freeze(rows.join(shared, "bucket"), "members")
     labels = _labels(texts, firsts.select("doc_id", "signature"), members, percent)
@@ -188,9 +191,11 @@ def _labels(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent
             return labels
         turn = F.xxhash64("doc_id", "bucket")
         hubs = members.groupBy("bucket", F.pmod(turn, F.lit(hubs_each)).alias("slot")).agg(
-            F.min_by(F.struct(F.col("doc_id").alias("hub"), F.col("label").alias("hub_label")), F.struct(turn, "doc_id")).alias("h"),
+            F.min_by(F.struct(F.col("doc_id").alias("hub"), F.col("label").alias("hub_label"), F.col("least").alias("hub_least"), F.col("most").alias("hub_most")), F.struct(turn, "doc_id")).alias("h"),
         ).select("bucket", "h.*")
-        met = members.join(hubs, "bucket").where("label <> hub_label").select(
+        # The smaller set's share of the larger one bounds the share in common: no link is lost by it.
+        near_size = (100 * F.col("most") >= percent * F.col("hub_least")) & (100 * F.col("hub_most") >= percent * F.col("least"))
+        met = members.join(hubs, "bucket").where((F.col("label") != F.col("hub_label")) & near_size).select(
             F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
         sig = lambda side: signatures.select(F.col("doc_id").alias(side), F.col("signature").alias(f"sig_{side}"))
         judged = met.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", estimate(F.col("sig_a"), F.col("sig_b")).alias("likely"))
