@@ -1,6 +1,7 @@
 """Substrings, benchmark passages and near duplicates against brute force."""
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 
 from textloom.llm.benchmark_scan import contamination
 from textloom.llm.components import components
-from textloom.llm import near_dups
+from textloom.llm import near_dups, substrings
 from textloom.llm.near_dups import near_duplicates
 from textloom.llm.substrings import remove_repeats
 
@@ -46,6 +47,28 @@ def test_repeats(spark, docs_of, hot, group):
     assert remove_repeats(docs_of([])).count() == 0
 
 
+def test_no_tree_holds_a_row_per_copy_of_a_passage():
+    """The words around a common passage differ, but no group gets a segment of each document."""
+    passage = PASSAGE.split()[:30]
+    rows = [" ".join([*brute.random_text(rng, 20, WORDS).split(), *passage, *brute.random_text(rng, 20, WORDS).split()]) for _ in range(200)]
+    ids = pa.array(range(len(rows)), pa.int64())
+    keys = pa.Table.from_batches(substrings._key_rows(iter([pa.RecordBatch.from_pydict({"id": ids, "text": pa.array(rows)})]), 1, 13, 6))
+    shared = substrings._repeated_keys(keys, 20).to_pydict()
+    assert len(shared["id"]) == len(rows)
+    batch = pa.RecordBatch.from_pydict({**{k: pa.array(v) for k, v in shared.items()}, "text_key": ids, "text": pa.array([rows[i] for i in shared["id"]])})
+    segments = pa.Table.from_batches(substrings._segment_rows(iter([batch]), 1 << 30, 13, 6)).to_pylist()
+    assert any(s["hot"] for s in segments)
+    assert max(Counter(s["part"] for s in segments if s["text"] != "").values()) <= 20
+
+
+def test_repeats_of_hot_keys_in_rows_of_one_id(spark, docs_of):
+    tail = brute.random_text(rng, 30, WORDS)
+    rows = [(i, f"{brute.random_text(rng, 15, WORDS)} {PASSAGE} {brute.random_text(rng, 5, WORDS)}") for i in range(12)]
+    rows += [(20, PASSAGE), (20, tail), (21, tail), (21, f"{tail} {PASSAGE}")]
+    got = remove_repeats(docs_of(rows), hot=4, keys_per_group=50)
+    assert answer(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(map(repr, brute.repeats(rows)))
+
+
 def test_repeats_with_other_windows(spark, docs_of):
     rows = corpus()
     got = remove_repeats(docs_of(rows), window=5, anchor=2)

@@ -9,15 +9,15 @@ a few windows and not once per window.
 1. Prefix keys are counted by hash; those that only one document has cannot lead to a shared
    node, and their suffixes are left out before any text moves.
 2. Segments of the other keys are dealt to groups of bounded size by key. Equal segments of a
-   batch are one row with a list of places. Keys in more than ``HOT`` documents get the whole segment as
-   their prefix: its equal copies are merged in an aggregation first, so a passage that a third of
-   all documents hold is one row in its group.
+   batch are one row with a list of places. Keys with more than ``HOT`` places get the whole window as
+   their prefix: each window is a node by its digest, and an aggregation finds the node's least document. So
+   no group holds a row per document of a common passage, whatever words stand before and behind it.
 3. In a group the trees' nodes are named level by level, for depths 1, 2, 4, 8 and so on up to
    ``WINDOW``: the name of a node is the pair of the names of its two halves. Suffixes with equal names
    at the last depth lie below one deep node, whose least document keeps its copy.
 4. Places come back to their documents and cover words there.
 
-Words are compared as bytes in the trees; hashes only choose keys.
+Words are compared as bytes in the trees, where hashes only choose keys; windows of hot keys by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -100,18 +100,20 @@ def _key_rows(batches: Iterator[pa.RecordBatch], parts: int, window: int, size:
 
 
 def _repeated_keys(group: pa.Table, hot: int) -> pa.Table:
-    """Per document the numbers of its prefix keys that another document has too; hot ones as -1 - number."""
+    """Per document the numbers of its prefix keys that another document has too, and the hot ones among the keys."""
     codes, ids, places = (gathered(group, n, k) for n, k in (("codes", np.uint64), ("ids", np.int64), ("places", np.int32)))
     order = np.argsort(codes, kind="stable")
     codes, ids, places = codes[order], ids[order], places[order]
     heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     sizes = np.diff(np.append(heads, len(codes)))
     shared = np.repeat(np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads), sizes)
-    places = np.where(np.repeat(sizes > hot, sizes), -1 - places, places)[shared]
-    ids = ids[shared]
+    heated = np.repeat(sizes > hot, sizes)[shared]
+    codes, ids, places = codes[shared], ids[shared], places[shared]
     order = np.argsort(ids, kind="stable")
     owner, counts = np.unique(ids[order], return_counts=True)
-    return pa.table({"id": pa.array(owner, pa.int64()), "places": list_array(places[order].astype(np.int32), counts)})
+    n_hot = np.bincount(np.searchsorted(owner, ids[heated]), minlength=len(owner))
+    return pa.table({"id": pa.array(owner, pa.int64()), "places": list_array(places[order].astype(np.int32), counts),
+                     "hot": list_array(codes[order][heated[order]].view(np.int64), n_hot)})
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], parts: int, window: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -120,17 +122,21 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], parts: int, window: int, si
             words = find_words(part.column("text"), BLANKS)
             a = find_anchors(words, window, size)
             listed = part.column("places")
-            marks = np.asarray(listed.flatten()).astype(np.int64)
+            nth = np.asarray(listed.flatten()).astype(np.int64)
             row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(listed)))
-            nth = np.where(marks < 0, -1 - marks, marks)
             first = np.searchsorted(a.text, np.arange(part.num_rows + 1))
             here = nth < np.diff(first)[row]  # another text of the same id may have more
-            chosen, pick = np.unique((first[row] + nth)[here], return_index=True)
+            chosen = np.unique((first[row] + nth)[here])
             if not len(chosen):
                 continue
-            hot = (marks < 0)[here][pick]
+            # A key is hot in all documents or in none. Its segments are taken apart into windows.
+            heated = np.isin(a.code[chosen], np.asarray(part.column("hot").flatten()).view(np.uint64))
+            n_windows = a.hi[chosen] - a.lo[chosen] + 1
+            lo = np.concatenate([a.lo[chosen][~heated], spread_ranges(a.lo[chosen][heated], n_windows[heated])])
+            hi = np.concatenate([a.hi[chosen][~heated], lo[int((~heated).sum()):]])
+            chosen = np.concatenate([chosen[~heated], np.repeat(chosen[heated], n_windows[heated])])
+            hot = np.arange(len(lo)) >= (~heated).sum()
             line, begin, end = spaced(words)
-            lo, hi = a.lo[chosen], a.hi[chosen]
             text = string_array(line, begin[lo], end[hi + window - 1] - begin[lo]).dictionary_encode()
             number = np.asarray(text.indices).astype(np.int64)
             ids = np.asarray(part.column("id"))[a.text[chosen]]
@@ -146,7 +152,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], parts: int, window: int, si
             held = pa.StructArray.from_arrays([pa.array(ids[order]), pa.array(keys[order]), pa.array(at[order])], ["id", "text_key", "at"])
             yield pa.RecordBatch.from_arrays([
                 pa.array((a.code[chosen][rep] % np.uint64(parts)).astype(np.int32)), pa.array(hot[rep]), pa.array(k1), pa.array(k2), pa.array(k3),
-                pa.array(ids[rep]), pa.array(sizes > 1), text.dictionary.cast(pa.string()), list_array(held, sizes),
+                pa.array(ids[rep]), pa.array(sizes > 1), pc.if_else(pa.array(hot[rep]), "", text.dictionary.cast(pa.string())), list_array(held, sizes),
             ], ["part", "hot", "k1", "k2", "k3", "id", "many", "text", "held"])
 
 
@@ -254,17 +260,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         "copy", F.coalesce((F.col("id") > F.col("leader")) & (F.col("n_words") >= window), F.lit(False))), "marked")
 
     keys = texts.select("id", "text").mapInArrow(lambda b: _key_rows(b, parts, window, anchor), _KEYS)
-    shared = freeze(keys.groupBy("part").applyInArrow(lambda g: _repeated_keys(g, hot), "id bigint, places array<int>"), "shared")
-    wanted = shared.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places")).join(
+    shared = freeze(keys.groupBy("part").applyInArrow(lambda g: _repeated_keys(g, hot), "id bigint, places array<int>, hot array<bigint>"), "shared")
+    wanted = shared.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"), F.flatten(F.collect_list("hot")).alias("hot")).join(
         marked.where("not copy").select("id", "text_key").distinct(), "id")
     held = freeze(texts.select("id", "text_key", "text").join(wanted, ["id", "text_key"]), "held")
     segments = freeze(held.mapInArrow(lambda b: _segment_rows(b, parts, window, anchor), _SEGMENTS), "segments")
     columns = ["part", *_TREE_KEY, "id", "many", "text"]
-    alike = segments.where("hot").groupBy("part", *_TREE_KEY).agg(
-        F.min("id").alias("id"), F.lit(True).alias("many"), F.first("text").alias("text"))
-    trees = segments.where("not hot").select(*columns).unionByName(alike.select(*columns))
+    alike = segments.where("hot").groupBy(*_TREE_KEY).agg(
+        F.min("id").alias("first"), F.max("many").alias("many"), F.count(F.lit(1)).alias("n")).where("many or n > 1")
+    trees = segments.where("not hot").select(*columns)
     nodes = freeze(trees.groupBy("part").applyInArrow(lambda g: _subtrees(g, window), "k1 bigint, k2 bigint, k3 bigint, firsts array<bigint>")
-                   .dropDuplicates(_TREE_KEY), "nodes")
+                   .dropDuplicates(_TREE_KEY).unionByName(alike.select(*_TREE_KEY, F.array("first").alias("firsts"))), "nodes")
     covered = segments.select(*_TREE_KEY, "held").join(nodes, _TREE_KEY).select("held", "firsts").mapInArrow(
         _place_rows, "id bigint, text_key bigint, at int, mask int")
     marks = covered.groupBy("id", "text_key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
