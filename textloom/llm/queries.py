@@ -13,12 +13,15 @@ from textloom.llm.fingerprints import neighbour_fingerprints
 from textloom.llm.hilbert import as_number, curve_shards
 from textloom.llm.language_model import backoff_scores
 from textloom.llm.near_dups import near_duplicates
+from textloom.llm.spelling import MIN_COUNT, MIN_LENGTH, letter_runs, spelling_groups, without_letter
 from textloom.llm.substrings import remove_repeats
 from textloom.llm.toxicity import LIMIT, held_out, score_documents, train
 from textloom.llm.url_rules import judge_urls
 
 SHARDS = 16
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: The state of a CRC-32 after one more byte: ``s`` the state, ``b`` the byte; eight steps of the reflected polynomial.
+CRC_STEP = "list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda t, step: xor(t >> 1, (t & 1) * 3988292384))"
 
 
 @query(rf"""
@@ -159,3 +162,40 @@ FROM docs LEFT JOIN (SELECT doc_id, CAST(count(*) FILTER (found) AS BIGINT) AS n
 def op6_backoff_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's mean log score under the counts of the other half of the documents."""
     return backoff_scores(table(spark, sf, "documents")).withColumn("score", F.round("score", 6))
+
+
+@query(rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[A-Za-z\x{{C0}}-\x{{FF}}]{{6,}}')) AS run FROM documents),
+in_docs AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k, count(*) AS c FROM runs GROUP BY ALL),
+summed AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    regexp_extract_all(hex(encode(k)), '..'), lambda b: ('0x' || b)::BIGINT)), lambda s, b: {CRC_STEP})) AS h FROM in_docs),
+edited AS (
+  SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+                 ELSE run END AS word FROM summed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cuts AS (SELECT word, n, length(word) AS l, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN ranked ON words.word = ranked.word AND r = 1),
+walk AS (
+  SELECT word, word AS at, form AS ahead FROM forms
+  UNION ALL SELECT walk.word, forms.word, forms.form FROM walk JOIN forms ON forms.word = walk.ahead)
+SELECT forms.word, form, walk.at AS root, n, n_near, form_n FROM forms JOIN walk ON walk.word = forms.word AND walk.ahead IS NULL
+""")
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frequent word, after the contract's deletions, with its more frequent near word."""
+    docs = table(spark, sf, "documents")
+    # Shorter runs cannot become words.
+    runs = docs.select("doc_id", F.explode(letter_runs(F.col("text"), MIN_LENGTH)).alias("run"))
+    drawn = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    word = F.when(F.col("h") % 199 == 0, without_letter(F.col("run"), (F.col("h") % F.length("run")).cast("int"))).otherwise(F.col("run"))
+    counts = runs.select("run", drawn.alias("h")).select(word.alias("word")).where(F.length("word") >= MIN_LENGTH).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_COUNT)
+    return spelling_groups(counts)
