@@ -15,8 +15,10 @@ from textloom.llm.language_model import backoff_scores
 from textloom.llm.near_dups import near_duplicates
 from textloom.llm.spelling import MIN_COUNT, MIN_LENGTH, letter_runs, spelling_groups, without_letter
 from textloom.llm.substrings import remove_repeats
+from textloom.llm.token_files import read_token_files, write_token_files
 from textloom.llm.toxicity import LIMIT, held_out, score_documents, train
 from textloom.llm.url_rules import judge_urls
+from textloom.workspace import new_path
 
 SHARDS = 16
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -199,3 +201,11 @@ def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     counts = runs.select("run", drawn.alias("h")).select(word.alias("word")).where(F.length("word") >= MIN_LENGTH).groupBy("word").agg(
         F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_COUNT)
     return spelling_groups(counts)
+
+
+@query()
+def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's ids, written to packed files and read back from them."""
+    path = new_path(spark, "token-files")
+    write_token_files(table(spark, sf, "documents"), path)
+    return read_token_files(spark, path)
