@@ -18,6 +18,7 @@ from textloom.llm.substrings import remove_repeats
 from textloom.llm.token_files import read_token_files, write_token_files
 from textloom.llm.toxicity import LIMIT, held_out, score_documents, train
 from textloom.llm.url_rules import judge_urls
+from textloom.llm.whitening import whiten
 from textloom.workspace import new_path
 
 SHARDS = 16
@@ -209,3 +210,13 @@ def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_token_files(table(spark, sf, "documents"), path)
     return read_token_files(spark, path)
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every usable embedding along the leading principal components, with unit variance."""
+    # An entry that is not finite, or has no long because it is 2^56 or more, becomes NULL, and the operator leaves its row out.
+    longs = F.transform(F.col("embedding").cast("array<double>"), lambda c: F.when(
+        F.abs(c) < float(1 << 56), F.floor(c * 64) + F.lit(1000000).cast("bigint")))
+    rows = table(spark, sf, "embeddings").select("vec_id", longs.alias("x"))
+    return whiten(rows, "vec_id", "x").withColumn("deviation", F.col("deviation").try_cast("bigint"))
