@@ -1,4 +1,5 @@
 import os
+import subprocess
 import sys
 
 import pytest
@@ -21,6 +22,13 @@ def test_every_sql_has_a_query():
     assert set(entry.queries()) >= set(QUERIES)
 
 
+def test_entry_without_the_tokenizer_files():
+    """A missing library takes the subpackage's queries away and no others."""
+    blocked = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(*sorted(e.queries()))"
+    found = subprocess.run([sys.executable, "-c", blocked], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, check=True)
+    assert set(found.stdout.split()) == set(QUERIES)
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
