@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from textloom.llm import token_files
+from textloom.llm import library_ids
 from textloom.llm.encoder import Vocabulary
 from textloom.llm.token_files import TokenFile, bits_for, file_bytes, joined_crc, pack_ids, read_token_files, unpack_ids, write_token_files
 
@@ -103,12 +104,15 @@ def test_no_rows(spark, docs_of, tmp_path):
     assert read_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_library_parts_equal_whole_texts(spark):
+@pytest.mark.parametrize("generation", [library_ids.GENERATION, 20])
+def test_library_parts_equal_whole_texts(monkeypatch, generation):
+    monkeypatch.setattr(library_ids, "GENERATION", generation)
+    monkeypatch.setattr(library_ids, "PARTS_A_CALL", 7)
     rng = random.Random(3)
-    marks = ["a", " ", "  ", "\n", "é", "don't", " 12", " ", "🎉", "\t", "<|endoftext|>", "word", "."]
-    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 200))) for _ in range(300)]
-    import pyarrow as pa
-
-    enc = token_files._LibraryEncoder(Vocabulary())
-    ids, bounds = enc.encode(pa.array(texts))
-    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [i[:-1] for _, i in expected([(n, t) for n, t in enumerate(texts)])]
+    marks = ["a", " ", "  ", "\n", "é", "don't", " 12", " ", "🎉", "\t", "<|endoftext|>", "word", ".", "\u00a0", " Ünïté"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    enc = library_ids.LibraryIds(Vocabulary())
+    for at in range(0, 600, 50):
+        held = texts[at:at + 50]
+        ids, bounds = enc.encode(pa.array(held))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [i[:-1] for _, i in expected(list(enumerate(held)))]

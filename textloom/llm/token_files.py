@@ -24,7 +24,6 @@ number of ids before a file is not known there; the reader adds up the files' co
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,9 +35,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from textloom.llm.encoder import SPECIAL, Encoder, Vocabulary
+from textloom.llm.encoder import Vocabulary
+from textloom.llm.library_ids import LibraryIds
 from textloom.llm.words import pieces
 from textloom.operators.ordered import running_totals
 from textloom.workspace import freeze
@@ -137,34 +136,10 @@ class TokenFile:
         return np.concatenate(parts)[start - first * self.block_ids:stop - first * self.block_ids]
 
 
-class _LibraryEncoder(Encoder):
-    """Parts and texts through ``tokenizers`` itself; each different part of a worker once."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self._exact = Tokenizer.from_file(vocabulary.json)
-        self.bits = bits_for(self._exact.get_vocab_size())
-        self._forget()
-
-    def _all(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self._exact.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _whole(self, text: str) -> np.ndarray:
-        if SPECIAL in text or len(text) > 64:
-            return self._all([text])[0]
-        return self._ids[self._parts([text])[0]]
-
-    def _parts(self, parts: list[str]) -> list[int]:
-        new = [p for p in dict.fromkeys(parts) if p not in self._known]
-        for part, ids in zip(new, self._all(new)):
-            self._known[part] = len(self._ids)
-            self._ids.append(ids)
-        return [self._known[p] for p in parts]
-
-
 @lru_cache(maxsize=2)
-def _encoder(vocabulary: Vocabulary) -> _LibraryEncoder:
-    return _LibraryEncoder(vocabulary)
+def _encoder(vocabulary: Vocabulary) -> LibraryIds:
+    """One encoder per Python worker."""
+    return LibraryIds(vocabulary)
 
 
 class _OpenFile:
@@ -200,7 +175,7 @@ class _OpenFile:
 
 def _write(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, end_id: int, limit: int) -> Iterator[pa.RecordBatch]:
     enc = _encoder(vocabulary)
-    file = _OpenFile(enc.bits, limit, TaskContext.get().partitionId())
+    file = _OpenFile(bits_for(enc.size), limit, TaskContext.get().partitionId())
 
     def record(data: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["content"])
