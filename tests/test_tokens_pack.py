@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import chain
 
 import pytest
@@ -48,6 +49,63 @@ def test_bpe_equals_library(spark, seed):
         assert {r.doc_id: r.ids for r in joined.collect()} == got
 
 
+def brute_merges(counts, vocab_size):
+    """One merge at a time over all words; a token that is there already keeps its id."""
+    letters = sorted({ch for w in counts for ch in w})
+    tokens = [*vocab.SPECIAL_TOKENS, *letters]
+    ids, merges = {t: i for i, t in enumerate(tokens)}, []
+    words = [([ids[ch] for ch in w], n) for w, n in counts.items()]
+    while len(tokens) < vocab_size:
+        pairs = Counter()
+        for own, n in words:
+            for pair in zip(own, own[1:]):
+                pairs[pair] += n
+        a, b = best = min(pairs, key=lambda p: (-pairs[p], p), default=(0, 0))
+        if pairs[best] < 2:
+            break
+        text = tokens[a] + tokens[b]
+        if text not in ids:
+            ids[text] = len(tokens)
+            tokens.append(text)
+        merges.append((a, b, ids[text]))
+        for own, _ in words:
+            i = 0
+            while i + 1 < len(own):
+                if (own[i], own[i + 1]) == best:
+                    own[i:i + 2] = [ids[text]]
+                i += 1
+    return tokens, merges
+
+
+@pytest.mark.parametrize("seed, letters, top, symbols", [
+    (0, "ab", 1, 1 << 20), (1, "ab", 3, 1 << 20), (2, "abcdeé", 4, 40), (3, "a😀", 2, 1 << 20), (4, "abcdefgh", 16, 60)])
+def test_bpe_rounds_equal_one_merge_at_a_time(spark, seed, letters, top, symbols):
+    """Few pairs a round, and segments beyond the limit: the merges stay the same."""
+    rnd = random.Random(seed)
+    counts = Counter("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 10))) for _ in range(60))
+    size = len(vocab.SPECIAL_TOKENS) + len(letters) + 14
+    frame = spark.createDataFrame(list(counts.items()), "word string, freq bigint")
+    model = bpe.induce(frame, vocab_size=size, top=top, segment_symbols=symbols)
+    assert (model.tokens, model.merges) == brute_merges(counts, size)
+
+
+def test_bpe_merges_that_spell_a_special_token(spark):
+    """The token has its small id, which breaks the order of ranks; the index is built anew."""
+    counts = {"<unk>": 9, "x<unk>": 4, "<unk>x": 4, "y<unk>y": 4, "<pad>": 4, "kx": 4, "yk": 4, "a<pad>a": 4}
+    want = brute_merges(counts, 45)
+    assert len({c for _, _, c in want[1]} & {0, 1}) == 2
+    frame = spark.createDataFrame(list(counts.items()), "word string, freq bigint")
+    for top in (1, 4, 100):
+        model = bpe.induce(frame, vocab_size=45, top=top)
+        assert (model.tokens, model.merges) == want
+
+
+def test_bpe_of_no_words(spark):
+    empty = spark.createDataFrame([], "word string, freq bigint")
+    assert bpe.induce(empty).tokens == list(vocab.SPECIAL_TOKENS)
+    assert bpe.induce(spark.createDataFrame([("x", 9)], empty.schema)).merges == []
+
+
 def test_decode_both_ways(spark):
     frame = docs(spark).where("text is not null")
     words = vocab.word_vocabulary(vocab.word_counts(frame, F.col("text")), rows_per_cell=5)

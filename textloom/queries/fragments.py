@@ -94,3 +94,36 @@ cut AS (SELECT p // {SEQ_LEN} AS row_idx, string_agg(id::VARCHAR, ' ' ORDER BY p
 packed AS (SELECT row_idx, row_idx // {ROWS_PER_SHARD} AS shard_id, ids || repeat(' 0', {SEQ_LEN} - n) AS input_ids,
   substr(repeat(' 1', n), 2) || repeat(' 0', {SEQ_LEN} - n) AS attention_mask, n, lo, hi, ends
   FROM cut WHERE n >= {SEQ_LEN // 2})"""
+
+# Byte-pair induction. A word is a string of one code point (65536 + id) per symbol. State kinds: w words (key: the word),
+# v tokens (key: the symbol), m merges (key: the rank); a step makes only changed rows again. A step merges the top pairs up to
+# the first one that has a symbol on the other side of an earlier one: until there they cannot affect each other.
+_SYMBOL = "chr(CAST(65536 + id AS INTEGER))"
+BPE_STATE = f"""{WORD_TOKENS},
+counts AS MATERIALIZED (SELECT word, count(*) AS freq FROM toks GROUP BY word),
+letters AS (SELECT ch, row_number() OVER (ORDER BY ch) + 4 AS id FROM (SELECT DISTINCT unnest(string_split(word, '')) AS ch FROM counts)),
+spelled AS (
+  SELECT word, freq, string_agg({_SYMBOL}, '' ORDER BY i) AS s
+  FROM (SELECT word, freq, unnest(string_split(word, '')) AS ch, generate_subscripts(string_split(word, ''), 1) AS i FROM counts) JOIN letters USING (ch)
+  GROUP BY ALL),
+state(kind, k, s, n) USING KEY (kind, k) AS (
+  SELECT 'w', word, s, freq FROM spelled
+  UNION ALL SELECT 'v', {_SYMBOL}, ch, id FROM letters
+  UNION
+  (WITH places AS MATERIALIZED (
+     SELECT k, n, unnest([substr(s, i, 2) FOR i IN range(1, length(s))]) AS pair FROM recurring.state WHERE kind = 'w' AND length(s) > 1),
+   ranked AS MATERIALIZED (
+     SELECT pair, left(pair, 1) AS a, right(pair, 1) AS b, row_number() OVER (ORDER BY c DESC, pair) AS r
+     FROM (SELECT pair, sum(n) AS c FROM places GROUP BY pair HAVING sum(n) >= 2 ORDER BY c DESC, pair LIMIT 400)),
+   stops AS (SELECT min(y.r) AS r FROM ranked x JOIN ranked y ON x.a = y.b AND x.r < y.r
+             UNION ALL SELECT min(y.r) FROM ranked x JOIN ranked y ON x.b = y.a AND x.r < y.r),
+   sizes AS (SELECT max(n) FILTER (kind = 'v') AS last, count(*) FILTER (kind = 'm') AS merges FROM recurring.state WHERE kind <> 'w'),
+   taken AS MATERIALIZED (
+     SELECT pair, a, b, last + r AS id, merges + r - 1 AS rank
+     FROM ranked, sizes WHERE r < coalesce((SELECT min(r) FROM stops), 1000) AND last + r < 32000),
+   touched AS (SELECT k, list(DISTINCT {{'pair': pair, 'new': {_SYMBOL}}}) AS todo FROM places JOIN taken USING (pair) GROUP BY k)
+   SELECT 'w', w.k, list_reduce(list_prepend({{'pair': '', 'new': w.s}}, todo), lambda x, y: {{'pair': '', 'new': replace(x.new, y.pair, y.new)}}).new, w.n
+   FROM recurring.state w JOIN touched ON touched.k = w.k WHERE w.kind = 'w'
+   UNION ALL SELECT 'v', {_SYMBOL}, x.s || y.s, id
+   FROM taken JOIN recurring.state x ON x.kind = 'v' AND x.k = a JOIN recurring.state y ON y.kind = 'v' AND y.k = b
+   UNION ALL SELECT 'm', CAST(rank AS VARCHAR), pair, id FROM taken))"""

@@ -11,9 +11,6 @@ from textloom.queries import fragments as sql
 from textloom.queries.registry import query, table, texts
 from textloom.workspace import freeze
 
-MERGES = 60
-
-
 def words_table(spark: SparkSession, sf: str) -> DataFrame:
     return freeze(vocab.word_counts(texts(spark, sf, "text"), F.col("text")), "word-counts")
 
@@ -22,12 +19,6 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return vocab.word_vocabulary(vocab.word_counts(texts(spark, sf, "text"), F.col("text")))
 
 
-def bpe_model(counts: DataFrame) -> bpe.BpeModel:
-    """Alphabet plus a fixed number of merges."""
-    letters = len(bpe.alphabet(counts))
-    return bpe.induce(counts, vocab_size=vocab.FIRST_ID + letters + MERGES)
-
-
 _PIECES = f"SELECT doc_id, text, regexp_extract_all(text, '{sql.WORD}') AS pieces FROM documents"
 
 
@@ -85,26 +76,32 @@ def top_character_pairs(spark, sf):
     return bpe.top_pairs(bpe.pair_counts(words_table(spark, sf)), 25)
 
 
-@query("N3")
+@query("N3", f"""WITH RECURSIVE {sql.BPE_STATE}
+SELECT * FROM (VALUES (0, '<unk>'), (1, '<pad>'), (2, '<|endoftext|>'), (3, '<|im_start|>'), (4, '<|im_end|>')) AS t(id, token)
+UNION ALL SELECT n::INTEGER, s FROM state WHERE kind = 'v'""")
 def bpe_vocabulary(spark, sf):
-    return bpe_model(words_table(spark, sf)).vocabulary(spark)
+    return bpe.induce(words_table(spark, sf)).vocabulary(spark)
 
 
-@query("N3")
+@query("N3", f"""WITH RECURSIVE {sql.BPE_STATE}
+SELECT k::INTEGER AS rank, unicode(left(s, 1)) - 65536 AS id_a, unicode(right(s, 1)) - 65536 AS id_b, n::INTEGER AS id_merged
+FROM state WHERE kind = 'm'""")
 def bpe_merges(spark, sf):
-    return bpe_model(words_table(spark, sf)).merge_table(spark)
+    return bpe.induce(words_table(spark, sf)).merge_table(spark)
 
 
-@query("N4")
+@query("N4", f"""WITH RECURSIVE {sql.BPE_STATE}
+SELECT k AS word, array_to_string([unicode(ch) - 65536 FOR ch IN string_split(s, '')], ' ') AS ids FROM state WHERE kind = 'w'""")
 def bpe_word_ids(spark, sf):
     counts = words_table(spark, sf)
-    return enc.word_ids(counts, bpe_model(counts))
+    ids = enc.word_ids(counts, bpe.induce(counts))
+    return ids.select("word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query("N4 N5 N9", f"""SELECT doc_id, replace(array_to_string(pieces, ''), ' ', '') AS letters FROM ({_PIECES})""")
 def bpe_round_trip(spark, sf):
     # Ids depend on the induced merges; their text without spaces does not.
-    model = bpe_model(words_table(spark, sf))
+    model = bpe.induce(words_table(spark, sf))
     ids = enc.encode_text(spark, model, F.col("text"))
     text = enc.decode(texts(spark, sf, "doc_id", "text").select("doc_id", ids.alias("ids")),
                       model.vocabulary(spark), ["doc_id"])

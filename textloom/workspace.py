@@ -38,9 +38,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 def freeze(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the workspace and return the re-read table. Shuffle files of
     the write are of no more use then, so Spark is told to drop them at its end."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(df.sparkSession, name)
     _written.append(path)
+    return _store(df, path)
+
+
+def _store(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
@@ -50,6 +54,25 @@ def freeze(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate tables of one job, which alone drops them: other jobs of the session do not see them."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self.paths: list[str] = []
+
+    def freeze(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """As ``freeze``; the table's path is the last of ``paths``."""
+        self.paths.append(new_path(self._spark, name))
+        return _store(df, self.paths[-1])
+
+    def drop(self, paths: list[str] | None = None) -> None:
+        """Remove some of the tables, or all, once nothing will read them."""
+        for path in list(self.paths) if paths is None else paths:
+            _delete(self._spark, path)
+            self.paths.remove(path)
+
+
 def written_tables() -> list[str]:
     """Paths of the tables written so far and not dropped, in order."""
     return list(_written)
