@@ -25,6 +25,7 @@ from textloom.workspace import freeze
 LETTERS = "A-Za-zÀ-ÿ"
 TERMINATOR = "$"
 TEXT_KEY = 64
+WORDS_A_TASK = 1 << 16
 MIN_LENGTH, MIN_COUNT, TIMES = 6, 5, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,10 +106,13 @@ def spelling_groups(counts: DataFrame, times: int = TIMES) -> DataFrame:
     all words of one letter; no rows give no rows; other columns are not read."""
     if times <= 1:
         raise ValueError("times must be above 1: forms must not run in circles")
+    spark = counts.sparkSession
     words = counts.where(F.col("word").isNotNull() & (F.col("n") > 0)).groupBy("word").agg(F.sum("n").cast("bigint").alias("n"))
     words = freeze(words.select("word", "n", (-F.col("n")).alias("less")), "words")
     ranked = freeze(ordinals(words, ["less", "word"], name="rank").select("rank", "word", "n"), "ranked")
-    near = freeze(near_words(ranked.select("rank", "word")), "near")
+    # A word becomes some twenty entries: a small file of words is dealt out first.
+    spread = ranked.select("rank", "word").repartition(max(spark.sparkContext.defaultParallelism, -(-ranked.count() // WORDS_A_TASK)), "rank")
+    near = freeze(near_words(spread), "near")
     best = ranked.select(F.col("rank").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
     forms = freeze(ranked.join(near, "rank").join(best, "best").where(F.col("form_n") >= times * F.col("n"))
                    .select("rank", "form", "form_n", F.col("best").alias("root")), "forms")
