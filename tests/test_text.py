@@ -1,5 +1,7 @@
 import html as stdlib_html
+import random
 import re
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,23 @@ def test_cleaning_equals_python(spark):
     assert results(spark, [None], tx.clean_plain(v)) == [None]
 
 
+def test_every_name_and_number(spark):
+    """All names with and without a semicolon, alone and glued to text, and numbers around every special range; no Python in the plan."""
+    names = [n.rstrip(";") for n in html5]
+    numbers = [*range(300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE,
+               0x1FFFF, 0x20000, 0x10FFFD, 0x10FFFF, 0x110000, 9999999, 10**8, 10**30, 0x1F600]
+    rnd = random.Random(1)
+    marks = ["&", "#", "x", "amp", ";", "lt", "not", "in", "a", "é", " ", "\n", "😀", "1", "&&", "&#", "&#x", "<", "AMP", "notit"]
+    texts = ([f"a &{n}; b" for n in names] + [f"&{n}" for n in names] + [f"x&{n}z;&{n};&{n}" for n in names]
+             + [f"&#{n};&#{n}&#x{n:x};&#X{n:X}q&#0{n};" for n in numbers]
+             + ["".join(rnd.choice(marks) for _ in range(rnd.randrange(20))) for _ in range(1000)]
+             + ["", "&", "&;", "&#;", "&#x;", "& amp;", "&" + "a" * 40 + ";", "&amp" + "b" * 40, "&\tx;"])
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", html.unescape(F.col("t")).alias("u"))
+    assert {r.i: r.u for r in df.collect()} == {i: stdlib_html.unescape(t) for i, t in enumerate(texts)}
+    plan = df.select(html.clean_html(F.col("u")))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+
+
 def test_html_equals_python(spark):
     v = F.col("v")
     plain = [stdlib_html.unescape(t) for t in HTML]

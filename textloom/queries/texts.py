@@ -29,7 +29,7 @@ def clean_plain(spark, sf):
     return over(spark, sf, "documents", "doc_id", text=tx.clean_plain(F.col("text")))
 
 
-@query("T4 F1", f"SELECT page_id, {sql.unescape('html')} AS text FROM pages")
+@query("T4", f"SELECT page_id, {sql.unescape('html')} AS text FROM pages")
 def unescape_html(spark, sf):
     return over(spark, sf, "pages", "page_id", text=html.unescape(F.col("html")))
 
