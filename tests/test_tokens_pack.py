@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import bpe, encode as enc, pack, vocab
+from textloom.operators import bpe, encode as enc, ordered, pack, vocab
 from textloom.workspace import freeze
 
 SAMPLE = ["low lower lowest newer wider", "aaa aaaa banana bandana", "naïve café 你好 世界 😀😀",
@@ -156,10 +156,29 @@ def test_pack_shuffles_arrays_once(spark):
     rows.collect()
     plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     by_cell = [line for line in plan.split("\n") if "Exchange hashpartitioning(_cell" in line]
-    assert sum("ReusedExchange" not in line for line in by_cell) == 2  # arrays, cell totals
+    assert sum("ReusedExchange" not in line for line in by_cell) == 1
     assert sum("ReusedExchange" in line for line in by_cell) == 1
 
 
+def test_no_cell_beyond_twice_its_tokens(spark):
+    """One giant document among tiny ones: it spans cells, and the rows stay the same."""
+    sizes = [1, 3, 2] * 40 + [5000] + [2, 1] * 40 + [37, 0, 36]
+    line = list(range(sum(sizes)))
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    frame = freeze(spark.createDataFrame([(i, line[a:a + n], n) for i, (a, n) in enumerate(zip(starts, sizes))],
+                                         "doc_id bigint, ids array<int>, n int").repartition(5))
+    got = {r.row_idx: r.ids for r in pack.pack_rows(frame, ["doc_id"], 16, tokens_per_cell=36).collect()}
+    assert got == {i: line[16 * i:16 * i + 16] for i in range(-(-len(line) // 16))}
+    parts = frame.where("n <= 36")
+    cells = ordered.cells_by_weight(parts, ["doc_id"], "n", 36, rows_per_cell=10).groupBy(ordered.CELL).agg(
+        F.sum("n").alias("held"), F.min("_before").alias("before"), F.max("_before").alias("same")).orderBy(ordered.CELL).collect()
+    at = 0
+    assert len(cells) > 5
+    for r in cells:
+        assert r.held < 72 and r.before == r.same == at
+        at += r.held
+
+
 def test_both_ways_to_encode_agree_on_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "low <pad> new zzz"), (3, "low <pad> new zzz"), (3, "low"), (4, "<unk>"), (None, "new")]
     odd = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -4,32 +4,44 @@ Budgets, shards, packs and series all depend on arrival order. A window ordered
 over a whole table (or over a source that holds a third of it) would run in one
 task. Here the order key is cut into *cells* of a bounded number of rows:
 
-1. a hash-chosen sample of keys gives the cell borders (one small job). Spark
-   sorts them, so a key may be of any sortable type and NULL, and the driver gets
-   one border per cell;
-2. each row finds its cell by bisection on a literal array, so the cell is a
+1. a hash-chosen sample of keys gives the cell borders. Spark sorts them, so a key may be of any sortable type and NULL.
+   Up to ``FAN`` borders are a literal in the plan. More of them are a stored tree of two levels: the literal cuts the key into ranges, and each
+   range's borders are one row of a table, made from that range's sample alone. The driver and every task
+   see at most ``FAN`` borders and their sample, however many cells there are;
+2. each row finds its cell by bisection, in the literal and then in its range's array, so the cell is a
    pure function of the key and a recomputed task gives the same answer;
-3. cell totals are aggregated map-side first and summed up over the cells;
+3. cell totals are aggregated map-side first and summed up over the cells, in two steps when there are many;
 4. a window per (group, cell) gives the local running value, the offset of the
    cell is joined on the same key and needs no further shuffle of the rows.
 
-The order key must be unique within a group.
+The order key must be unique within a group: a row whose key is that of the row before ends the job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.workspace import freeze
+
 ROWS_PER_CELL = 1 << 20
+#: Borders in one array, and ranges of the tree: it holds their square.
+FAN = 1 << 10
+#: Bytes of a tree that is sent to all tasks; a larger one is joined.
+MOST_BROADCAST = 1 << 25
+#: Groups whose cutoffs become filters.
+MOST_CUTOFFS = 64
 _SAMPLES_PER_CELL = 32
 _HASH_SPAN = 1 << 31
 _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 CELL = "_cell"
+_RANGE, _GROUP = "_range", "_group"
 
 
 def _struct_of(names: Sequence[str]) -> Column:
@@ -69,32 +81,89 @@ def whole_div(value: Column, by: Column | int) -> Column:
 
 def add_cells(df: DataFrame, order_by: Sequence[str], rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """Add the column ``_cell``: consecutive ranges of the order key with about
-    ``rows_per_cell`` rows each. Only key columns are read for the borders."""
+    ``rows_per_cell`` rows each. Only key columns are read for the borders. Cells
+    rise with the key; some numbers may be left out."""
     return _with_cells(df, order_by, rows_per_cell)[0]
 
 
+def _spaced(sample: Column, cells: Column) -> Column:
+    """Fewer than ``cells`` evenly spaced entries of a sorted array."""
+    part = lambda i: whole_div(i.cast("bigint") * cells, F.size(sample))
+    return F.filter(sample, lambda _, i: part(i) != part(i - 1))
+
+
+def _chosen(order_by: Sequence[str], rate: float) -> Column:
+    """A share of the keys by their hash."""
+    return F.pmod(F.xxhash64(*order_by), F.lit(_HASH_SPAN)) < int(min(1.0, rate) * _HASH_SPAN)
+
+
+def _literal(keys: DataFrame, order_by: Sequence[str], most: int) -> tuple[Column, int]:
+    """The sorted keys, or fewer than ``most`` evenly spaced ones, as an array literal with its size."""
+    sample = F.col("sample")
+    row = (keys.agg(F.array_sort(F.collect_set(_struct_of(order_by))).alias("sample"))
+           .select((_spaced(sample, F.lit(most)) if most else sample).alias("keys")).select(F.to_json("keys", _EXACT).alias("text"), F.size("keys").alias("n")).first())
+    types = {f.name: f.dataType.simpleString() for f in keys.select(*order_by).schema}
+    fields = ",".join(f"k{i}:{types[name]}" for i, name in enumerate(order_by))
+    return F.from_json(F.lit(row["text"]), f"array<struct<{fields}>>", _EXACT), max(0, row["n"])
+
+
+def _in_tree(df: DataFrame, key: Column, tree: DataFrame, found: Callable[[Column], Column], size: int = FAN) -> DataFrame:
+    """``df`` (with ``_range``) with the cell that ``found`` makes of the position in its range's array of at most ``size`` keys; the
+    tree has one row per range: ``_range``, ``_keys`` and what ``found`` needs."""
+    held = F.broadcast(tree) if (tree.agg(F.sum(F.octet_length(F.to_json("_keys")))).first()[0] or 0) <= MOST_BROADCAST else tree
+    at = F.coalesce(bisect_right(F.col("_keys"), key, size), F.lit(0))
+    extra = [c for c in tree.columns if c != _RANGE]
+    return df.join(held, _RANGE, "left").withColumn(CELL, found(at)).drop(_RANGE, *extra)
+
+
 def _with_cells(df: DataFrame, order_by: Sequence[str], rows_per_cell: int) -> tuple[DataFrame, int]:
     """The table with its cells, and an upper limit for their number."""
     keys = df.select(*order_by)
     total = keys.count()
-    cells = -(-total // rows_per_cell)
+    cells = min(-(-total // rows_per_cell), FAN * FAN)
     if cells <= 1:
         return df.withColumn(CELL, F.lit(0)), 1
-    rate = min(1.0, cells * _SAMPLES_PER_CELL / total)
-    chosen = F.pmod(F.xxhash64(*order_by), F.lit(_HASH_SPAN)) < int(rate * _HASH_SPAN)
-    borders = keys.where(chosen).select(_struct_of(order_by).alias("key"))
-    # Evenly spaced keys of the sample; one row with at most one border per cell comes back.
-    part = lambda i: whole_div(i.cast("bigint") * cells, F.size("sample"))
-    kept = F.filter("sample", lambda _, i: part(i) != part(i - 1))
-    row = (borders.agg(F.array_sort(F.collect_set("key")).alias("sample")).select(kept.alias("keys"))
-           .select(F.to_json("keys", _EXACT).alias("text"), F.size("keys").alias("n")).first())
-    if not row["n"]:
+    key = _struct_of(order_by)
+    top = min(cells, FAN)
+    sample = keys.where(_chosen(order_by, top * _SAMPLES_PER_CELL / total))
+    bounds, n = _literal(sample, order_by, top)
+    if not n:
         return df.withColumn(CELL, F.lit(0)), 1
-    types = {f.name: f.dataType.simpleString() for f in keys.schema}
-    fields = ",".join(f"k{i}:{types[name]}" for i, name in enumerate(order_by))
-    bounds = F.from_json(F.lit(row["text"]), f"array<struct<{fields}>>", _EXACT)
-    cell = bisect_right(bounds, _struct_of(order_by), row["n"])
-    return df.withColumn(CELL, F.coalesce(cell, F.lit(0))), row["n"] + 1
+    place = F.coalesce(bisect_right(bounds, key, n), F.lit(0))
+    if cells <= FAN:
+        return df.withColumn(CELL, place), n + 1
+    finer = keys.where(_chosen(order_by, cells * _SAMPLES_PER_CELL / total)).select(place.alias(_RANGE), key.alias("key"))
+    arrays = finer.groupBy(_RANGE).agg(F.array_sort(F.collect_set("key")).alias("sample"))
+    share = cells / min(total, cells * _SAMPLES_PER_CELL)  # cells per key of the sample
+    tree = freeze(arrays.select(_RANGE, _spaced(F.col("sample"), F.least(
+        F.ceil(F.size("sample") * share), F.lit(FAN))).alias("_keys")), "borders")
+    rows = df.withColumn(_RANGE, place)
+    return _in_tree(rows, key, tree, lambda at: F.col(_RANGE) * FAN + at), (FAN + 1) * FAN
+
+
+def cells_by_weight(df: DataFrame, order_by: Sequence[str], weight: str, limit: int, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """Add ``_cell`` and ``_before``: the cell of a row is its running weight before it, divided by ``limit``, and ``_before`` is the
+    running weight before the cell's first row. No weight may exceed ``limit``, so a cell weighs less than twice the limit.
+
+    The running weight is settled on the key and the weight alone. Each cell's first key goes into the stored tree of borders,
+    so that wide rows find their cell by bisection and are not shuffled."""
+    key, n = _struct_of(order_by), F.col(weight).cast("bigint")
+    narrow = running_totals(df.select(*order_by, n.alias("_w")), order_by, {"_stop": F.col("_w")}, rows_per_cell=rows_per_cell)
+    start = F.col("_stop") - F.col("_w")
+    first = narrow.groupBy(whole_div(start, limit).alias("_no")).agg(F.min(F.struct(key.alias("key"), start.alias("start"))).alias("f"))
+    firsts = freeze(first.select("_no", "f.key", "f.start"), "borders")
+    cells = firsts.count()
+    if cells <= 1:
+        return df.withColumns({CELL: F.lit(0).cast("bigint"), "_before": F.lit(0).cast("bigint")})
+    per = max(FAN, -(-cells // FAN))
+    coarse = firsts.where((F.col("_no") % per == 0) & (F.col("_no") > 0)).select(*[F.col(f"key.k{i}").alias(name) for i, name in enumerate(order_by)])
+    bounds, size = _literal(coarse, order_by, 0)
+    entries = F.array_sort(F.collect_list(F.struct("key", "_no", "start")))
+    tree = freeze(firsts.groupBy(whole_div(F.col("_no"), per).cast("int").alias(_RANGE)).agg(entries.alias("_entries")).select(
+        _RANGE, F.transform("_entries", lambda e: e["key"]).alias("_keys"), "_entries"), "borders")
+    place = F.coalesce(bisect_right(bounds, key, size), F.lit(0)) if size else F.lit(0)
+    found = _in_tree(df.withColumn(_RANGE, place), key, tree, lambda at: F.get("_entries", at - 1), per)
+    return found.withColumns({CELL: F.col(f"{CELL}._no"), "_before": F.col(f"{CELL}.start")})
 
 
 def running_totals(
@@ -107,40 +176,60 @@ def running_totals(
 ) -> DataFrame:
     """Add, for each entry of ``values``, its inclusive running sum in key order
     within the group. Other columns are carried along. With ``keep_cell`` the
-    result stays hash-partitioned by group and ``_cell`` and keeps that column."""
+    result stays hash-partitioned by group and ``_cell`` and keeps that column.
+    Two rows of a group with one key end the job: their order would be left to chance."""
     groups = list(group_by)
     named = {f"_v{i}": expr for i, expr in enumerate(values.values())}
     rows, cells = _with_cells(df, order_by, rows_per_cell)
+    # A struct is never NULL, so groups that hold NULL join like others, on the columns that the window has dealt out.
+    group = [_GROUP] if groups else []
+    rows = rows.withColumns({_GROUP: F.struct(*groups)} if groups else {})
+    line = Window.partitionBy(*group, CELL).orderBy(*order_by)
+    local = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = _struct_of(order_by)
+    ties = F.when(F.lag(key).over(line) == key, F.raise_error(F.concat(F.lit("two rows have the order key "), key.cast("string"))).cast("bigint"))
+    hidden = [*group, "_tie", *([] if keep_cell else [CELL])]
+
+    def checked(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        return df.withColumns({**sums, "_tie": ties}).where(F.col("_tie").isNull())
+
     if cells == 1:  # counted: everything fits one cell, there are no offsets
-        whole = Window.partitionBy(*groups, CELL).orderBy(*order_by).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        summed = rows.withColumns({out: F.sum(e).over(whole) for out, e in values.items()})
-        return summed if keep_cell else summed.drop(CELL)
-    local = Window.partitionBy(*groups, CELL).orderBy(*order_by).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    sums = {name: F.sum(expr).over(local) for name, expr in named.items()}
-
-    # Offsets come from a table with one row per group and cell.
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(CELL).rowsBetween(
-        Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*groups, CELL).agg(*[F.sum(e).alias(n) for n, e in named.items()])
-    offsets = totals.select(
-        *[F.col(g).alias(f"_o_{g}") for g in groups],
-        F.col(CELL).alias("_o_cell"),
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_o{n}") for n in named],
-    )
+        return checked(rows, {out: F.sum(e).over(local) for out, e in values.items()}).drop(*hidden)
+    totals = rows.groupBy(*group, CELL).agg(*[F.sum(e).alias(n) for n, e in named.items()])
+    offsets = _offsets(totals, group, list(named), cells).select(
+        *[F.col(g).alias(f"_o{g}") for g in group], F.col(CELL).alias("_o_cell"), *[F.col(n).alias(f"_o{n}") for n in named])
     same = F.col(CELL) == F.col("_o_cell")
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
+    for g in group:
+        same = same & (F.col(g) == F.col(f"_o{g}"))
     return (
-        rows.withColumns(sums)
+        checked(rows, {name: F.sum(expr).over(local) for name, expr in named.items()})
         .join(offsets, same)
         .withColumns({out: F.col(n) + F.col(f"_o{n}") for out, n in zip(values, named)})
-        .drop(*named, *[f"_o{n}" for n in named], *[f"_o_{g}" for g in groups], "_o_cell",
-              *([] if keep_cell else [CELL]))
+        .drop(*named, *[f"_o{n}" for n in named], *[f"_o{g}" for g in group], "_o_cell", *hidden)
     )
 
 
+def _offsets(totals: DataFrame, group: list[str], names: list[str], cells: int) -> DataFrame:
+    """What comes before each cell of ``totals``. Beyond ``FAN`` cells they are summed up within blocks first, and
+    over the blocks then, so no task holds more than ``FAN`` of a group."""
+    before = lambda *by: Window.partitionBy(*(by or [F.lit(0)]))
+    prior = (Window.unboundedPreceding, -1)
+    if cells <= FAN + 1:
+        line = before(*group).orderBy(CELL).rowsBetween(*prior)
+        return totals.select(*group, CELL, *[F.coalesce(F.sum(n).over(line), F.lit(0)).alias(n) for n in names])
+    block = whole_div(F.col(CELL), FAN).alias("_block")
+    blocks = totals.groupBy(*group, block).agg(*[F.sum(n).alias(n) for n in names])
+    line = before(*group).orderBy("_block").rowsBetween(*prior)
+    ahead = blocks.select(*[F.col(g).alias(f"_b{g}") for g in group], F.col("_block").alias("_b_block"),
+                          *[F.coalesce(F.sum(n).over(line), F.lit(0)).alias(f"_b{n}") for n in names])
+    inner = before(*group, "_block").orderBy(CELL).rowsBetween(*prior)
+    own = totals.withColumn("_block", block).select(*group, CELL, "_block", *[F.coalesce(F.sum(n).over(inner), F.lit(0)).alias(n) for n in names])
+    same = F.col("_block") == F.col("_b_block")
+    for g in group:
+        same = same & (F.col(g) == F.col(f"_b{g}"))
+    return own.join(ahead, same).select(*group, CELL, *[(F.col(n) + F.col(f"_b{n}")).alias(n) for n in names])
+
+
 def ordinals(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (),
              name: str = "ord", rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """Number the rows 1, 2, ... in key order within the group."""
@@ -152,6 +241,29 @@ def head(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
+def _after_null(name: str, ahead: Column) -> Column:
+    """NULL comes first in key order."""
+    return F.col(name).isNull() | ahead
+
+
+def up_to(order_by: Sequence[str], end: Sequence, types: dict[str, T.DataType]) -> Column:
+    """Rows whose key is not behind ``end``, as plain comparisons: the first column's bound stands on its own, so it reaches
+    the scan; a tie there is settled by the next column."""
+    name, value = order_by[0], end[0]
+    if value is None:
+        same = F.col(name).isNull()
+        return same & up_to(order_by[1:], end[1:], types) if len(order_by) > 1 else same
+    bound = F.lit(value).cast(types[name])
+    reach = _after_null(name, F.col(name) <= bound)
+    if len(order_by) == 1:
+        return reach
+    return reach & (_after_null(name, F.col(name) < bound) | up_to(order_by[1:], end[1:], types))
+
+
+def _types(df: DataFrame, order_by: Sequence[str]) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in df.select(*order_by).schema}
+
+
 def prefix(df: DataFrame, n: int, order_by: Sequence[str],
            rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """The first ``n`` rows in key order for large ``n``: the n-th key is looked
@@ -160,9 +272,7 @@ def prefix(df: DataFrame, n: int, order_by: Sequence[str],
         F.col("_ord") == n).first()
     if last is None:
         return df if n > 0 else df.limit(0)
-    types = {f.name: f.dataType for f in df.select(*order_by).schema}
-    end = F.struct(*[F.lit(last[k]).cast(types[k]).alias(f"k{i}") for i, k in enumerate(order_by)])
-    return df.where(_struct_of(order_by) <= end)
+    return df.where(up_to(order_by, [last[k] for k in order_by], _types(df, order_by)))
 
 
 def key_cutoffs(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
@@ -174,14 +284,24 @@ def key_cutoffs(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str]
 def take_prefix(df: DataFrame, cutoffs: DataFrame, order_by: Sequence[str],
                 group_by: Sequence[str]) -> DataFrame:
     """Rows up to the cutoff of their group. ``cutoffs`` is a stored table with
-    one row per source named in the mix or registry, so it is small enough to
-    broadcast; its largest key also goes to the scan as a plain filter."""
-    furthest = cutoffs.agg(F.max("_cutoff.k0")).first()[0]
-    if furthest is None:
+    one row per source named in the mix or registry. Up to ``MOST_CUTOFFS`` of them become plain comparisons, each group's with its own
+    key, which reach the scan; with more, the table is joined and the furthest key alone goes to the scan."""
+    ends = cutoffs.limit(MOST_CUTOFFS + 1).collect()
+    if not ends:
         return df.limit(0)
-    near = df.where(F.col(order_by[0]) <= F.lit(furthest))
+    types = _types(df, order_by)
+    plain = not any(isinstance(t, (T.StructType, T.ArrayType)) for t in types.values())
+    if len(ends) <= MOST_CUTOFFS and plain:
+        chosen = []
+        for row in ends:
+            if all(row[g] is not None for g in group_by):  # a NULL group joins nothing
+                own = [F.col(g) == F.lit(row[g]) for g in group_by]
+                chosen.append(reduce(and_, [*own, up_to(order_by, list(row["_cutoff"]), types)]))
+        return df.where(reduce(or_, chosen)) if chosen else df.limit(0)
+    furthest = cutoffs.agg(F.max("_cutoff.k0")).first()[0] if plain else None
+    near = df if furthest is None else df.where(up_to(order_by[:1], [furthest], types))
     return (
-        near.join(F.broadcast(cutoffs), list(group_by))
+        near.join(cutoffs, list(group_by))
         .where(_struct_of(order_by) <= F.col("_cutoff"))
         .drop("_cutoff")
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import ordered
@@ -29,18 +29,29 @@ def pack_rows(docs: DataFrame, order_by: Sequence[str], seq_len: int, ids: str =
               tokens_per_cell: int | None = None) -> DataFrame:
     """``(row_idx, ids)``; every row has ``seq_len`` ids but perhaps the last.
     ``docs`` is a stored table of token arrays (end token included) with their
-    sizes in ``n``, so that positions are settled without reading the arrays."""
+    sizes in ``n``, so that positions are settled without reading the arrays.
+
+    A cell has less than twice ``tokens_per_cell`` ids whatever the sizes: documents longer than that are cut into
+    pieces where they are read, and pieces go to cells by the ids before them."""
     if seq_len < 2:
         raise ValueError("seq_len must be at least 2")
     sized = docs.select(*order_by, F.col(ids).alias("ids"), F.col(n).cast("bigint").alias("n")).where("n > 0")
-    total = sized.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).first()
+    total = sized.agg(F.sum("n").alias("tokens"), F.max("n").alias("most"), F.count(F.lit(1)).alias("docs")).first()
     if tokens_per_cell is None:  # smaller cells for small inputs, to use all cores
         cores = docs.sparkSession.sparkContext.defaultParallelism
         share = (total["tokens"] or 0) // (2 * cores)
         tokens_per_cell = min(TOKENS_PER_CELL, max(_SMALL_CELL, share))
-    mean = max(1, (total["tokens"] or 0) // max(1, total["docs"]))
-    run = ordered.running_totals(sized, order_by, {"stop": F.col("n")},
-                                 rows_per_cell=max(1, tokens_per_cell // mean), keep_cell=True)
+    key = list(order_by)
+    if (total["most"] or 0) > tokens_per_cell:
+        cell = F.lit(tokens_per_cell).cast("bigint")
+        begins = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, cell)
+        cut = sized.select(*order_by, F.col("ids").alias("_all"), F.col("n").alias("_n"), F.explode(begins).alias("_at"))
+        sized = cut.select(*order_by, "_at", F.slice("_all", (F.col("_at") + 1).cast("int"), F.lit(tokens_per_cell)).alias("ids"),
+                           F.least(cell, F.col("_n") - F.col("_at")).alias("n"))
+        key.append("_at")
+    placed = ordered.cells_by_weight(sized, key, "n", tokens_per_cell)
+    line = Window.partitionBy(CELL).orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = placed.withColumn("stop", F.col("_before") + F.sum("n").over(line))
     length = F.lit(seq_len).cast("bigint")
     start = F.col("stop") - F.col("n")
     first, last = ordered.whole_div(start, length), ordered.whole_div(F.col("stop") - 1, length)
