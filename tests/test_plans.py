@@ -1,3 +1,4 @@
+import os
 from itertools import accumulate
 
 import pytest
@@ -76,6 +77,43 @@ def test_mixed_corpus_written_and_read(spark, tmp_path):
         mixed_corpus(docs, sources, "a=1", 400, 50, shard_mode="no")
 
 
+def test_published_sets(spark, tmp_path):
+    """A shorter run, a killed writer and a run that loses rows: readers see the last whole set."""
+    root = str(tmp_path / "c")
+    make = lambda n, shards: spark.createDataFrame(
+        [(i, "ab"[i % 2], i % shards, f"text {i}", None if i == 5 else 1) for i in range(n)], "doc_id bigint, source string, shard_id bigint, text string, n_tok bigint")
+    sizes = lambda df: df.groupBy("source", "shard_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tok").alias("tokens"))
+    show = lambda: {(r.source, r.shard_id, r.doc_id) for r in sinks.read_shards(spark, root, ["source", "shard_id", "doc_id"]).collect()}
+    assert sinks.manifest(spark, root) is None
+    long, short = make(60, 7), make(9, 3)
+    first = sinks.publish_shards(long, root, sizes(long), rows_a_file=2).collect()
+    assert show() == {tuple(r) for r in long.select("source", "shard_id", "doc_id").collect()}
+    assert sum(r.rows for r in first) == 60 and all(r.files == -(-r.rows // 2) for r in first)
+    second = sinks.publish_shards(short, root, sizes(short)).collect()
+    want = {tuple(r) for r in short.select("source", "shard_id", "doc_id").collect()}
+    assert show() == want and all(r.files == 1 for r in second) and len({r.set for r in second}) == 1
+    # A writer that ends before its manifest: a set without one, and a manifest without its mark.
+    long.write.partitionBy("source", "shard_id").parquet(f"{root}/_sets/deadbeef")
+    spark.range(3).write.parquet(f"{root}/_manifests/v00000003-deadbeef")
+    os.remove(f"{root}/_manifests/v00000003-deadbeef/_SUCCESS")
+    assert show() == want and sinks.versions(spark, root) == [1, 2]
+    with pytest.raises(RuntimeError):
+        sinks.publish_shards(long.where("doc_id <> 3"), root, sizes(long))
+    assert show() == want
+    assert len(sinks.remove_old_sets(spark, root)) == 3 and show() == want
+    sinks.publish_shards(short.limit(0), root, sizes(short.limit(0)))
+    assert show() == set()
+
+
+def test_documents_and_counts_agree_for_any_counter(spark):
+    """A counter that gives words no token: those documents are in neither table."""
+    docs = spark.createDataFrame([(i, "a", ("odd " if i % 2 else "even ") * 20) for i in range(30)], "doc_id bigint, source string, text string")
+    sources = registry_frame(spark, [Source("a", "x", lang="en")])
+    counter = lambda text: F.when(F.contains(text, F.lit("odd")), F.lit(0)).otherwise(F.lit(5)).cast("bigint")
+    corpus = mixed_corpus(docs, sources, "a=1", 50, 20, counter=counter)
+    assert corpus.documents.count() == corpus.admitted.count() == 10
+
+
 def test_scan_of_missing_field_and_slice(spark, tmp_path):
     spark.range(30).select(F.col("id").alias("doc_id"), F.lit(3).alias("n")).write.parquet(str(tmp_path / "s"))
     src = Source("s", str(tmp_path / "s"), text_field="absent")

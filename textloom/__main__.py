@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import bpe, encode as enc, evaluation as ev, series, vocab
-from textloom.plans.corpus import line_corpus, mixed_corpus, quality_subset
+from textloom.plans.corpus import Corpus, line_corpus, mixed_corpus, quality_subset
 from textloom.plans.packing import packed_rows
 from textloom.plans.training_log import loss_series
 from textloom.session import build_session
@@ -33,11 +33,19 @@ def _counter(spark: SparkSession, tokenizer: str | None):
     return enc.bpe_counter(spark, bpe.load(spark, tokenizer)) if tokenizer else tx.count_tokens
 
 
+def _write(built: Corpus, a: argparse.Namespace) -> None:
+    if a.publish:
+        sinks.publish_shards(built.documents, a.out_dir, built.shard_sizes()).groupBy("source").agg(
+            F.sum("files").alias("files"), F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens")).show(100, False)
+    else:
+        sinks.write_shards(built.documents, a.out_dir, clean=a.clean)
+
+
 def corpus(spark: SparkSession, a: argparse.Namespace) -> None:
     docs, registry = _sources(spark, a.sources)
     built = mixed_corpus(docs, registry, a.mix, a.total_tokens, int(a.shard_tokens), ["ord_key"], a.min_chars,
                          _counter(spark, a.tokenizer_dir), a.shard_mode)
-    sinks.write_shards(built.documents, a.out_dir, clean=a.clean)
+    _write(built, a)
     built.summary().show(100, False)
 
 
@@ -45,7 +53,7 @@ def subset(spark: SparkSession, a: argparse.Namespace) -> None:
     crawl = spark.read.parquet(a.crawl_dir)
     built = quality_subset(crawl, a.target_tokens, int(a.shard_tokens), [a.order_by],
                            counter=_counter(spark, a.tokenizer_dir), on_missing=a.on_missing, shard_mode=a.shard_mode)
-    sinks.write_shards(built.documents, a.out_dir, clean=a.clean)
+    _write(built, a)
     built.summary().show(100, False)
 
 
@@ -64,7 +72,7 @@ def tokenizer(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def pack(spark: SparkSession, a: argparse.Namespace) -> None:
-    docs = spark.read.parquet(a.shard_dir)
+    docs = sinks.read_shards(spark, a.shard_dir, None)
     rows = packed_rows(docs, bpe.load(spark, a.tokenizer_dir), a.order_by, a.seq_len, int(a.shard_tokens), a.max_rows)
     sinks.write_packed(rows, a.out_dir)
 
@@ -94,7 +102,8 @@ def parser() -> argparse.ArgumentParser:
 
     need, number, whole = dict(required=True), dict(type=float), dict(type=int)
     shards = (("--shard_tokens", {**number, "default": 1e8}), ("--out_dir", need), ("--tokenizer_dir", {}),
-              ("--shard_mode", dict(default="greedy", choices=["greedy", "uniform"])), ("--clean", dict(action="store_true")))
+              ("--shard_mode", dict(default="greedy", choices=["greedy", "uniform"])), ("--clean", dict(action="store_true")),
+              ("--publish", dict(action="store_true", help="write a set of its own and a manifest that names it")))
     job(corpus, ("--sources", need), ("--mix", need), ("--total_tokens", {**number, "default": 9e9}),
         ("--min_chars", {**whole, "default": tx.MIN_CHARS}), *shards)
     job(subset, ("--crawl_dir", need), ("--order_by", dict(default="doc_id")), ("--target_tokens", {**number, "default": 3e9}),

@@ -43,6 +43,11 @@ class Corpus:
     def sharded_counts(self) -> DataFrame:
         return shards.assign_shards(self.admitted, self.bounds, self.order_by)
 
+    def shard_sizes(self) -> DataFrame:
+        """Rows and tokens of each shard, as ``publish_shards`` takes them."""
+        return self.sharded_counts().groupBy("source", "shard_id").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("n_tok").alias("tokens"))
+
     def summary(self) -> DataFrame:
         return shards.shard_summary(self.sharded_counts())
 
@@ -91,6 +96,11 @@ def counts_until(rows: DataFrame, count: Callable[[DataFrame], DataFrame], budge
     return reduce(DataFrame.unionByName, parts) if parts else freeze(count(rows), "counts")
 
 
+def has_tokens(text: Column, counter: Counter) -> Column:
+    """Texts to which the counter gives a token; for words and punctuation a search tells it without a count."""
+    return text.rlike(tx.WORD) if counter is tx.count_tokens else counter(text) > 0
+
+
 def _bounds(admitted: DataFrame, shard_tokens: int, order_by: Sequence[str], mode: str) -> DataFrame:
     if mode == "greedy":
         return freeze(shards.greedy_bounds(admitted, shard_tokens, order_by), "bounds")
@@ -137,7 +147,7 @@ def mixed_corpus(
     bounds = _bounds(admitted, shard_tokens, order_by, shard_mode)
     cutoffs = freeze(ordered.key_cutoffs(admitted, order_by, ["source"]), "cutoffs")
     near = clean_documents(ordered.take_prefix(raw, cutoffs, order_by, ["source"]), min_chars, used)
-    documents = shards.assign_shards(near.where(F.col("text").rlike(tx.WORD)), bounds, order_by)
+    documents = shards.assign_shards(near.where(has_tokens(F.col("text"), counter)), bounds, order_by)
     return Corpus(admitted, bounds, documents, tuple(order_by))
 
 

@@ -127,12 +127,24 @@ def corpus_summary(spark, sf):
 @query("K1 S7", f"""WITH RECURSIVE {sql.BUDGETED_SQL}, {sql.greedy_sql('admitted', sql.SHARD_TOKENS)}
 SELECT source, shard_id, doc_id, text, 'en' AS lang FROM sharded""")
 def corpus_shards_written(spark, sf):
-    path = new_path(spark, "corpus")
-    sinks.write_shards(corpus(spark, sf).documents, path, clean=True)
+    path, built = new_path(spark, "corpus"), corpus(spark, sf)
+    sinks.publish_shards(built.documents, path, built.shard_sizes())
     back = sinks.read_shards(spark, path, ["source", "shard_id", "doc_id", "text", "lang"])
     return back.withColumn("shard_id", F.col("shard_id").cast("bigint"))
 
 
+@query("K1 K6", f"""WITH RECURSIVE {sql.BUDGETED_SQL}, {sql.greedy_sql('admitted', sql.SHARD_TOKENS)}
+SELECT source, shard_id, 1::BIGINT AS files, count(*) AS rows, sum(n_tok)::BIGINT AS tokens FROM sharded
+WHERE source IN ('src1', 'src2') GROUP BY ALL""")
+def shard_manifest(spark, sf):
+    """A run over all sources and a shorter one after it: the manifest names the second set alone."""
+    path, built = new_path(spark, "corpus"), corpus(spark, sf)
+    sinks.publish_shards(built.documents, path, built.shard_sizes())
+    some = F.col("source").isin("src1", "src2")
+    last = sinks.publish_shards(built.documents.where(some), path, built.shard_sizes().where(some))
+    return last.drop("set")
+
+
 @query("T10 B4 B7", f"""WITH RECURSIVE {CRAWL_SQL}, good AS (
   SELECT 'crawl' AS source, doc_id, lang, raw_content AS text, {sql.n_tokens('raw_content')} AS n_tok FROM crawl
   WHERE length({sql.strip('raw_content')}) >= 32 AND ppl <= 400),

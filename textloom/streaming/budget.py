@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textloom.functions import text as tx
 from textloom.operators import ordered, shards
 from textloom.operators.budget import OVERSHOOT
+from textloom.plans.corpus import has_tokens
 from textloom.streaming import state
 from textloom.workspace import freeze
 
@@ -37,7 +38,7 @@ def take_batch(batch: DataFrame, before: DataFrame, shard_tokens: int, order_by:
 
     bounds = freeze(shards.greedy_bounds(admitted, shard_tokens, order_by), "bounds")
     cutoffs = freeze(ordered.key_cutoffs(admitted, order_by, ["source"]), "cutoffs")
-    taken = ordered.take_prefix(batch, cutoffs, order_by, ["source"]).where(F.col("text").rlike(tx.WORD))
+    taken = ordered.take_prefix(batch, cutoffs, order_by, ["source"]).where(has_tokens(F.col("text"), counter))
     base = F.broadcast(before.select("source", "shard_base"))
     documents = shards.assign_shards(taken, bounds, order_by).join(base, "source").withColumn(
         "shard_id", F.col("shard_id") + F.col("shard_base")).drop("shard_base")
