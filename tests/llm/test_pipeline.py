@@ -28,7 +28,7 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {*queries.RUNS, "pipeline"} <= names and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.RUNS}
+    assert {*queries.RUNS, "pipeline"} <= names and {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.RUNS}
 
 
 def test_stages(spark, sf):
@@ -70,3 +70,27 @@ def test_stages_on_odd_tables(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             docs = freeze(stage(spark, docs, str(tmp_path)), name)
             assert docs.count() == len(table), name
+
+
+CLASHING = ("_stage_id _stage_key _kept _toxic_score score dropped_id cut_id cut_key cut_text found_id found_key label kept text_key _n "
+            "n_words n_removed kept_text part bucket size rep component_id").split()
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").selectExpr("*", *[f"'{c}' AS {c}" for c in CLASHING], "1 AS `a.b`")
+    for name, stage in corpus_pipeline.STAGES:
+        after = freeze(stage(spark, docs, sf), name)
+        if name != "best_fit_packing":
+            assert after.schema.names == docs.schema.names and after.count() > 20
+            assert after.where(" or ".join(f"{c} <> '{c}'" for c in CLASHING)).count() == 0
+        docs = after
+
+
+def test_results_of_interleaved_stages_stay_readable(spark, sf):
+    """A stage that starts leaves the unread results of others alone."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    first = corpus_pipeline.packing(spark, docs, sf)
+    cut = corpus_pipeline.substring_dedup(spark, docs, sf)
+    corpus_pipeline.near_dedup(spark, docs, sf).count()
+    corpus_pipeline.decontamination(spark, docs, sf).count()
+    assert first.count() >= 60 and cut.count() == docs.count()

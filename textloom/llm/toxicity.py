@@ -257,5 +257,7 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
     score alike; no rows give no rows; NULL ids score as any other; a column of that name is replaced. Only the text is an input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.drop(name)
-    schema = rows.select("*", F.lit(0.0).alias(name)).schema
-    return rows.mapInArrow(lambda batches: _score(batches, shared.value, name), schema)
+    # Names that functions over batches take, whatever the columns are called.
+    plain = rows.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(rows.columns)])
+    schema = plain.select("*", F.lit(0.0).alias("score")).schema
+    return plain.mapInArrow(lambda batches: _score(batches, shared.value, "score"), schema).toDF(*rows.columns, name)
