@@ -8,9 +8,8 @@ and empty tables pass as the operators define. Rows are told apart by doc_id and
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.benchmark_scan import contamination
@@ -18,74 +17,71 @@ from textloom.llm.best_fit import pack_documents
 from textloom.llm.near_dups import near_duplicates
 from textloom.llm.substrings import remove_repeats
 from textloom.llm.toxicity import LIMIT, score_documents, train
-from textloom.workspace import drop_tables, freeze, written_tables
+from textloom.workspace import freeze, temporary_tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_SCORE, _ID, _KEY = "_toxic_score", "_stage_id", "_stage_key"
 
 
-_needed: list[str] = []
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _after_another(stage: Stage) -> Stage:
-    """A stage starts when the rows of the one before it are written, so the intermediate
-    tables of that one are dropped first."""
+def _columns(docs: DataFrame) -> list[Column]:
+    """The documents' columns; a name may hold a dot."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _needed)
-        before = set(written_tables())
-        rows = stage(spark, docs, sf_dir)
-        _needed[:] = [path for path in written_tables() if path not in before]
-        return rows
 
-    return run
+def _decided(spark: SparkSession, decide: Callable[[], DataFrame], name: str) -> DataFrame:
+    """A stage's decisions as a table of their own; the operator's other tables are removed at once."""
+    with temporary_tables(spark):
+        return freeze(decide(), name, outside=True)
 
 
-def _same_row(docs: DataFrame):
-    return docs["doc_id"].eqNullSafe(F.col(_ID)) & (F.xxhash64(docs["text"]) == F.col(_KEY))
-
-
-@_after_another
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the limit."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_documents(docs, model, _SCORE).where(F.col(_SCORE) < LIMIT).select(docs.columns)
+    model, score = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), _unused(docs, "score")
+    return score_documents(docs, model, score).where(F.col(score) < LIMIT).select(_columns(docs))
 
 
-@_after_another
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each near-duplicate component."""
-    dropped = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(_ID)).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col(_ID), "left_anti")
+    name = _unused(docs, "dropped_id")
+    dropped = _decided(spark, lambda: near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
+
+
+def _same_row(docs: DataFrame, row_id: str, key: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(row_id)) & (F.xxhash64(F.col("text")) == F.col(key))
 
 
-@_after_another
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has. Texts that lose words are their kept words with one space
     between, and ``n_chars`` follows; others stay as they are."""
-    # Written on its own, so that its shuffle files go before the documents are shuffled.
-    cut = freeze(remove_repeats(docs, with_text=True).where("n_removed > 0").select(
-        F.col("doc_id").alias(_ID), F.col("text_key").alias(_KEY), F.col("kept_text").alias("_kept")).dropDuplicates([_ID, _KEY]), "cut")
-    joined = docs.join(cut, _same_row(docs), "left")
-    text = F.coalesce(F.col("_kept"), docs["text"])
-    new = {"text": text, "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(docs["n_chars"]).cast(
-        docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
-    return joined.select([new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    row_id, key, kept = (_unused(docs, name) for name in ("cut_id", "cut_key", "cut_text"))
+    cut = _decided(spark, lambda: remove_repeats(docs, with_text=True).where("n_removed > 0").select(
+        F.col("doc_id").alias(row_id), F.col("text_key").alias(key), F.col("kept_text").alias(kept)).dropDuplicates([row_id, key]), "cut")
+    joined = docs.join(cut, _same_row(docs, row_id, key), "left")
+    new = {"text": F.coalesce(F.col(kept), F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.select([new[c].alias(c) if c in new else column for c, column in zip(docs.columns, _columns(docs))])
 
 
-@_after_another
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(
-        F.col("doc_id").alias(_ID), F.col("text_key").alias(_KEY)).distinct()
-    return docs.join(found, _same_row(docs), "left_anti")
+    row_id, key = (_unused(docs, name) for name in ("found_id", "found_key"))
+    found = _decided(spark, lambda: contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(
+        F.col("doc_id").alias(row_id), F.col("text_key").alias(key)).distinct(), "found")
+    return docs.join(found, _same_row(docs, row_id, key), "left_anti")
 
 
-@_after_another
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
-    return pack_documents(docs)
+    return _decided(spark, lambda: pack_documents(docs), "pieces")
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -101,8 +97,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's rows written and read again."""
+    """All stages over ``documents``, each one's rows written and read again. Only the last table stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = freeze(stage(spark, docs, sf_dir), name)
-    return docs
+    with temporary_tables(spark):
+        for name, stage in STAGES:
+            with temporary_tables(spark):
+                docs = freeze(stage(spark, docs, sf_dir), name, outside=True)
+        return freeze(docs, "pipeline", outside=True)

@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import budget as batch_budget, pack as batch_pack, shards
 from textloom.operators.ordered import running_totals
-from textloom.streaming import budget, pack, state
+from textloom.streaming import budget, logs, pack, state
 from textloom.workspace import freeze
 
 
@@ -53,6 +55,26 @@ def test_batch_directories_are_replaced_on_retry(spark, tmp_path):
     assert state.load(spark, path, 0, first.limit(0)).count() == 0
 
 
+def test_points_after_a_hundred_batches(spark, tmp_path):
+    """Reading costs the points and few batches; a batch that runs again, and one that was killed, change nothing."""
+    out, want = str(tmp_path / "points"), {}
+    make = lambda n: [("r" if (n + i) % 3 else "q", (7 * n + i) % 13, float(n), n * 10 + i) for i in range(3)]
+    for n in range(100):
+        changed = spark.createDataFrame(make(n), "run string, step bigint, loss double, first_pos bigint").coalesce(1)
+        logs.keep_changes(changed, n, out)
+        if n in (9, 19, 57):
+            logs.keep_changes(changed, n, out)
+        want.update({(run, step): (loss, at) for run, step, loss, at in make(n)})
+        if n in (0, 9, 10, 57, 99):
+            got = logs.current_points(spark, out)
+            assert {(r.run, r.step): (r.loss, r.first_pos) for r in got.collect()} == want
+            assert len(got.inputFiles()) <= 24
+    assert len(state.batches(spark, f"{out}/changes")) <= 20 and len(state.batches(spark, f"{out}/whole")) == 2
+    changed.write.parquet(f"{out}/whole/batch_id=100")
+    os.remove(f"{out}/whole/batch_id=100/_SUCCESS")
+    assert {(r.run, r.step): (r.loss, r.first_pos) for r in logs.current_points(spark, out).collect()} == want
+
+
 def test_running_totals_accept_start(spark):
     df = spark.createDataFrame([("a", i, 10) for i in range(6)], "source string, k bigint, n_tok bigint")
     run = running_totals(df, ["k"], {"running": F.col("n_tok") + 0}, ["source"]).withColumn(

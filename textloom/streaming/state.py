@@ -22,11 +22,35 @@ def store(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{_PREFIX}{batch_id}")
 
 
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the micro-batches whose table is committed, in order."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    folders = [f.getPath() for f in store.listStatus(place) if f.getPath().getName().startswith(_PREFIX)]
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(f.getName()[len(_PREFIX):]) for f in folders if store.exists(new(f, "_SUCCESS")))
+
+
+def read(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """What one micro-batch left."""
+    return spark.read.parquet(f"{path}/{_PREFIX}{batch_id}")
+
+
+def remove_before(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Delete the tables of earlier micro-batches."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for old in batches(spark, path):
+        if old < batch_id:
+            place = new(f"{path}/{_PREFIX}{old}")
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """State after the last finished micro-batch."""
-    ids = [r["batch_id"] for r in spark.read.parquet(path).select("batch_id").distinct().collect()]
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(f"{path}/{_PREFIX}{max(ids)}")
+    return reader.parquet(f"{path}/{_PREFIX}{batches(spark, path)[-1]}")
 
 
 def drain(writer, checkpoint: str) -> StreamingQuery:

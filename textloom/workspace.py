@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +19,6 @@ _SETTING = "spark.checkpoint.dir"
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-_written: list[str] = []
-
-
 def workspace_dir(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables."""
     root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
@@ -35,14 +35,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{workspace_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def freeze(df: DataFrame, name: str = "table") -> DataFrame:
+#: Scopes of this thread, the innermost last; each lists the tables written in it.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def freeze(df: DataFrame, name: str = "table", outside: bool = False) -> DataFrame:
     """Write ``df`` to the workspace and return the re-read table. Shuffle files of
-    the write are of no more use then, so Spark is told to drop them at its end."""
+    the write are of no more use then, so Spark is told to drop them at its end. ``outside`` lets the
+    table outlive the innermost ``temporary_tables``."""
     path = new_path(df.sparkSession, name)
-    _written.append(path)
+    owners = _scopes.get()[:-1] if outside else _scopes.get()
+    if owners:
+        owners[-1].append(path)
     return _store(df, path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread freezes inside are removed at the end, but for those frozen ``outside``. What is returned from the
+    block must not read the others."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in own:
+            _delete(spark, path)
+
+
 def _store(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
     before = spark.conf.get(_DROP_SHUFFLES, "false")
@@ -73,23 +94,9 @@ class Tables:
             self.paths.remove(path)
 
 
-def written_tables() -> list[str]:
-    """Paths of the tables written so far and not dropped, in order."""
-    return list(_written)
-
-
-def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Remove intermediate tables that nothing will read any more."""
-    for path in paths:
-        _delete(spark, path)
-        if path in _written:
-            _written.remove(path)
-
-
 def drop_workspace(spark: SparkSession) -> None:
     """Remove this application's intermediate tables, once results are written."""
     _delete(spark, workspace_dir(spark))
-    _written.clear()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
