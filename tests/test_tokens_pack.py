@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 from itertools import chain
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import bpe, encode as enc, ordered, pack, vocab
+from textloom.sources import readers, sinks
 from textloom.workspace import freeze
 
 SAMPLE = ["low lower lowest newer wider", "aaa aaaa banana bandana", "naïve café 你好 世界 😀😀",
@@ -218,8 +220,6 @@ def test_long_words_encode_in_order_n_log_n():
 
 
 def test_packed_rerun_leaves_no_old_shards(spark, tmp_path):
-    from textloom.sources import readers, sinks
-
     rows = spark.range(10).select(F.col("id").alias("row_idx"), (F.col("id") % 5).alias("shard_id"))
     for n in (10, 2):
         sinks.write_packed(rows.where(F.col("row_idx") < n), str(tmp_path / "p"))
@@ -232,3 +232,42 @@ def test_hot_words_are_spread(spark):
     words = spark.createDataFrame([(5, "hot"), (6, "rare"), (7, "w1")], "id int, token string")
     got, want = (sorted(enc.encode_documents(hot, words, ["doc_id"], F.col("text"), max_broadcast=n).collect()) for n in (0, 100))
     assert got == want
+
+
+def test_ranks_come_from_the_files_and_are_verified(spark, tmp_path):
+    rows = spark.range(50).select(F.col("id").alias("row_idx"), F.floor(F.col("id") / 7).alias("shard_id"), F.array(F.lit(1)).alias("input_ids"))
+    a, b, c = (str(tmp_path / n) for n in "abc")
+    sinks.write_packed(rows, a)
+    sinks.write_packed(rows.where("row_idx % 2 = 1"), b)
+    got = sorted((r.root, r.row_idx, r["rank"]) for r in readers.ranked_packed(spark, b, a).collect())
+    assert got == [*((0, 2 * i + 1, i) for i in range(25)), *((1, i, 25 + i) for i in range(50))]
+    swapped = rows.withColumn("row_idx", F.when(F.col("row_idx") == 3, 4).when(F.col("row_idx") == 4, 3).otherwise(F.col("row_idx")))
+    swapped.coalesce(1).write.partitionBy("shard_id").parquet(c)
+    with pytest.raises(Exception, match="is out of order in"):
+        readers.ranked_packed(spark, a, c).collect()
+    sinks.write_packed(rows.unionByName(rows.where("row_idx = 9")), c)
+    with pytest.raises(Exception, match="two rows have the order key"):
+        readers.ranked_packed(spark, c).collect()
+
+
+def test_word_table_grows_by_unseen_words(spark, tmp_path):
+    """A corpus encoded twice encodes its words once; a later one encodes what is new. All equal the direct way."""
+    texts = ["low lower lowest low", "newer <unk> wider low", None, "", "naïve low 😀"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = bpe.induce(vocab.word_counts(frame, F.col("text")), vocab_size=40)
+    more = frame.unionByName(spark.createDataFrame([(9, "low unseen wider"), (10, "unseen")], frame.schema))
+    table = enc.WordTable(spark, str(tmp_path / "words"), model)
+    show = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for docs, new in ((frame, 8), (frame, 0), (more, 1), (more, 0)):
+        direct = docs.select("doc_id", enc.encode_text(spark, model, F.col("text")).alias("ids"))
+        assert table.extend(docs, F.col("text")) == new
+        for limit in (10**6, 0):
+            assert show(table.encode(docs, ["doc_id"], F.col("text"), limit)) == show(direct)
+    words = [r.word for r in spark.read.parquet(str(tmp_path / "words")).collect()]
+    assert len(words) == len(set(words)) == 9
+    # An extension that was killed counts for nothing.
+    spark.createDataFrame([("low", [0])], "word string, ids array<int>").write.parquet(str(tmp_path / "words" / "part=99"))
+    os.remove(str(tmp_path / "words" / "part=99" / "_SUCCESS"))
+    assert show(table.encode(more, ["doc_id"], F.col("text"))) == show(more.select("doc_id", enc.encode_text(spark, model, F.col("text")).alias("ids")))
+    with pytest.raises(ValueError):
+        enc.WordTable(spark, str(tmp_path / "words"), bpe.BpeModel([*vocab.SPECIAL_TOKENS, "a"], []))

@@ -5,12 +5,14 @@ Three ways to look words up, all with the same result:
 * ``encode_column``: each task holds the model (a broadcast of bounded size) and
   encodes the distinct words of a batch once; no shuffle. The usual way.
 * ``encode_by_join``: for vocabularies too large for a task, a join on the word.
-* ``word_ids``: encode the distinct words of the corpus once, as a table.
+* ``WordTable``: encode distinct words once, as a stored table that later corpora extend by what they have anew.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import pickle
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 from textloom.functions import text as tx
 from textloom.operators.ordered import with_salts
 from textloom.operators.vocab import EOS_ID, FIRST_ID, SPECIAL_TOKENS, UNK_ID
+from textloom.workspace import committed
 
 MAX_BROADCAST_WORDS = 1 << 21
 MAX_LITERAL_TOKENS = 1 << 16
@@ -169,6 +172,41 @@ def encode_by_join(docs: DataFrame, table: DataFrame, key: Sequence[str], text:
     return _repeated(found, key, F.when(~F.first("_null"), F.flatten(F.transform(pieces, lambda p: p["ids"]))), "ids")
 
 
+class WordTable:
+    """Ids of words as a stored table that only grows: each word is encoded once, when a corpus first has it.
+
+    ``path`` holds one folder per extension, ``part=n``, of ``(word, ids)``; a folder counts once Spark has committed it. The folder ``model``
+    names the model by a digest, so ids of two models do not mix. One run extends a table at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, model: Model):
+        self._spark, self._path, self._model = spark, path.rstrip("/"), model
+        digest = hashlib.sha256(pickle.dumps((sorted(model.ids.items()), getattr(model, "merges", None)))).hexdigest()
+        if committed(spark, f"{self._path}/_model"):
+            if spark.read.text(f"{self._path}/_model/name").first()[0] != digest:
+                raise ValueError(f"{path} holds the words of another model")
+        else:
+            spark.createDataFrame([(digest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self._path}/_model/name")
+
+    def _parts(self) -> list[str]:
+        return [f"{self._path}/{name}" for name in committed(self._spark, self._path) if name.startswith("part=")]
+
+    def words(self) -> DataFrame:
+        """``(word, ids)`` of all words so far."""
+        parts, schema = self._parts(), "word string, ids array<int>"
+        return self._spark.read.schema(schema).parquet(*parts) if parts else self._spark.createDataFrame([], schema)
+
+    def extend(self, docs: DataFrame, text: Column) -> int:
+        """Encode the words of ``docs`` that the table lacks; how many there were."""
+        found = docs.select(F.explode(F.array_distinct(tokens(text))).alias("word")).distinct()
+        place = f"{self._path}/part={len(self._parts()):06d}"
+        word_ids(found.join(self.words(), "word", "left_anti"), self._model).write.mode("overwrite").parquet(place)
+        return self._spark.read.parquet(place).count()
+
+    def encode(self, docs: DataFrame, key: Sequence[str], text: Column, max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
+        """``(key, ids)`` from the table alone; ``extend`` comes first."""
+        return encode_by_join(docs, self.words(), key, text, max_broadcast)
+
+
 def _repeated(pieces: DataFrame, key: Sequence[str], value: Column, name: str) -> DataFrame:
     """One value per key and ``_text``, as many times as the input had that row."""
     grouped = pieces.groupBy(*key, "_text").agg(value.alias(name), F.count_if(F.col("_pos") == 0).alias("_n"))

@@ -76,6 +76,18 @@ def packed_roots_read_back(spark, sf):
     return shown(readers.read_packed(spark, *roots)).select("root", "row_idx", "shard_id", "input_ids")
 
 
+@query("L1 S8 U2", f"""WITH {sql.PACKED}, other AS (SELECT 1 AS root, row_idx, shard_id, input_ids FROM packed WHERE row_idx % 3 > 0),
+all_rows AS (SELECT 0 AS root, row_idx, shard_id, input_ids FROM packed UNION ALL SELECT * FROM other)
+SELECT root, shard_id, row_idx, row_number() OVER (ORDER BY root, shard_id, row_idx) - 1 AS rank FROM all_rows""")
+def packed_row_ranks(spark, sf):
+    """Places of rows by the files of two roots; the second lacks every third row."""
+    rows = freeze(packs(spark, sf), "packed")
+    roots = [new_path(spark, "pack-a"), new_path(spark, "pack-b")]
+    for root, some in zip(roots, (rows, rows.where("row_idx % 3 > 0"))):
+        sinks.write_packed(some, root)
+    return readers.ranked_packed(spark, *roots).select("root", "shard_id", "row_idx", "rank")
+
+
 def two_roots(spark: SparkSession, sf: str) -> DataFrame:
     """The packed rows stored once and seen as two roots, the second with the odd rows only."""
     rows = freeze(packs(spark, sf), "packed")

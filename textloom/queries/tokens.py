@@ -9,7 +9,7 @@ from textloom.functions import text as tx
 from textloom.operators import bpe, encode as enc, vocab
 from textloom.queries import fragments as sql
 from textloom.queries.registry import query, table, texts
-from textloom.workspace import freeze
+from textloom.workspace import freeze, new_path
 
 def words_table(spark: SparkSession, sf: str) -> DataFrame:
     return freeze(vocab.word_counts(texts(spark, sf, "text"), F.col("text")), "word-counts")
@@ -106,3 +106,15 @@ def bpe_round_trip(spark, sf):
     text = enc.decode(texts(spark, sf, "doc_id", "text").select("doc_id", ids.alias("ids")),
                       model.vocabulary(spark), ["doc_id"])
     return text.select("doc_id", F.replace("text", F.lit(" "), F.lit("")).alias("letters"))
+
+
+@query("N4 N5 N9", f"""SELECT doc_id, replace(array_to_string(pieces, ''), ' ', '') AS letters FROM ({_PIECES})""")
+def bpe_word_table(spark, sf):
+    """Ids from a stored table of words: built from the documents of even number, extended by those that the others have anew."""
+    docs = texts(spark, sf, "doc_id", "text")
+    model = bpe.induce(words_table(spark, sf))
+    known = enc.WordTable(spark, new_path(spark, "word-ids"), model)
+    for some in ("doc_id % 2 = 0", "doc_id % 2 = 1"):
+        known.extend(docs.where(some), F.col("text"))
+    text = enc.decode(known.encode(docs, ["doc_id"], F.col("text")), model.vocabulary(spark), ["doc_id"])
+    return text.select("doc_id", F.replace("text", F.lit(" "), F.lit("")).alias("letters"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators.ordered import head
+from textloom.operators.ordered import head, ordinals
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -78,11 +78,14 @@ def preview(rows: DataFrame, key: str, text_fields: Sequence[str] = (),
     return rows.select(key, F.inline(F.concat(*entries)))
 
 
-def read_packed(spark: SparkSession, *roots: str, pattern: str = "*.parquet") -> DataFrame:
+_PLACE = {"_file": "_metadata.file_path", "_row": "_metadata.row_index"}
+
+
+def read_packed(spark: SparkSession, *roots: str, pattern: str = "*.parquet", places: bool = False) -> DataFrame:
     """Packed rows of several roots: ``root`` is the place of the root in the
     order given, ``shard_id`` the shard within it. The order of the files is that
-    of (root, shard_id); sort by it, and by row_idx, where order counts. Fails when
-    no root has a matching file."""
+    of (root, shard_id); ``ranked_packed`` gives each row its place in it. ``places`` adds
+    the file and the row of the file. Fails when no root has a matching file."""
     parts = []
     for i, root in enumerate(roots):
         try:
@@ -91,7 +94,25 @@ def read_packed(spark: SparkSession, *roots: str, pattern: str = "*.parquet") ->
             if error.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
                 raise
             continue
+        rows = rows.select("*", *[F.col(m).alias(n) for n, m in _PLACE.items()]) if places else rows
         parts.append(rows.withColumn("root", F.lit(i)).withColumn("shard_id", F.col("shard_id").cast("bigint")))
     if not parts:
         raise FileNotFoundError(f"no packed files in {list(roots)} (pattern={pattern})")
     return reduce(DataFrame.unionByName, parts)
+
+
+def ranked_packed(spark: SparkSession, *roots: str, pattern: str = "*.parquet") -> DataFrame:
+    """``read_packed`` with ``rank``: the place of a row, from 0, in the order of (root, shard, file, row of the file), taken from the files'
+    metadata and not from the rows. It is verified: the job ends if the files of a root do not hold its rows in
+    the order of ``row_idx``, or hold a row twice."""
+    place = ["root", "shard_id", *_PLACE]
+    rows = read_packed(spark, *roots, pattern=pattern, places=True)
+    narrow = rows.select(*place, "row_idx")
+    by_place = ordinals(narrow, place, name="_rank")
+    by_content = ordinals(narrow, ["root", "row_idx"], name="_right").select(
+        F.col("root").alias("_r"), F.col("row_idx").alias("_i"), "_right")
+    wrong = F.raise_error(F.concat(F.lit("row "), F.col("row_idx").cast("string"), F.lit(" is out of order in "), F.col("_file"))).cast("bigint")
+    checked = by_place.join(by_content, (F.col("root") == F.col("_r")) & (F.col("row_idx") == F.col("_i"))).select(
+        *[F.col(c).alias(f"_{c}") for c in place], F.when(F.col("_rank") == F.col("_right"), F.col("_rank") - 1).otherwise(wrong).alias("rank"))
+    same = [F.col(c) == F.col(f"_{c}") for c in place]
+    return rows.join(checked, same).drop(*[f"_{c}" for c in place], *_PLACE)

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.workspace import committed
+
 
 def _writers(df: DataFrame) -> int:
     """Number of writing tasks. Given outright, so that adaptive execution does
@@ -45,9 +47,7 @@ def _files(spark: SparkSession, path: str) -> list[str]:
 
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the manifests that count, in order."""
-    found = [name for name in _files(spark, f"{root}/{_MANIFESTS}") if re.fullmatch(r"v\d{8}-[0-9a-f]+", name)]
-    done = [int(name[1:9]) for name in found if "_SUCCESS" in _files(spark, f"{root}/{_MANIFESTS}/{name}")]
-    return sorted(done)
+    return sorted(int(name[1:9]) for name in committed(spark, f"{root}/{_MANIFESTS}") if re.fullmatch(r"v\d{8}-[0-9a-f]+", name))
 
 
 def manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
@@ -57,7 +57,7 @@ def manifest(spark: SparkSession, root: str, version: int | None = None) -> Data
         return None
     wanted = f"v{known[-1] if version is None else version:08d}-"
     # Two runs that end together have one number: the first name counts, for all readers.
-    name = next(n for n in _files(spark, f"{root}/{_MANIFESTS}") if n.startswith(wanted) and "_SUCCESS" in _files(spark, f"{root}/{_MANIFESTS}/{n}"))
+    name = next(n for n in committed(spark, f"{root}/{_MANIFESTS}") if n.startswith(wanted))
     return spark.read.parquet(f"{root}/{_MANIFESTS}/{name}")
 
 

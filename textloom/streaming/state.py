@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from textloom.workspace import committed
+
 _PREFIX = "batch_id="
 
 
@@ -24,13 +26,7 @@ def store(df: DataFrame, path: str, batch_id: int) -> None:
 
 def batches(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the micro-batches whose table is committed, in order."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(place):
-        return []
-    folders = [f.getPath() for f in store.listStatus(place) if f.getPath().getName().startswith(_PREFIX)]
-    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(f.getName()[len(_PREFIX):]) for f in folders if store.exists(new(f, "_SUCCESS")))
+    return sorted(int(name[len(_PREFIX):]) for name in committed(spark, path) if name.startswith(_PREFIX))
 
 
 def read(spark: SparkSession, path: str, batch_id: int) -> DataFrame:

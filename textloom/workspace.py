@@ -102,3 +102,14 @@ def drop_workspace(spark: SparkSession) -> None:
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` whose table Spark has committed, in order; none if there is no such path."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = new(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    folders = [s.getPath() for s in store.listStatus(place) if s.isDirectory()]
+    return sorted(f.getName() for f in folders if store.exists(new(f, "_SUCCESS")))
