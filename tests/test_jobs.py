@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from textloom.__main__ import main
 from textloom.operators import bpe
-from textloom.sources import readers
+from textloom.sources import readers, sinks
 
 
 def test_jobs_from_sources_to_batches(spark, sf, tmp_path):
@@ -40,3 +40,21 @@ def test_loss_and_perplexity_jobs(spark, sf, tmp_path, capsys):
     main(["perplexity", "--train", f"{sf}/documents.parquet", "--dataset", f"{sf}/benchmark.parquet", "--order_by",
           "item_id", "--block_size", "64"], spark)
     assert "perplexity" in capsys.readouterr().out
+
+
+def test_batches_and_generations_jobs(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    rows = spark.range(23).select(F.col("id").alias("row_idx"), F.floor(F.col("id") / 5).alias("shard_id"),
+                                  F.array(F.col("id").cast("int"), F.lit(7)).alias("input_ids"), F.lit([1, 1]).cast("array<smallint>").alias("attention_mask"))
+    sinks.write_packed(rows, at("a"))
+    sinks.write_packed(rows.where("row_idx < 4"), at("b"))
+    main(["batches", "--packed_dir", at("a"), at("b"), "--out_dir", at("out"), "--batch_size", "4", "--workers", "2", "--seed", "3"], spark)
+    got = spark.read.parquet(at("out"))
+    assert got.schema["input_ids"].dataType.simpleString() == "array<array<bigint>>"
+    ids = sorted(r[0] for b in got.collect() for r in b.input_ids)
+    assert ids == sorted([*range(23), *range(4)]) and {r.worker for r in got.collect()} == {0, 1}
+    (tmp_path / "records.jsonl").write_text(
+        '{"prompt:": "é", "output": "a b a b", "sec": 1.23456}\n{"prompt": "q", "output": "", "sec": 2}\n')
+    main(["generations", "--records", at("records.jsonl"), "--out_dir", at("gen")], spark)
+    found = {r.prompt: (r.output, r.sec, r.distinct_1, r.distinct_2) for r in spark.read.json(at("gen")).collect()}
+    assert found["é"] == ("a b a b", 1.2346, 0.5, 0.6667) and found["q"][:2] == ("", 2.0)

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import bpe, encode as enc, evaluation as ev, series, vocab
+from textloom.operators import bpe, encode as enc, epochs, evaluation as ev, series, vocab
 from textloom.plans.corpus import Corpus, line_corpus, mixed_corpus, quality_subset
 from textloom.plans.packing import packed_rows
 from textloom.plans.training_log import loss_series
@@ -90,6 +90,20 @@ def perplexity(spark: SparkSession, a: argparse.Namespace) -> None:
     ev.perplexity(ev.block_losses(blocks, bigrams, [a.order_by])).show()
 
 
+def batches(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = readers.read_packed(spark, *a.packed_dir)
+    slots = epochs.batch_slots(rows, a.batch_size, a.workers, a.seed, a.epoch, not a.no_shuffle_files, a.shuffle_rows)
+    epochs.batches(slots).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("worker").parquet(a.out_dir)
+
+
+def generations(spark: SparkSession, a: argparse.Namespace) -> None:
+    records = readers.generation_records(spark, a.records)
+    scored = ev.diversity(records).select(
+        "prompt", "output", *[tx.round4(F.col(c)).alias(c) for c in ("sec", "distinct_1", "distinct_2")])
+    sinks.write_generations(scored, a.out_dir, literal_prompt_key=a.literal_prompt_key)
+    scored.agg(F.count(F.lit(1)).alias("records"), *[F.avg(c).alias(c) for c in ("sec", "distinct_1", "distinct_2")]).show()
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="textloom", description=__doc__)
     jobs = top.add_subparsers(required=True)
@@ -118,6 +132,10 @@ def parser() -> argparse.ArgumentParser:
         ("--ema", number), ("--xlim", {**whole, "nargs": 2}), ("--ylim", {**number, "nargs": 2}))
     job(perplexity, ("--train", need), ("--dataset", need), ("--order_by", dict(default="doc_id")),
         ("--max_samples", {**whole, "default": 2000}), ("--block_size", {**whole, "default": 2048}))
+    job(batches, ("--packed_dir", dict(required=True, nargs="+")), ("--out_dir", need), ("--batch_size", {**whole, "default": 4}),
+        ("--workers", {**whole, "default": 1}), ("--seed", {**whole, "default": 42}), ("--epoch", {**whole, "default": 0}),
+        ("--no_shuffle_files", dict(action="store_true")), ("--shuffle_rows", dict(action="store_true")))
+    job(generations, ("--records", need), ("--out_dir", need), ("--literal_prompt_key", dict(action="store_true")))
     return top
 
 

@@ -44,7 +44,7 @@ def word_token_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.count_tokens(F.col("text")).alias("n_tok"))
 
 
-@query("N6 N4", f"""WITH {sql.TOKEN_STREAM}
+@query("N6 N4 F1", f"""WITH {sql.TOKEN_STREAM}
 SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, count(*)::INTEGER AS n FROM stream GROUP BY doc_id""")
 def encoded_with_eos(spark, sf):
     rows = enc.encode_documents(texts(spark, sf, "doc_id", "text"), vocabulary(spark, sf), ["doc_id"], F.col("text"))

@@ -46,6 +46,12 @@ def prompts(lines: DataFrame, column: str) -> DataFrame:
     return lines.withColumn(column, tx.strip(F.col(column))).where(F.col(column) != "")
 
 
+def generation_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(prompt, output, sec)`` of JSON lines; the first field may be named ``prompt:``."""
+    rows = spark.read.schema("prompt string, `prompt:` string, output string, sec double").json(path)
+    return rows.select(F.coalesce("prompt", F.col("`prompt:`")).alias("prompt"), "output", "sec")
+
+
 def evaluation_set(rows: DataFrame, order_by: Sequence[str], text_field: str = "text",
                    max_samples: int = 0) -> DataFrame:
     """Evaluation texts, NULL or missing as ``''``; ``max_samples`` first rows
