@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import brute
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm.fingerprints import add_fingerprint, likeness, neighbour_fingerprints, with_next
+from textloom.llm.fingerprints import BINS, PROBES, SHINGLE, add_fingerprint, likeness, neighbour_fingerprints, with_next
 from textloom.llm.hilbert import as_number, curve_shards, hilbert_index
 from textloom.llm.url_rules import judge_urls
 
@@ -80,6 +82,51 @@ def test_url_rules(spark):
     assert judge_urls(pages.limit(0), rules).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64: each value with the hash of those before as the seed; strings as UTF-8, j and a as 32 bits, hashes as 64."""
+    seed = 42
+    for kind, value in values:
+        data = value.encode() if kind == "s" else value.to_bytes(4 if kind == "i" else 8, "little")
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
+
+
+def brute_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    if not words:
+        return ""
+    hashes = [spark_hash(("s", w)) for w in words]
+    if len(words) >= SHINGLE:
+        shingles = [spark_hash(*(("l", h) for h in hashes[i:i + SHINGLE])) for i in range(len(words) - SHINGLE + 1)]
+    else:
+        shingles = [spark_hash(("s", " ".join(words)))]
+    # Bins are numbered in the order of signed hashes: the upper half comes first.
+    half = BINS // 2
+    bin_of = lambda h: (h * BINS >> 64) ^ half
+    least = {}
+    for h in shingles:
+        least[bin_of(h)] = min(h, least.get(bin_of(h), h))
+    digits = []
+    for j in range(BINS):
+        h = least.get(j)
+        if h is None:
+            probes = [spark_hash(("i", j), ("i", a)) % BINS for a in range(1, PROBES + 1)]
+            h = next((least[p] for p in probes if p in least), None)
+        if h is None:
+            signed = lambda v: v - (1 << 64) if v >> 63 else v
+            h = min(least.items(), key=lambda e: signed(spark_hash(("i", j), ("l", e[0] ^ half))))[1]
+        digits.append("0123456789abcdef"[h & 15])
+    return "".join(digits)
+
+
+def test_fingerprints_equal_bin_by_bin(spark):
+    rng = random.Random(9)
+    texts = [None, "", " ", "one", "one two three four", "a b c d e", "é ü\t🎉\nx  y z"] + [
+        brute.random_text(rng, n, ["alpha", "beta", "gamma", "delta", "é", "zeta"] * 3 + [str(i) for i in range(200)]) for n in (5, 6, 9, 30, 300, 2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert {r.i: r.f for r in add_fingerprint(df, "t", "f").collect()} == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+
+
 def test_fingerprints_estimate_likeness(spark):
     rng = random.Random(2)
     rows = []
