@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.components import components
 from textloom.llm.words import LOWER_BLANKS, WordRule, find_words, mix, pieces, runs
-from textloom.workspace import freeze
+from textloom.workspace import Tables, freeze, temporary_tables
 
 SHINGLE = 5
 HASHES, BITS = 320, 8
@@ -174,8 +174,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _labels(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
     """``(node, label)`` of all linked documents: the smallest document that links in the buckets reach."""
+    spark = texts.sparkSession
     labels: DataFrame | None = None
     hubs_each = 1
+    # The last round's members and labels stay until the next members are written; all other tables of a round go at its end.
+    kept, labels_at = Tables(spark), ""
 
     def labelled(rows: DataFrame, key: str, name: str) -> DataFrame:
         if labels is None:
@@ -184,9 +187,11 @@ def _labels(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent
         return rows.join(own, F.col(key) == F.col("_node"), "left").withColumn(name, F.coalesce("_label", key)).drop("_node", "_label")
 
     while True:
+        old = [path for path in kept.paths if path != labels_at]
         open_members = labelled(members, "doc_id", "label")
         mixed = open_members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        members = freeze(open_members.join(mixed, "bucket"), "members")
+        members = kept.freeze(open_members.join(mixed, "bucket"), "members")
+        kept.drop(old)
         if members.isEmpty():
             return labels
         turn = F.xxhash64("doc_id", "bucket")
@@ -199,19 +204,24 @@ def _labels(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent
             F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
         sig = lambda side: signatures.select(F.col("doc_id").alias(side), F.col("signature").alias(f"sig_{side}"))
         judged = met.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", estimate(F.col("sig_a"), F.col("sig_b")).alias("likely"))
-        pairs = freeze(judged.where(F.col("likely") >= _least_estimate(percent)), "pairs")
-        if not pairs.isEmpty():
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            sets = freeze(texts.join(ids, "doc_id").mapInArrow(_set_rows, "doc_id bigint, codes binary"), "sets")
-            rest = pairs.select("a", "b")
-            if labels is None:
-                best = pairs.groupBy("b").agg(F.max_by("a", F.struct("likely", -F.col("a"))).alias("a"))
-                labels = components(_confirm(best, sets, percent))
-                rest = labelled(labelled(rest.join(best, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb")
-            found = _confirm(rest.select("a", "b"), sets, percent)
-            if not found.isEmpty():
-                # A label is a link to the smallest document, and stands for all links so far.
-                labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        known = labels
+        with temporary_tables(spark):
+            pairs = freeze(judged.where(F.col("likely") >= _least_estimate(percent)), "pairs")
+            if not pairs.isEmpty():
+                ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+                sets = freeze(texts.join(ids, "doc_id").mapInArrow(_set_rows, "doc_id bigint, codes binary"), "sets")
+                rest = pairs.select("a", "b")
+                if labels is None:
+                    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("likely", -F.col("a"))).alias("a"))
+                    labels = components(_confirm(best, sets, percent))
+                    rest = labelled(labelled(rest.join(best, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb")
+                found = _confirm(rest.select("a", "b"), sets, percent)
+                if not found.isEmpty():
+                    # A label is a link to the smallest document, and stands for all links so far.
+                    labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+            if labels is not known:
+                labels = kept.freeze(labels, "labels")
+                labels_at = kept.paths[-1]
         # Pairs with a hub are judged; what remains are pairs of documents that were none.
         members = members.drop("label").join(hubs.select("bucket", F.col("hub").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
         hubs_each *= MORE
