@@ -105,6 +105,22 @@ def test_published_sets(spark, tmp_path):
     assert show() == set()
 
 
+def test_small_published_shards_share_files(spark, tmp_path):
+    """Writers and files follow the tokens, not the number of shards; a shard stays in one file."""
+    root = str(tmp_path / "c")
+    docs = spark.range(900).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source", "id DIV 6 AS shard_id", "'x' AS text", "5 AS n_tok")
+    sizes = docs.groupBy("source", "shard_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tok").alias("tokens"))
+    made = sinks.publish_shards(docs, root, sizes).collect()
+    assert len(made) == 300 and all((r.files, r.rows, r.tokens) == (1, 3, 15) for r in made)
+    assert len(spark.read.parquet(f"{root}/_sets/{made[0]['set']}").inputFiles()) == 2
+    back = sinks.read_shards(spark, root, None)
+    assert set(back.columns) == set(docs.columns)
+    assert sorted(back.select(*docs.columns).collect()) == sorted(docs.collect())
+    large = sizes.where("shard_id < 4").withColumn("tokens", F.lit(sinks.FILE_TOKENS))
+    made = sinks.publish_shards(docs.where("shard_id < 4"), root, large).collect()
+    assert len(spark.read.parquet(f"{root}/_sets/{made[0]['set']}").inputFiles()) == 8
+
+
 def test_documents_and_counts_agree_for_any_counter(spark):
     """A counter that gives words no token: those documents are in neither table."""
     docs = spark.createDataFrame([(i, "a", ("odd " if i % 2 else "even ") * 20) for i in range(30)], "doc_id bigint, source string, text string")

@@ -3,6 +3,9 @@
 Shards can be *published*: each run writes a set of its own below the root and then a manifest that names it, with the files, rows and
 tokens of every shard. A manifest counts from the moment Spark has committed it, so readers see the previous set or the new one,
 whole; what a killed or a longer earlier run left behind is in no manifest that counts.
+
+A file costs as much as many thousand rows, so shards far below ``FILE_TOKENS`` share one: consecutive whole shards, sorted, in a folder
+``shard_group=n``, with ``shard_id`` as a column of the file. Shards of that size or more have a folder and a file each.
 """
 
 from __future__ import annotations
@@ -14,9 +17,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.ordered import whole_div
 from textloom.workspace import committed
 
 
+#: Tokens below which whole shards share a file.
+FILE_TOKENS = 1 << 20
+GROUP = "shard_group"
+
+
+def together(shard_tokens: float) -> int:
+    """How many consecutive shards of this size share a file."""
+    return max(1, int(FILE_TOKENS // max(1, shard_tokens)))
+
+
+def _grouped(rows: DataFrame, shards_a_file: int) -> tuple[DataFrame, str]:
+    """The rows and the column that names their folder."""
+    if shards_a_file <= 1:
+        return rows, "shard_id"
+    return rows.withColumn(GROUP, whole_div(F.col("shard_id").cast("bigint"), shards_a_file)), GROUP
+
+
 def _writers(df: DataFrame) -> int:
     """Number of writing tasks. Given outright, so that adaptive execution does
     not put many small shards on one task."""
@@ -63,16 +84,20 @@ def manifest(spark: SparkSession, root: str, version: int | None = None) -> Data
 
 def publish_shards(docs: DataFrame, root: str, planned: DataFrame, source: str = "source", rows_a_file: int = 0) -> DataFrame:
     """Write text shards as a new set below ``root``, publish it, and return its manifest. ``planned`` has the rows and tokens of each shard,
-    ``(source, shard_id, rows, tokens)``, counted before (``shard_summary``): its number of rows is the number of writers, one per shard and at least
-    one, and it becomes the manifest together with the files that were written. ``rows_a_file`` cuts a shard's file
-    in several. A run whose rows differ from its plan is not published."""
+    ``(source, shard_id, rows, tokens)``, counted before (``shard_summary``): it gives the mean size of a shard, by which small shards share
+    files, and one writer per file, at least one; it becomes the manifest together with the files that were written. ``rows_a_file`` cuts a
+    shard's file in several; shards share none then. A run whose rows differ from its plan is not published."""
     spark = docs.sparkSession
     name = uuid.uuid4().hex[:12]
     place = f"{root}/{_SETS}/{name}"
     plan = planned.select(source, F.col("shard_id").cast("bigint").alias("shard_id"), F.col("rows").cast("bigint").alias("rows"),
                           F.col("tokens").cast("bigint").alias("tokens"))
-    (docs.repartition(max(1, plan.count()), source, "shard_id").write.option("maxRecordsPerFile", rows_a_file)
-     .partitionBy(source, "shard_id").parquet(place))
+    size = plan.agg(F.count(F.lit(1)).alias("shards"), F.sum("tokens").alias("tokens")).first()
+    shards_a_file = 1 if rows_a_file else together((size["tokens"] or 0) / max(1, size["shards"]))
+    rows, folder = _grouped(docs, shards_a_file)
+    writers = _grouped(plan, shards_a_file)[0].select(source, folder).distinct().count()
+    (rows.repartition(max(1, writers), source, folder).sortWithinPartitions(*dict.fromkeys([source, folder, "shard_id"]))
+     .write.option("maxRecordsPerFile", rows_a_file).partitionBy(source, folder).parquet(place))
     key = [F.col(source).cast("string").alias("_source"), F.col("shard_id").cast("bigint").alias("_shard")]
     if _files(spark, place) in ([], ["_SUCCESS"]):
         written = spark.createDataFrame([], "_source string, _shard bigint, files bigint, _rows bigint")
@@ -100,15 +125,16 @@ def remove_old_sets(spark: SparkSession, root: str) -> list[str]:
     return old
 
 
-def write_packed(rows: DataFrame, path: str, one_file_per_shard: bool = True) -> None:
-    """Packed rows, one directory per shard. By default each shard is one sorted
+def write_packed(rows: DataFrame, path: str, one_file_per_shard: bool = True, shards_a_file: int = 1) -> None:
+    """Packed rows, one directory per shard, or per ``shards_a_file`` consecutive shards. By default each directory is one sorted
     file; without that, tasks write the rows they hold, which saves a shuffle of
     the rows and leaves a few files per shard. Shards of an earlier run are
     removed."""
+    rows, folder = _grouped(rows, shards_a_file)
     if one_file_per_shard:
-        rows = rows.repartition(_writers(rows), "shard_id").sortWithinPartitions("shard_id", "row_idx")
+        rows = rows.repartition(_writers(rows), folder).sortWithinPartitions(*dict.fromkeys([folder, "shard_id", "row_idx"]))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd")
-     .partitionBy("shard_id").parquet(path))
+     .partitionBy(folder).parquet(path))
 
 
 def write_lines(lines: DataFrame, path: str, order_by: Sequence[str], column: str = "line") -> None:
@@ -138,4 +164,4 @@ def read_shards(spark: SparkSession, root: str, columns: Sequence[str] | None =
             return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns or ("text",)))
         root = f"{root}/{_SETS}/{one[0]}"
     rows = spark.read.parquet(root)
-    return rows.select(*columns) if columns else rows
+    return rows.select(*columns) if columns else rows.drop(GROUP)
