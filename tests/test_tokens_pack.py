@@ -271,3 +271,17 @@ def test_word_table_grows_by_unseen_words(spark, tmp_path):
     assert show(table.encode(more, ["doc_id"], F.col("text"))) == show(more.select("doc_id", enc.encode_text(spark, model, F.col("text")).alias("ids")))
     with pytest.raises(ValueError):
         enc.WordTable(spark, str(tmp_path / "words"), bpe.BpeModel([*vocab.SPECIAL_TOKENS, "a"], []))
+
+
+def test_small_shards_share_files(spark, tmp_path):
+    rows = spark.range(600).select(F.col("id").alias("row_idx"), F.floor(F.col("id") / 2).alias("shard_id"), F.array(F.lit(1)).alias("input_ids"))
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    sinks.write_packed(rows, a, shards_a_file=sinks.together(sinks.FILE_TOKENS // 100))
+    sinks.write_packed(rows.where("row_idx % 3 > 0"), b, shards_a_file=7)
+    assert len(spark.read.parquet(a).inputFiles()) == 3 and sinks.together(sinks.FILE_TOKENS) == sinks.together(50_000_000) == 1
+    back = readers.read_packed(spark, a, b)
+    assert set(back.columns) == {"row_idx", "input_ids", "shard_id", "root"}
+    assert {(r.root, r.shard_id, r.row_idx) for r in back.collect()} == {(k, i // 2, i) for k in (0, 1) for i in range(600) if not k or i % 3}
+    got = sorted((r["rank"], r.root, r.row_idx) for r in readers.ranked_packed(spark, a, b).collect())
+    want = [(0, i) for i in range(600)] + [(1, i) for i in range(600) if i % 3]
+    assert got == [(n, *w) for n, w in enumerate(want)]

@@ -74,7 +74,7 @@ def tokenizer(spark: SparkSession, a: argparse.Namespace) -> None:
 def pack(spark: SparkSession, a: argparse.Namespace) -> None:
     docs = sinks.read_shards(spark, a.shard_dir, None)
     rows = packed_rows(docs, bpe.load(spark, a.tokenizer_dir), a.order_by, a.seq_len, int(a.shard_tokens), a.max_rows)
-    sinks.write_packed(rows, a.out_dir)
+    sinks.write_packed(rows, a.out_dir, shards_a_file=sinks.together(a.shard_tokens))
 
 
 def loss(spark: SparkSession, a: argparse.Namespace) -> None:

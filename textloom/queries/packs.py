@@ -14,6 +14,7 @@ from textloom.sources import readers, sinks
 from textloom.workspace import freeze, new_path
 
 L, ROWS_PER_SHARD = sql.SEQ_LEN, sql.ROWS_PER_SHARD
+SHARDS_A_FILE = sinks.together(L * ROWS_PER_SHARD)
 SEED, EPOCH, WORKERS, BATCH = 42, 3, 4, 16
 
 
@@ -72,7 +73,7 @@ def packed_roots_read_back(spark, sf):
     rows = freeze(packs(spark, sf), "packed")
     roots = [new_path(spark, "pack-a"), new_path(spark, "pack-b")]
     for root in roots:
-        sinks.write_packed(rows, root)
+        sinks.write_packed(rows, root, shards_a_file=SHARDS_A_FILE)
     return shown(readers.read_packed(spark, *roots)).select("root", "row_idx", "shard_id", "input_ids")
 
 
@@ -84,7 +85,7 @@ def packed_row_ranks(spark, sf):
     rows = freeze(packs(spark, sf), "packed")
     roots = [new_path(spark, "pack-a"), new_path(spark, "pack-b")]
     for root, some in zip(roots, (rows, rows.where("row_idx % 3 > 0"))):
-        sinks.write_packed(some, root)
+        sinks.write_packed(some, root, shards_a_file=SHARDS_A_FILE)
     return readers.ranked_packed(spark, *roots).select("root", "shard_id", "row_idx", "rank")
 
 

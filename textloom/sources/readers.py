@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators.ordered import head, ordinals
+from textloom.sources.sinks import GROUP
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def read_packed(spark: SparkSession, *roots: str, pattern: str = "*.parquet", pl
                 raise
             continue
         rows = rows.select("*", *[F.col(m).alias(n) for n, m in _PLACE.items()]) if places else rows
-        parts.append(rows.withColumn("root", F.lit(i)).withColumn("shard_id", F.col("shard_id").cast("bigint")))
+        parts.append(rows.drop(GROUP).withColumn("root", F.lit(i)).withColumn("shard_id", F.col("shard_id").cast("bigint")))
     if not parts:
         raise FileNotFoundError(f"no packed files in {list(roots)} (pattern={pattern})")
     return reduce(DataFrame.unionByName, parts)
