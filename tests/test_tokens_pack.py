@@ -1,5 +1,6 @@
 import os
 import random
+import re
 from collections import Counter
 from itertools import chain
 
@@ -285,3 +286,30 @@ def test_small_shards_share_files(spark, tmp_path):
     got = sorted((r["rank"], r.root, r.row_idx) for r in readers.ranked_packed(spark, a, b).collect())
     want = [(0, i) for i in range(600)] + [(1, i) for i in range(600) if i % 3]
     assert got == [(n, *w) for n, w in enumerate(want)]
+
+
+@pytest.mark.parametrize("most", [0, 2, 40])
+def test_only_rare_words_and_far_ids_are_joined(spark, most):
+    """Any division into frequent and rare words gives the ids of the plain lookup, rows repeated or empty included."""
+    rows = [(i % 90, " ".join(["the"] * (i % 4) + ["of", f"w{i % 37}", "<pad>", f"x{i * i % 61}", "nowhere"][i % 3:])) for i in range(200)]
+    rows += [(1, None), (2, ""), (None, "the w3"), (7, "the the"), (7, "the the")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = vocab.word_vocabulary(vocab.word_counts(frame.where("text NOT LIKE '%nowhere'"), F.col("text")), rows_per_cell=5)
+    many = {f"w{i}": [100 + i] * (1 + i % 3) for i in range(30)} | {"the": [7, 8], "of": []}
+    table = spark.createDataFrame(list(many.items()), "word string, ids array<int>")
+    ids = lambda text: [n for w in re.findall(r"<pad>|\w+", text) for n in (many | {t: [i] for t, i in enc.SPECIAL_IDS.items()}).get(w, [vocab.UNK_ID])]
+    for limit in (0, 100):
+        got = enc.encode_by_join(frame, table, ["doc_id"], F.col("text"), limit, most)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((k, None if t is None else ids(t))) for k, t in rows)
+    known = enc.encode_documents(frame, words, ["doc_id"], F.col("text"))
+    whole = sorted(map(repr, enc.decode(known, words, ["doc_id"]).collect()))
+    assert sorted(map(repr, enc.decode(known, words, ["doc_id"], max_literal=most).collect())) == whole
+
+
+def test_joined_rows_are_the_rare_words_alone(spark):
+    """A word in nine places of ten is encoded where the text is read."""
+    hot = spark.range(300).selectExpr("id AS doc_id", "concat(repeat('hot ', 90), 'w', id) AS text")
+    table = spark.createDataFrame([("hot", [5])] + [(f"w{i}", [6 + i]) for i in range(300)], "word string, ids array<int>")
+    assert enc.frequent_words(hot, table, F.col("text"), 10) == {"hot": [5]}
+    got = {r.doc_id: r.ids for r in enc.encode_by_join(hot, table, ["doc_id"], F.col("text"), 0, 10).collect()}
+    assert got == {i: [5] * 90 + [6 + i] for i in range(300)}

@@ -4,7 +4,7 @@ Three ways to look words up, all with the same result:
 
 * ``encode_column``: each task holds the model (a broadcast of bounded size) and
   encodes the distinct words of a batch once; no shuffle. The usual way.
-* ``encode_by_join``: for vocabularies too large for a task, a join on the word.
+* ``encode_by_join``: for vocabularies too large for a task, a join on the word for all but the most frequent ones.
 * ``WordTable``: encode distinct words once, as a stored table that later corpora extend by what they have anew.
 """
 
@@ -18,19 +18,21 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as tx
-from textloom.operators.ordered import with_salts
 from textloom.operators.vocab import EOS_ID, FIRST_ID, SPECIAL_TOKENS, UNK_ID
-from textloom.workspace import committed
+from textloom.workspace import Tables, committed, freeze
 
 MAX_BROADCAST_WORDS = 1 << 21
 MAX_LITERAL_TOKENS = 1 << 16
-SALTS = 16
+#: Words that ``encode_by_join`` encodes without the join.
+FREQUENT_WORDS = 1 << 18
 _CACHE_WORDS = 1 << 20
+_GAP = -1
 SPECIAL_IDS = {token: i for i, token in enumerate(SPECIAL_TOKENS)}
 _SPECIAL = "|".join(rf"\Q{token}\E" for token in SPECIAL_TOKENS)
 _WORD_OR_SPECIAL = rf"(?U){_SPECIAL}|\w++|(?:(?!{_SPECIAL})[^\w\s])++"
@@ -149,27 +151,103 @@ def word_ids(words: DataFrame, model: Model) -> DataFrame:
     return words.select("word").mapInArrow(encode, "word string, ids array<int>")
 
 
+def _bits(freq: str) -> Column:
+    return F.length(F.bin(freq))
+
+
+def frequent_words(docs: DataFrame, table: DataFrame, text: Column, most: int) -> dict[str, list[int]]:
+    """Ids of at most ``most`` words, the most frequent ones of ``docs`` down to a power of two; words that ``table`` lacks are
+    unknown. Only the words chosen reach the driver."""
+    tables = Tables(docs.sparkSession)
+    words = docs.select(F.explode(tokens(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    counts = tables.freeze(words, "word-counts")
+    least, held = None, 0
+    for bits, n in sorted(counts.groupBy(_bits("freq")).count().collect(), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = 1 << (bits - 1)
+    chosen = counts.where(F.lit(False) if least is None else F.col("freq") >= least)
+    rows = chosen.join(table, "word", "left").select("word", F.coalesce("ids", F.array(F.lit(UNK_ID))).alias("ids")).toArrow()
+    tables.drop()
+    return dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist()))
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    """Where each row's entries begin in ``lists.flatten()``, and their end."""
+    return np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+
+
+def _nulls(lists: pa.Array) -> pa.Array | None:
+    return lists.is_null() if lists.null_count else None
+
+
+def _encode_frequent(words: pa.Array, known: dict[str, list[int]]) -> pa.Array:
+    """``ids`` of a list<string> array with ``_GAP`` for each word that is not known, and those words in order."""
+    ids = _encode_lists(words, lambda word: known.get(word, [_GAP]), {})
+    flat = words.flatten()
+    coded = flat.dictionary_encode()
+    rare = np.fromiter((word not in known for word in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
+    is_rare = rare[coded.indices.to_numpy(zero_copy_only=False)]
+    ends = np.concatenate(([0], np.cumsum(is_rare)))[_offsets(words)].astype(np.int32)
+    gaps = pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(is_rare)), mask=_nulls(words))
+    return pa.StructArray.from_arrays([ids, gaps], ["ids", "gaps"])
+
+
+def _fill_ids(ids: pa.Array, found: pa.Array) -> pa.Array:
+    """``ids`` with the lists of ``found`` in place of the gaps."""
+    flat, pieces = ids.flatten().to_numpy(zero_copy_only=False), found.flatten()
+    gap = flat == _GAP
+    sizes = np.ones(len(flat), np.int64)
+    sizes[gap] = pieces.value_lengths().to_numpy(zero_copy_only=False)
+    filled = np.repeat(gap, sizes)
+    out = np.empty(len(filled), np.int32)
+    out[filled], out[~filled] = pieces.flatten().to_numpy(zero_copy_only=False), flat[~gap]
+    ends = np.concatenate(([0], np.cumsum(sizes)))[_offsets(ids)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out, pa.int32()))
+
+
+def _looked_up(rows: DataFrame, column: str, item: str, value: Column, table: DataFrame) -> DataFrame:
+    """``(_row, _found)``: ``value`` of each entry of ``column``, an array, in its order, by a join with ``table`` on ``item``."""
+    places = rows.select("_row", F.posexplode(column).alias("_pos", item))
+    met = places.join(table, item, "left").select("_row", F.struct("_pos", value.alias("value")).alias("p"))
+    return met.groupBy("_row").agg(F.array_sort(F.collect_list("p")).alias("p")).select(
+        "_row", F.transform("p", lambda p: p["value"]).alias("_found"))
+
+
+def _parted(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with entries in ``column``, and the others."""
+    some = F.coalesce(F.size(column), F.lit(0)) > 0
+    return rows.where(some), rows.where(~some)
+
+
 def encode_by_join(docs: DataFrame, table: DataFrame, key: Sequence[str], text: Column,
-                   max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
-    """``(key, ids)`` by looking every word up in ``table (word, ids)``. The
-    table is broadcast only when its counted size allows it; otherwise the join
-    shuffles on the word and a salt, which spreads hot words. A NULL text
-    has NULL ids; rows that repeat a key and text stay as many rows."""
-    words = docs.select(*key, F.xxhash64(text).alias("_text"), text.isNull().alias("_null"),
-                        F.posexplode_outer(tokens(text)).alias("_pos", "word"))
-    special = docs.sparkSession.createDataFrame([(t, [i]) for t, i in SPECIAL_IDS.items()], "word string, ids array<int>")
+                   max_broadcast: int = MAX_BROADCAST_WORDS, most_frequent: int | None = None) -> DataFrame:
+    """``(key, ids)`` by looking words up in ``table (word, ids)`` of any size; ids are not negative. The words that are frequent in
+    ``docs`` (at most ``most_frequent``, ``FREQUENT_WORDS`` by default) are encoded in the tasks that read the texts. Only the others are shuffled,
+    each occurrence as one row, and come back to their row; no key of that join is hot. The table is broadcast to it
+    when its counted size allows it. A NULL text has NULL ids; rows that repeat a key and text stay as many rows."""
+    spark = docs.sparkSession
+    special = spark.createDataFrame([(t, [i]) for t, i in SPECIAL_IDS.items()], "word string, ids array<int>")
     ordinary = table.where(~F.col("word").isin(*SPECIAL_TOKENS)).select("word", "ids")
     table = ordinary.unionByName(special)
-    if table.count() <= max_broadcast:
-        met = words.join(F.broadcast(table), "word", "left")
-    else:  # a hot word is spread over salts by its place
-        salt = F.pmod(F.xxhash64("_text", "_pos"), F.lit(SALTS)).cast("int")
-        met = words.withColumn("_salt", salt).join(with_salts(table, SALTS), ["word", "_salt"], "left")
-    found = met.select(
-        *key, "_text", "_null", F.coalesce("_pos", F.lit(0)).alias("_pos"), F.when(F.col("_pos").isNotNull(), F.struct(
-            "_pos", F.coalesce("ids", F.array(F.lit(UNK_ID))).alias("ids"))).alias("piece"))
-    pieces = F.array_sort(F.collect_set("piece"))
-    return _repeated(found, key, F.when(~F.first("_null"), F.flatten(F.transform(pieces, lambda p: p["ids"]))), "ids")
+    known = spark.sparkContext.broadcast(frequent_words(docs, table, text, FREQUENT_WORDS if most_frequent is None else most_frequent))
+
+    @F.arrow_udf("ids array<int>, gaps array<string>")
+    def encode(words: pa.Array) -> pa.Array:
+        return _encode_frequent(words, known.value)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def fill(ids: pa.Array, found: pa.Array) -> pa.Array:
+        return _fill_ids(ids, found)
+
+    coded = docs.select(*key, F.monotonically_increasing_id().alias("_row"), encode(tokens(text)).alias("_e"))
+    stored = freeze(coded.select(*key, "_row", F.col("_e.ids").alias("ids"), F.col("_e.gaps").alias("_gaps")), "encoded")
+    rest, whole = _parted(stored, "_gaps")
+    lookup = F.broadcast(table) if table.count() <= max_broadcast else table
+    found = _looked_up(rest, "_gaps", "word", F.coalesce("ids", F.array(F.lit(UNK_ID))), lookup)
+    filled = rest.join(found, "_row").select(*key, fill("ids", "_found").alias("ids"))
+    return whole.select(*key, "ids").unionByName(filled)
 
 
 class WordTable:
@@ -207,36 +285,52 @@ class WordTable:
         return encode_by_join(docs, self.words(), key, text, max_broadcast)
 
 
-def _repeated(pieces: DataFrame, key: Sequence[str], value: Column, name: str) -> DataFrame:
-    """One value per key and ``_text``, as many times as the input had that row."""
-    grouped = pieces.groupBy(*key, "_text").agg(value.alias(name), F.count_if(F.col("_pos") == 0).alias("_n"))
-    return grouped.select(*key, name, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
-
-
 def append_eos(ids: Column, eos_id: int | None = EOS_ID) -> Column:
     """End each document, when the tokenizer has an end token."""
     return ids if eos_id is None else F.concat(ids, F.array(F.lit(eos_id)))
 
 
+def _spell(ids: pa.Array, found: pa.Array, near: pa.Array) -> pa.Array:
+    """Tokens joined by spaces: those of ids below ``len(near)`` from there, the others from ``found`` in their order."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    far = flat >= len(near)
+    own = np.flatnonzero(far)
+    every = pa.concat_arrays([near, found.flatten()])
+    at = flat.copy()
+    at[own] = len(near) + np.arange(len(own))
+    names = every.take(pa.array(at))
+    there = names.is_valid().to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(there)))[_offsets(ids)].astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), names.drop_null()), " ")
+
+
 def decode(docs: DataFrame, vocabulary: DataFrame, key: Sequence[str], ids: str = "ids",
            skip_special: bool = True, max_literal: int = MAX_LITERAL_TOKENS) -> DataFrame:
     """``(key, text)``: pieces joined by single spaces, special tokens and ids
-    without a token left out; NULL ids have a NULL text. A vocabulary whose largest
-    id is bounded becomes a literal array indexed by id; a larger one is joined."""
+    without a token left out; NULL ids have a NULL text. Tokens with ids below ``max_literal``, which in a word vocabulary
+    are the frequent ones, become a literal array indexed by id; only ids beyond are joined."""
+    spark = docs.sparkSession
     first = FIRST_ID if skip_special else 0
     size = (vocabulary.agg(F.max("id")).first()[0] or 0) + 1
+    rows = vocabulary.where(F.col("id") < max_literal).toArrow()
+    dense = dict(zip(rows["id"].to_pylist(), rows["token"].to_pylist()))
+    near = [dense.get(i) for i in range(min(size, max_literal))]
+    names = F.from_json(F.lit(json.dumps(near)), "array<string>")
+    spelt = lambda kept: F.array_join(F.transform(kept, lambda i: F.get(names, i)), " ").alias("text")
+    kept = F.filter(F.col(ids), lambda i: i >= first)
     if size <= max_literal:
-        rows = vocabulary.toArrow()
-        dense = dict(zip(rows["id"].to_pylist(), rows["token"].to_pylist()))
-        known = json.dumps([dense.get(i) for i in range(size)])
-        names = F.from_json(F.lit(known), "array<string>")
-        kept = F.filter(F.col(ids), lambda i: i >= first)
-        return docs.select(*key, F.array_join(F.transform(kept, lambda i: F.get(names, i)), " ").alias("text"))
-    pieces = docs.select(*key, F.xxhash64(ids).alias("_text"), F.col(ids).isNull().alias("_null"),
-                         F.posexplode_outer(ids).alias("_pos", "id"))
-    named = pieces.join(vocabulary, "id", "left").select(
-        *key, "_text", "_null", F.coalesce("_pos", F.lit(0)).alias("_pos"),
-        F.when(F.col("id") >= first, F.struct("_pos", "token")).alias("piece"))
-    ordered_pieces = F.array_sort(F.collect_set("piece"))
-    text = F.array_join(F.transform(ordered_pieces, lambda p: p["token"]), " ")
-    return _repeated(named, key, F.when(~F.first("_null"), text), "text")
+        return docs.select(*key, spelt(kept))
+    shared = spark.sparkContext.broadcast(near)
+    held: list[pa.Array] = []
+
+    @F.arrow_udf(T.StringType())
+    def spell(of: pa.Array, found: pa.Array) -> pa.Array:
+        if not held:
+            held.append(pa.array(shared.value, pa.string()))
+        return _spell(of, found, held[0])
+
+    stored = freeze(docs.select(*key, F.monotonically_increasing_id().alias("_row"), kept.alias("_ids"),
+                                F.filter(kept, lambda i: i >= len(near)).alias("_far")), "ids")
+    rest, whole = _parted(stored, "_far")
+    found = _looked_up(rest, "_far", "id", F.col("token"), vocabulary.select("id", "token"))
+    return whole.select(*key, spelt(F.col("_ids"))).unionByName(rest.join(found, "_row").select(*key, spell("_ids", "_found").alias("text")))
