@@ -313,3 +313,12 @@ def test_joined_rows_are_the_rare_words_alone(spark):
     assert enc.frequent_words(hot, table, F.col("text"), 10) == {"hot": [5]}
     got = {r.doc_id: r.ids for r in enc.encode_by_join(hot, table, ["doc_id"], F.col("text"), 0, 10).collect()}
     assert got == {i: [5] * 90 + [6 + i] for i in range(300)}
+
+
+def test_word_cache_of_a_task_is_bounded():
+    import pyarrow as pa
+
+    cache, words = {}, [f"w{i}" for i in range(300_000)]
+    for _ in range(2):
+        got = enc._encode_lists(pa.array([words]), lambda word: [int(word[1:])], cache)
+        assert got.to_pylist() == [list(range(300_000))] and len(cache) <= 1 << 18

@@ -31,7 +31,7 @@ MAX_BROADCAST_WORDS = 1 << 21
 MAX_LITERAL_TOKENS = 1 << 16
 #: Words that ``encode_by_join`` encodes without the join.
 FREQUENT_WORDS = 1 << 18
-_CACHE_WORDS = 1 << 20
+_CACHE_WORDS = 1 << 18
 _GAP = -1
 SPECIAL_IDS = {token: i for i, token in enumerate(SPECIAL_TOKENS)}
 _SPECIAL = "|".join(rf"\Q{token}\E" for token in SPECIAL_TOKENS)
