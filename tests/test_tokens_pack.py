@@ -322,3 +322,34 @@ def test_word_cache_of_a_task_is_bounded():
     for _ in range(2):
         got = enc._encode_lists(pa.array([words]), lambda word: [int(word[1:])], cache)
         assert got.to_pylist() == [list(range(300_000))] and len(cache) <= 1 << 18
+
+
+def test_millions_of_words_need_no_shuffle(spark):
+    """A vocabulary beyond what Spark broadcasts to a join is held by the tasks as arrays."""
+    words = spark.range(5, (1 << 21) + 50).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("w"), "id").alias("token"))
+    frame = spark.createDataFrame([(1, "w2097200 w5 <pad> nowhere"), (2, None), (3, "")], "doc_id bigint, text string")
+    ids = enc.encode_documents(frame, words, ["doc_id"], F.col("text"))
+    text = enc.decode(ids, words, ["doc_id"])
+    assert sorted(map(tuple, ids.collect())) == [(1, [2097200, 5, vocab.PAD_ID, vocab.UNK_ID]), (2, None), (3, [])]
+    assert sorted(map(tuple, text.collect())) == [(1, "w2097200 w5"), (2, None), (3, "")]
+    for df in (ids, text):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(enc, "_hashes", lambda words: np.array([len(w) for w in words.to_pylist()], np.uint64))
+    model = enc.WordModel(pa.array(["ab", "cd", "ef", "cd", "x", "<pad>"]), np.array([7, 8, 9, 10, 11, 12]))
+    assert model.encode_words(pa.array(["ef", "x", "cd", "ab", "zz", "y", "<pad>", "long"])).tolist() == [9, 11, 10, 7, 0, 0, vocab.PAD_ID, 0]
+    assert model.encode_words(pa.array([], pa.string())).tolist() == [] and model.ids["ef"] == 9
+
+
+@pytest.mark.parametrize("held", [0, 40])
+def test_decode_holds_or_joins(spark, held):
+    ids = spark.createDataFrame([(1, None), (2, []), (3, [5, 7, 39, 1]), (4, [5, 8, 900, 39])], "doc_id bigint, ids array<int>")
+    words = spark.createDataFrame([(5, "low"), (8, "é"), (39, "new")], "id int, token string")
+    got = enc.decode(ids, words, ["doc_id"], max_literal=6, max_held=held)
+    assert sorted(map(tuple, got.collect())) == [(1, None), (2, ""), (3, "low new"), (4, "low é new")]

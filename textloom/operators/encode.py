@@ -2,7 +2,7 @@
 
 Three ways to look words up, all with the same result:
 
-* ``encode_column``: each task holds the model (a broadcast of bounded size) and
+* ``encode_column``: each task holds the model (a broadcast of bounded size; words as arrays, no dict) and
   encodes the distinct words of a batch once; no shuffle. The usual way.
 * ``encode_by_join``: for vocabularies too large for a task, a join on the word for all but the most frequent ones.
 * ``WordTable``: encode distinct words once, as a stored table that later corpora extend by what they have anew.
@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,10 @@ from textloom.functions import text as tx
 from textloom.operators.vocab import EOS_ID, FIRST_ID, SPECIAL_TOKENS, UNK_ID
 from textloom.workspace import Tables, committed, freeze
 
+#: Words of a table that Spark broadcasts to a join.
 MAX_BROADCAST_WORDS = 1 << 21
+#: Words that a task holds as arrays, some 26 bytes each.
+MAX_HELD_WORDS = 1 << 23
 MAX_LITERAL_TOKENS = 1 << 16
 #: Words that ``encode_by_join`` encodes without the join.
 FREQUENT_WORDS = 1 << 18
@@ -54,23 +58,60 @@ class Model(Protocol):
     def encode_word(self, word: str) -> list[int]: ...
 
 
-class WordModel:
-    """Whole words; anything else is one unknown token."""
+def _hashes(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+
 
-    def __init__(self, ids: dict[str, int]):
-        self.ids = ids | SPECIAL_IDS
+class WordModel:
+    """Whole words; anything else is one unknown token. Words lie in arrays in the order of a 64-bit hash; a word is found by bisection
+    and compared itself, so equal hashes do no harm. Of a repeated word the last id counts."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray):
+        words = pa.concat_arrays([words, pa.array(SPECIAL_IDS, pa.string())])
+        hashes = _hashes(words)
+        order = np.argsort(hashes, kind="stable")
+        self._hashes, self._words = hashes[order], words.take(pa.array(order))
+        self._ids = np.concatenate((ids, list(SPECIAL_IDS.values()))).astype(np.int32)[order]
+        starts = np.flatnonzero(np.concatenate(([True], self._hashes[1:] != self._hashes[:-1])))
+        self._most = int(np.diff(np.concatenate((starts, [len(order)]))).max())  # words of one hash
+
+    @property
+    def ids(self) -> dict[str, int]:
+        return dict(zip(self._words.to_pylist(), self._ids.tolist()))
+
+    def encode_words(self, words: pa.Array) -> np.ndarray:
+        """The id of each word."""
+        hashes = _hashes(words)
+        place = np.searchsorted(self._hashes, hashes)
+        ids = np.full(len(words), UNK_ID, np.int32)
+        for k in range(self._most):
+            at = np.minimum(place + k, len(self._ids) - 1)
+            near = np.flatnonzero(self._hashes[at] == hashes)
+            same = pc.equal(self._words.take(pa.array(at[near])), words.take(pa.array(near)))
+            near = near[same.to_numpy(zero_copy_only=False)]
+            ids[near] = self._ids[at[near]]
+        return ids
 
     def encode_word(self, word: str) -> list[int]:
-        return [self.ids.get(word, UNK_ID)]
+        return self.encode_words(pa.array([word])).tolist()
 
     @classmethod
-    def from_table(cls, vocabulary: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> WordModel:
+    def from_table(cls, vocabulary: DataFrame, max_words: int = MAX_HELD_WORDS) -> WordModel:
         """Load a vocabulary after checking that it is small enough to ship."""
         size = vocabulary.count()
         if size > max_words:
             raise ValueError(f"{size} words; use encode_by_join beyond {max_words}")
-        rows = vocabulary.where(F.col("id") >= FIRST_ID).toArrow()
-        return cls(dict(zip(rows["token"].to_pylist(), rows["id"].to_pylist())))
+        rows = vocabulary.where((F.col("id") >= FIRST_ID) & F.col("token").isNotNull()).select("id", "token").toArrow().combine_chunks()
+        return cls(*(rows[c].combine_chunks() if c == "token" else rows[c].to_numpy() for c in ("token", "id")))
+
+
+def _look_up(words: pa.Array, model: WordModel) -> pa.Array:
+    """Encode a list<string> array with one id a word; every distinct word of the batch once."""
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    ids = model.encode_words(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+    return pa.ListArray.from_arrays(pa.array(_offsets(words).astype(np.int32)), pa.array(ids, pa.int32()), mask=_nulls(words))
 
 
 def _encode_lists(words: pa.Array, encode_word, cache: dict[str, list[int]]) -> pa.Array:
@@ -108,6 +149,8 @@ def encode_column(spark: SparkSession, model: Model, words: Column) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batch: pa.Array) -> pa.Array:
+        if isinstance(shared.value, WordModel):
+            return _look_up(batch, shared.value)
         return _encode_lists(batch, shared.value.encode_word, cache)
 
     return encode(words)
@@ -119,7 +162,7 @@ def encode_text(spark: SparkSession, model: Model, text: Column, special: bool =
 
 
 def encode_documents(docs: DataFrame, model: Model | DataFrame, key: Sequence[str], text: Column,
-                     max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
+                     max_broadcast: int = MAX_HELD_WORDS) -> DataFrame:
     """``(key, ids)`` with a model, or with a word vocabulary table ``(id,
     token)`` of any size: shipped to the tasks when its counted size allows it,
     joined otherwise."""
@@ -127,7 +170,7 @@ def encode_documents(docs: DataFrame, model: Model | DataFrame, key: Sequence[st
     if isinstance(model, DataFrame):
         if model.count() > max_broadcast:
             lookup = model.where(F.col("id") >= FIRST_ID).select(F.col("token").alias("word"), F.array("id").alias("ids"))
-            return encode_by_join(docs, lookup, key, text, max_broadcast)
+            return encode_by_join(docs, lookup, key, text, min(max_broadcast, MAX_BROADCAST_WORDS))
         model = WordModel.from_table(model, max_broadcast)
     return docs.select(*key, encode_text(spark, model, text).alias("ids"))
 
@@ -301,33 +344,48 @@ def _spell(ids: pa.Array, found: pa.Array, near: pa.Array) -> pa.Array:
     names = every.take(pa.array(at))
     there = names.is_valid().to_numpy(zero_copy_only=False)
     ends = np.concatenate(([0], np.cumsum(there)))[_offsets(ids)].astype(np.int32)
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), names.drop_null()), " ")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), names.drop_null(), mask=_nulls(ids)), " ")
+
+
+def _by_id(rows: pa.Table, size: int) -> pa.Array:
+    """The token of each id below ``size``, NULL where there is none."""
+    at = np.full(size, -1)
+    at[rows["id"].to_numpy()] = np.arange(len(rows))
+    return rows["token"].combine_chunks().take(pa.array(at, mask=at < 0))
 
 
 def decode(docs: DataFrame, vocabulary: DataFrame, key: Sequence[str], ids: str = "ids",
-           skip_special: bool = True, max_literal: int = MAX_LITERAL_TOKENS) -> DataFrame:
+           skip_special: bool = True, max_literal: int = MAX_LITERAL_TOKENS, max_held: int = MAX_HELD_WORDS) -> DataFrame:
     """``(key, text)``: pieces joined by single spaces, special tokens and ids
-    without a token left out; NULL ids have a NULL text. Tokens with ids below ``max_literal``, which in a word vocabulary
-    are the frequent ones, become a literal array indexed by id; only ids beyond are joined."""
+    without a token left out; NULL ids have a NULL text. Tokens of up to ``max_literal`` ids are a literal array indexed by id, of up to
+    ``max_held`` an array that the tasks hold; beyond, ids below ``max_literal``, which in a word vocabulary are the frequent ones,
+    are looked up there and only the others joined."""
     spark = docs.sparkSession
     first = FIRST_ID if skip_special else 0
     size = (vocabulary.agg(F.max("id")).first()[0] or 0) + 1
-    rows = vocabulary.where(F.col("id") < max_literal).toArrow()
-    dense = dict(zip(rows["id"].to_pylist(), rows["token"].to_pylist()))
-    near = [dense.get(i) for i in range(min(size, max_literal))]
-    names = F.from_json(F.lit(json.dumps(near)), "array<string>")
-    spelt = lambda kept: F.array_join(F.transform(kept, lambda i: F.get(names, i)), " ").alias("text")
+    held = size if size <= max(max_literal, max_held) else max_literal
+    rows = vocabulary.where(F.col("id").between(0, held - 1)).select("id", "token").toArrow()
+    near = _by_id(rows, held)
     kept = F.filter(F.col(ids), lambda i: i >= first)
+
+    def spelt(kept: Column) -> Column:
+        names = F.from_json(F.lit(json.dumps(near.to_pylist())), "array<string>")
+        return F.array_join(F.transform(kept, lambda i: F.get(names, i)), " ").alias("text")
+
     if size <= max_literal:
         return docs.select(*key, spelt(kept))
     shared = spark.sparkContext.broadcast(near)
-    held: list[pa.Array] = []
+
+    @F.arrow_udf(T.StringType())
+    def spell_near(of: pa.Array) -> pa.Array:
+        return _spell(of, pa.array([[]] * len(of), pa.list_(pa.string())), shared.value)
+
+    if size <= max_held:
+        return docs.select(*key, spell_near(F.filter(kept, lambda i: i < size)).alias("text"))
 
     @F.arrow_udf(T.StringType())
     def spell(of: pa.Array, found: pa.Array) -> pa.Array:
-        if not held:
-            held.append(pa.array(shared.value, pa.string()))
-        return _spell(of, found, held[0])
+        return _spell(of, found, shared.value)
 
     stored = freeze(docs.select(*key, F.monotonically_increasing_id().alias("_row"), kept.alias("_ids"),
                                 F.filter(kept, lambda i: i >= len(near)).alias("_far")), "ids")
