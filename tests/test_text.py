@@ -127,3 +127,13 @@ def test_language_from_text_struct_and_map(spark):
     got = df.select(*[metadata.language(F.col(c), kinds[c]).alias(c) for c in "abc"]).first()
     assert tuple(got) == ("fr", "de", "es")
     assert isinstance(kinds["b"], T.StructType)
+
+
+def test_distinct_ngrams_are_counted_in_parts_of_a_split(spark):
+    from textloom.operators import evaluation as ev
+
+    rows = [("a", "x y x y"), ("a", "x y z"), ("b", "one"), (None, "x y"), ("b", None), (None, "x y x")]
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    got = ev.corpus_distinct(frame, 2, ["lang"])
+    assert f"RoundRobinPartitioning({2 * ev.TASKS_PER_SPLIT})" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.lang: (r.ngrams, r.distinct_ngrams) for r in got.collect()} == {"a": (5, 3), None: (3, 2)}

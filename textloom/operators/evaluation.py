@@ -11,6 +11,7 @@ from textloom.functions import ngrams as ng, text as tx
 from textloom.operators import ordered
 
 SALTS = 16
+TASKS_PER_SPLIT = 8
 
 
 def text_blocks(texts: DataFrame, key: Sequence[str], block_size: int, tokens: Column | None = None) -> DataFrame:
@@ -72,8 +73,9 @@ def diversity(records: DataFrame, text: str = "output") -> DataFrame:
 
 
 def corpus_distinct(texts: DataFrame, n: int, group_by: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """n-grams and different n-grams over all texts of a group."""
-    words = texts.select(*group_by, tx.split_words(F.col(text)).alias("_words"))
+    """n-grams and different n-grams over all texts of a group. Texts are dealt to ``TASKS_PER_SPLIT`` times as many tasks as they have
+    splits: most n-grams are rare, and those of a whole split do not fit the memory of the map-side count, which then sorts on disk."""
+    words = texts.repartition(TASKS_PER_SPLIT * max(1, texts.rdd.getNumPartitions())).select(*group_by, tx.split_words(F.col(text)).alias("_words"))
     grams = words.select(*group_by, F.explode(ng.ngrams(F.col("_words"), n)).alias("gram"))
     counted = grams.groupBy(*group_by, "gram").agg(F.count(F.lit(1)).alias("times"))
     return counted.groupBy(*group_by).agg(
