@@ -353,3 +353,25 @@ def test_decode_holds_or_joins(spark, held):
     words = spark.createDataFrame([(5, "low"), (8, "é"), (39, "new")], "id int, token string")
     got = enc.decode(ids, words, ["doc_id"], max_literal=6, max_held=held)
     assert sorted(map(tuple, got.collect())) == [(1, None), (2, ""), (3, "low new"), (4, "low é new")]
+
+
+def test_held_words_and_joined_ones_agree(spark, tmp_path, monkeypatch):
+    """However many words the tasks hold, the ids are the same; only words that are not held are joined."""
+    docs = spark.createDataFrame([(1, "low low lower <|endoftext|>"), (2, "newest widest low"), (3, None), (4, ""), (4, ""), (5, "\u00e9t\u00e9 low!")], "doc_id int, text string")
+    model = bpe.induce(vocab.word_counts(docs, F.col("text")), 40)
+    show = lambda df: sorted(map(repr, df.collect()))
+    table = enc.WordTable(spark, str(tmp_path / "words"), model)
+    table.extend(docs, F.col("text"))
+    more = docs.unionByName(spark.createDataFrame([(6, "unseen low")], docs.schema))
+    shown = [show(table.encode(more, ["doc_id"], F.col("text"), 0, held)) for held in (1 << 20, 3, 0)]
+    assert shown[0] == shown[1] == shown[2]
+    assert show(table.encode(docs, ["doc_id"], F.col("text"))) == show(docs.select("doc_id", enc.encode_text(spark, model, F.col("text")).alias("ids")))
+    words = vocab.word_vocabulary(vocab.word_counts(docs, F.col("text")))
+    joined, found = [], enc._looked_up
+    monkeypatch.setattr(enc, "_looked_up", lambda rows, column, *rest: joined.append(
+        rows.agg(F.sum(F.size(column))).first()[0]) or found(rows, column, *rest))
+    shown = [show(enc.encode_documents(docs, words, ["doc_id"], F.col("text"), n)) for n in (1000, 8, 0)]
+    assert shown[0] == shown[1] == shown[2]
+    every = docs.select(F.explode(enc.tokens(F.col("text"))).alias("token"))
+    behind = every.join(words, "token").where((F.col("id") >= 8)).count()
+    assert joined[0] == behind < every.count()

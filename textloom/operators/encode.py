@@ -33,7 +33,9 @@ MAX_BROADCAST_WORDS = 1 << 21
 #: Words that a task holds as arrays, some 26 bytes each.
 MAX_HELD_WORDS = 1 << 23
 MAX_LITERAL_TOKENS = 1 << 16
-#: Words that ``encode_by_join`` encodes without the join.
+#: Words that a task holds with the ids of their parts, some 50 bytes each.
+MAX_HELD_LISTS = 1 << 22
+#: Words that ``encode_by_join`` encodes without the join, unless told which.
 FREQUENT_WORDS = 1 << 18
 _CACHE_WORDS = 1 << 18
 _GAP = -1
@@ -62,18 +64,36 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
 
 
-class WordModel:
-    """Whole words; anything else is one unknown token. Words lie in arrays in the order of a 64-bit hash; a word is found by bisection
-    and compared itself, so equal hashes do no harm. Of a repeated word the last id counts."""
+class HeldWords:
+    """Words in arrays in the order of a 64-bit hash. A word is found by bisection and compared itself, so equal hashes do no harm."""
 
-    def __init__(self, words: pa.Array, ids: np.ndarray):
-        words = pa.concat_arrays([words, pa.array(SPECIAL_IDS, pa.string())])
+    def __init__(self, words: pa.Array):
         hashes = _hashes(words)
-        order = np.argsort(hashes, kind="stable")
-        self._hashes, self._words = hashes[order], words.take(pa.array(order))
-        self._ids = np.concatenate((ids, list(SPECIAL_IDS.values()))).astype(np.int32)[order]
+        self.order = np.argsort(hashes, kind="stable")
+        self._hashes, self._words = hashes[self.order], words.take(pa.array(self.order))
         starts = np.flatnonzero(np.concatenate(([True], self._hashes[1:] != self._hashes[:-1])))
-        self._most = int(np.diff(np.concatenate((starts, [len(order)]))).max())  # words of one hash
+        self._most = int(np.diff(np.concatenate((starts, [len(words)]))).max(initial=0))  # words of one hash
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word here, of a repeated one the last; -1 where there is none."""
+        hashes = _hashes(words)
+        place, found = np.searchsorted(self._hashes, hashes), np.full(len(words), -1)
+        for k in range(self._most):
+            at = np.minimum(place + k, len(self._hashes) - 1)
+            near = np.flatnonzero(self._hashes[at] == hashes)
+            same = pc.equal(self._words.take(pa.array(at[near])), words.take(pa.array(near)))
+            near = near[same.to_numpy(zero_copy_only=False)]
+            found[near] = at[near]
+        return found
+
+
+class WordModel(HeldWords):
+    """Whole words; anything else is one unknown token. Of a repeated word the last id counts."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray):
+        super().__init__(pa.concat_arrays([words, pa.array(SPECIAL_IDS, pa.string())]))
+        self._ids = np.concatenate((ids, list(SPECIAL_IDS.values()))).astype(np.int32)[self.order]
+        del self.order
 
     @property
     def ids(self) -> dict[str, int]:
@@ -81,16 +101,8 @@ class WordModel:
 
     def encode_words(self, words: pa.Array) -> np.ndarray:
         """The id of each word."""
-        hashes = _hashes(words)
-        place = np.searchsorted(self._hashes, hashes)
-        ids = np.full(len(words), UNK_ID, np.int32)
-        for k in range(self._most):
-            at = np.minimum(place + k, len(self._ids) - 1)
-            near = np.flatnonzero(self._hashes[at] == hashes)
-            same = pc.equal(self._words.take(pa.array(at[near])), words.take(pa.array(near)))
-            near = near[same.to_numpy(zero_copy_only=False)]
-            ids[near] = self._ids[at[near]]
-        return ids
+        place = self.find(words)
+        return np.where(place < 0, UNK_ID, self._ids[place]).astype(np.int32)
 
     def encode_word(self, word: str) -> list[int]:
         return self.encode_words(pa.array([word])).tolist()
@@ -105,6 +117,25 @@ class WordModel:
         return cls(*(rows[c].combine_chunks() if c == "token" else rows[c].to_numpy() for c in ("token", "id")))
 
 
+class WordLists(HeldWords):
+    """Words with a list of ids each; ``missing`` stands for any other."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array, missing: int):
+        super().__init__(words)
+        self._lists = pa.concat_arrays([ids.take(pa.array(self.order)), pa.array([[missing]], ids.type)])
+        del self.order
+
+    def encode(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The ids of a list<string> array, every distinct word of the batch looked up once; which of its words are missing."""
+        coded = words.flatten().dictionary_encode()
+        place = self.find(coded.dictionary)
+        of_word = coded.indices.to_numpy(zero_copy_only=False)
+        lists = self._lists.take(pa.array(np.where(place < 0, len(self._lists) - 1, place)[of_word]))
+        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+        ids = pa.ListArray.from_arrays(pa.array(ends[_offsets(words)].astype(np.int32)), lists.flatten(), mask=_nulls(words))
+        return ids, (place < 0)[of_word]
+
+
 def _look_up(words: pa.Array, model: WordModel) -> pa.Array:
     """Encode a list<string> array with one id a word; every distinct word of the batch once."""
     if isinstance(words, pa.ChunkedArray):
@@ -164,13 +195,14 @@ def encode_text(spark: SparkSession, model: Model, text: Column, special: bool =
 def encode_documents(docs: DataFrame, model: Model | DataFrame, key: Sequence[str], text: Column,
                      max_broadcast: int = MAX_HELD_WORDS) -> DataFrame:
     """``(key, ids)`` with a model, or with a word vocabulary table ``(id,
-    token)`` of any size: shipped to the tasks when its counted size allows it,
-    joined otherwise."""
+    token)`` of any size: shipped to the tasks when its counted size allows it. Of a larger one the first ``max_broadcast`` ids, which are the
+    frequent words, are shipped, and only the words behind them joined."""
     spark = docs.sparkSession
     if isinstance(model, DataFrame):
         if model.count() > max_broadcast:
             lookup = model.where(F.col("id") >= FIRST_ID).select(F.col("token").alias("word"), F.array("id").alias("ids"))
-            return encode_by_join(docs, lookup, key, text, min(max_broadcast, MAX_BROADCAST_WORDS))
+            near = lookup.where(F.col("ids")[0] < min(max_broadcast, MAX_HELD_LISTS))
+            return encode_by_join(docs, lookup, key, text, min(max_broadcast, MAX_BROADCAST_WORDS), known=near)
         model = WordModel.from_table(model, max_broadcast)
     return docs.select(*key, encode_text(spark, model, text).alias("ids"))
 
@@ -180,42 +212,54 @@ def bpe_counter(spark: SparkSession, model: Model):
     return lambda text: F.size(encode_text(spark, model, text)).cast("bigint")
 
 
-def word_ids(words: DataFrame, model: Model) -> DataFrame:
-    """``(word, ids)`` for a table of distinct words."""
+def word_ids(words: DataFrame, model: Model, *carried: str) -> DataFrame:
+    """``(word, ids)`` for a table of distinct words, and its columns ``carried``."""
     shared = words.sparkSession.sparkContext.broadcast(model)
+    rows = words.select("word", *carried)
+    schema = T.StructType([rows.schema["word"], T.StructField("ids", T.ArrayType(T.IntegerType())), *(rows.schema[c] for c in carried)])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_word = shared.value.encode_word
         for batch in batches:
             word = batch.column("word")
             ids = pa.array([encode_word(w) for w in word.to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([word, ids], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([word, ids, *(batch.column(c) for c in carried)], ["word", "ids", *carried])
 
-    return words.select("word").mapInArrow(encode, "word string, ids array<int>")
+    return rows.mapInArrow(encode, schema)
 
 
 def _bits(freq: str) -> Column:
     return F.length(F.bin(freq))
 
 
+def _top(counts: DataFrame, freq: str, most: int) -> DataFrame:
+    """At most ``most`` rows of ``counts``, those of the largest ``freq`` down to a power of two."""
+    least, held = None, 0
+    for bits, n in sorted(counts.groupBy(_bits(freq)).count().collect(), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = 1 << (bits - 1) if bits > 1 else 0
+    return counts.where(F.lit(False) if least is None else F.col(freq) >= least)
+
+
 def frequent_words(docs: DataFrame, table: DataFrame, text: Column, most: int) -> dict[str, list[int]]:
     """Ids of at most ``most`` words, the most frequent ones of ``docs`` down to a power of two; words that ``table`` lacks are
     unknown. Only the words chosen reach the driver."""
     tables = Tables(docs.sparkSession)
     words = docs.select(F.explode(tokens(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    counts = tables.freeze(words, "word-counts")
-    least, held = None, 0
-    for bits, n in sorted(counts.groupBy(_bits("freq")).count().collect(), reverse=True):
-        held += n
-        if held > most:
-            break
-        least = 1 << (bits - 1)
-    chosen = counts.where(F.lit(False) if least is None else F.col("freq") >= least)
+    chosen = _top(tables.freeze(words, "word-counts"), "freq", most)
     rows = chosen.join(table, "word", "left").select("word", F.coalesce("ids", F.array(F.lit(UNK_ID))).alias("ids")).toArrow()
     tables.drop()
     return dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist()))
 
 
+def word_lists(rows: pa.Table, missing: int) -> WordLists:
+    """``(word, ids)`` as arrays."""
+    word, ids = (rows[c].combine_chunks() for c in ("word", "ids"))
+    return WordLists(word.cast(pa.string()), ids.cast(pa.list_(pa.int32())), missing)
+
+
 def _offsets(lists: pa.Array) -> np.ndarray:
     """Where each row's entries begin in ``lists.flatten()``, and their end."""
     return np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))))
@@ -225,18 +269,22 @@ def _nulls(lists: pa.Array) -> pa.Array | None:
     return lists.is_null() if lists.null_count else None
 
 
-def _encode_frequent(words: pa.Array, known: dict[str, list[int]]) -> pa.Array:
+def _encode_frequent(words: pa.Array, known: WordLists) -> pa.Array:
     """``ids`` of a list<string> array with ``_GAP`` for each word that is not known, and those words in order."""
-    ids = _encode_lists(words, lambda word: known.get(word, [_GAP]), {})
-    flat = words.flatten()
-    coded = flat.dictionary_encode()
-    rare = np.fromiter((word not in known for word in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
-    is_rare = rare[coded.indices.to_numpy(zero_copy_only=False)]
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    ids, is_rare = known.encode(words)
     ends = np.concatenate(([0], np.cumsum(is_rare)))[_offsets(words)].astype(np.int32)
-    gaps = pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(is_rare)), mask=_nulls(words))
+    gaps = pa.ListArray.from_arrays(pa.array(ends), words.flatten().filter(pa.array(is_rare)), mask=_nulls(words))
     return pa.StructArray.from_arrays([ids, gaps], ["ids", "gaps"])
 
 
+def _with_special(table: DataFrame) -> DataFrame:
+    """``(word, ids)`` with the ids that special tokens have everywhere."""
+    special = table.sparkSession.createDataFrame([(t, [i]) for t, i in SPECIAL_IDS.items()], "word string, ids array<int>")
+    return table.where(~F.col("word").isin(*SPECIAL_TOKENS)).select("word", "ids").unionByName(special)
+
+
 def _fill_ids(ids: pa.Array, found: pa.Array) -> pa.Array:
     """``ids`` with the lists of ``found`` in place of the gaps."""
     flat, pieces = ids.flatten().to_numpy(zero_copy_only=False), found.flatten()
@@ -265,20 +313,24 @@ def _parted(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 
 
 def encode_by_join(docs: DataFrame, table: DataFrame, key: Sequence[str], text: Column,
-                   max_broadcast: int = MAX_BROADCAST_WORDS, most_frequent: int | None = None) -> DataFrame:
-    """``(key, ids)`` by looking words up in ``table (word, ids)`` of any size; ids are not negative. The words that are frequent in
-    ``docs`` (at most ``most_frequent``, ``FREQUENT_WORDS`` by default) are encoded in the tasks that read the texts. Only the others are shuffled,
+                   max_broadcast: int = MAX_BROADCAST_WORDS, most_frequent: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """``(key, ids)`` by looking words up in ``table (word, ids)`` of any size; ids are not negative. The words of ``known``, rows of ``table``
+    that tasks can hold, or else those that are frequent in ``docs`` (at most ``most_frequent``, ``FREQUENT_WORDS`` by default), are
+    encoded in the tasks that read the texts. Only the others are shuffled,
     each occurrence as one row, and come back to their row; no key of that join is hot. The table is broadcast to it
     when its counted size allows it. A NULL text has NULL ids; rows that repeat a key and text stay as many rows."""
     spark = docs.sparkSession
-    special = spark.createDataFrame([(t, [i]) for t, i in SPECIAL_IDS.items()], "word string, ids array<int>")
-    ordinary = table.where(~F.col("word").isin(*SPECIAL_TOKENS)).select("word", "ids")
-    table = ordinary.unionByName(special)
-    known = spark.sparkContext.broadcast(frequent_words(docs, table, text, FREQUENT_WORDS if most_frequent is None else most_frequent))
+    table = _with_special(table)
+    if known is None:
+        frequent = frequent_words(docs, table, text, FREQUENT_WORDS if most_frequent is None else most_frequent)
+        rows = pa.table({"word": pa.array(frequent.keys(), pa.string()), "ids": pa.array(frequent.values(), pa.list_(pa.int32()))})
+    else:
+        rows = _with_special(known).toArrow()
+    held = spark.sparkContext.broadcast(word_lists(rows, _GAP))
 
     @F.arrow_udf("ids array<int>, gaps array<string>")
     def encode(words: pa.Array) -> pa.Array:
-        return _encode_frequent(words, known.value)
+        return _encode_frequent(words, held.value)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def fill(ids: pa.Array, found: pa.Array) -> pa.Array:
@@ -296,7 +348,8 @@ def encode_by_join(docs: DataFrame, table: DataFrame, key: Sequence[str], text:
 class WordTable:
     """Ids of words as a stored table that only grows: each word is encoded once, when a corpus first has it.
 
-    ``path`` holds one folder per extension, ``part=n``, of ``(word, ids)``; a folder counts once Spark has committed it. The folder ``model``
+    ``path`` holds one folder per extension, ``part=n``, of ``(word, ids, docs)``, with the number of documents that had the word then;
+    a folder counts once Spark has committed it. The folder ``model``
     names the model by a digest, so ids of two models do not mix. One run extends a table at a time."""
 
     def __init__(self, spark: SparkSession, path: str, model: Model):
@@ -311,21 +364,35 @@ class WordTable:
     def _parts(self) -> list[str]:
         return [f"{self._path}/{name}" for name in committed(self._spark, self._path) if name.startswith("part=")]
 
+    def _stored(self) -> DataFrame:
+        parts, schema = self._parts(), "word string, ids array<int>, docs bigint"
+        return self._spark.read.schema(schema).parquet(*parts) if parts else self._spark.createDataFrame([], schema)
+
     def words(self) -> DataFrame:
         """``(word, ids)`` of all words so far."""
-        parts, schema = self._parts(), "word string, ids array<int>"
-        return self._spark.read.schema(schema).parquet(*parts) if parts else self._spark.createDataFrame([], schema)
+        return self._stored().select("word", "ids")
 
     def extend(self, docs: DataFrame, text: Column) -> int:
         """Encode the words of ``docs`` that the table lacks; how many there were."""
-        found = docs.select(F.explode(F.array_distinct(tokens(text))).alias("word")).distinct()
+        found = docs.select(F.explode(F.array_distinct(tokens(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
         place = f"{self._path}/part={len(self._parts()):06d}"
-        word_ids(found.join(self.words(), "word", "left_anti"), self._model).write.mode("overwrite").parquet(place)
+        word_ids(found.join(self.words(), "word", "left_anti"), self._model, "docs").write.mode("overwrite").parquet(place)
         return self._spark.read.parquet(place).count()
 
-    def encode(self, docs: DataFrame, key: Sequence[str], text: Column, max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
-        """``(key, ids)`` from the table alone; ``extend`` comes first."""
-        return encode_by_join(docs, self.words(), key, text, max_broadcast)
+    def encode(self, docs: DataFrame, key: Sequence[str], text: Column, max_broadcast: int = MAX_BROADCAST_WORDS,
+               max_held: int = MAX_HELD_LISTS) -> DataFrame:
+        """``(key, ids)`` from the table alone; ``extend`` comes first. Tasks hold the words of most documents, at most ``max_held``;
+        if these are not all, the other words are joined."""
+        stored = self._stored().withColumn("docs", F.coalesce("docs", F.lit(0)))
+        if stored.count() > max_held:
+            return encode_by_join(docs, self.words(), key, text, max_broadcast, known=_top(stored, "docs", max_held))
+        held = self._spark.sparkContext.broadcast(word_lists(_with_special(stored).toArrow(), UNK_ID))
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def encode(words: pa.Array) -> pa.Array:
+            return held.value.encode(words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words)[0]
+
+        return docs.select(*key, encode(tokens(text)).alias("ids"))
 
 
 def append_eos(ids: Column, eos_id: int | None = EOS_ID) -> Column:
