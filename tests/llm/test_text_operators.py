@@ -141,6 +141,25 @@ def test_near_duplicate_chain(spark, docs_of):
     assert got == {d: c for d, (_, c) in brute.near(rows).items()} and got[19] == 0
 
 
+def test_documents_of_a_group_move_once_for_many_pairs(spark, docs_of, monkeypatch):
+    """Of many documents that are close and not linked, each goes to a few parts, not to every pair."""
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base + [f"v{i}_{j}" for j in range(30)])) for i in range(60)] + [(100, " ".join(base)), (101, " ".join(base[:70]))]
+    want, moved, in_parts = {d: c for d, (_, c) in brute.near(rows).items()}, [], near_dups._in_parts
+
+    def counted(pairs, docs, judge, schema):
+        own = pairs.collect()
+        moved.append((len(own), len({(r.part, d) for r in own for d in (r.a, r.b)})))
+        return in_parts(pairs, docs, judge, schema)
+
+    monkeypatch.setattr(near_dups, "_in_parts", counted)
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows)).collect()} == want
+    assert sum(n for n, _ in moved) > 5 * sum(n for _, n in moved)
+    monkeypatch.setattr(near_dups, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(near_dups, "PAIRS_AT_ONCE", 7)
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows)).collect()} == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

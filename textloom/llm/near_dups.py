@@ -8,8 +8,10 @@
    other components, unless their set sizes alone rule a link out. Each round has ``MORE`` times the hubs, and a bucket is done when its members
    that never were a hub are in one component, so no pair of a bucket stays unjudged.
 4. Packed signatures give the estimate ``(m - c) / (1 - c)``, with ``m`` the share of equal values by
-   bit counts and ``c = 2^-BITS`` the chance of equal bits; pairs far below the threshold
-   (``DEVIATIONS`` standard deviations) go.
+   counts and ``c = 2^-BITS`` the chance of equal bits; pairs far below the threshold
+   (``DEVIATIONS`` standard deviations) go. Signatures are not joined to pairs: documents of a neighbourhood lie in one or more
+   *blocks*, and a part of block pairs gets the signature of each of its documents once, for all its pairs. So
+   what moves grows with the documents of a large group and its blocks, not with its pairs; the same holds for sets.
 5. The rest is confirmed on the full sets, in the first round each document's best pair before the others; pairs
    that are already connected need no second look. Components are labels in written tables.
 """
@@ -17,16 +19,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.words import LOWER_BLANKS, WordRule, find_words, mix, pieces, runs
+from textloom.llm.words import LOWER_BLANKS, PIECE, WordRule, find_words, mix, pieces, runs
 from textloom.workspace import Tables, freeze, temporary_tables
 
 SHINGLE = 5
@@ -35,6 +37,9 @@ BANDS, BAND_ROWS = 64, 5
 DEVIATIONS = 5.5
 MORE = 8
 PERCENT = 75
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+PART_PAIRS, PART_SHINGLES = 1 << 19, 1 << 20
+PAIRS_AT_ONCE = 1 << 14
 _SEEDS = np.random.default_rng(5)
 _FACTORS = _SEEDS.integers(1 << 31, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _SHIFTS = _SEEDS.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -106,34 +111,62 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "codes"])
 
 
-def _judge(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch, "codes_a", also="codes_b"):
-            n, row, code = part.num_rows, [], []
-            for side in ("codes_a", "codes_b"):
-                row.append(np.repeat(np.arange(n), np.asarray(pc.binary_length(part.column(side))) // 8))
-                code.append(np.frombuffer(b"".join(part.column(side).to_pylist()), np.uint64))
-            row, code = np.concatenate(row), np.concatenate(code)
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order]
-            common = np.bincount(row[1:][(row[1:] == row[:-1]) & (code[1:] == code[:-1])], minlength=n)
-            union = np.bincount(row, minlength=n) - common
-            linked = pa.array((union > 0) & (100 * common >= percent * union))
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(linked), part.column("b").filter(linked)], ["a", "b"])
-
-
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from two packed signatures, corrected for equal bits by chance. Each differing
-    byte is folded to one bit, and bits are counted."""
-    def differing(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        for shift in (4, 2, 1):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
-        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
-
-    unlike = F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda n, d: n + d)
-    chance = 2.0 ** -BITS
-    return ((1 - unlike / HASHES) - chance) / (1 - chance)
+def _sides(pairs: pa.Table, docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair number and the two rows of ``docs``, for all rows of the pair's documents: a doc_id may have several."""
+    ids = np.asarray(docs.column("doc_id"))
+    order = np.argsort(ids, kind="stable")
+    first, n = {}, {}
+    for side in ("a", "b"):
+        wanted = np.asarray(pairs.column(side))
+        first[side] = np.searchsorted(ids, wanted, "left", order)
+        n[side] = np.searchsorted(ids, wanted, "right", order) - first[side]
+    each = n["a"] * n["b"]
+    pair = np.repeat(np.arange(len(each)), each)
+    nth = np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)
+    return pair, order[first["a"][pair] + nth // n["b"][pair]], order[first["b"][pair] + nth % n["b"][pair]]
+
+
+def _likely(pairs: pa.Table, docs: pa.Table, least: float) -> pa.Table:
+    """Pairs whose estimate from the packed signatures, corrected for equal bits by chance, is high enough."""
+    pair, x, y = _sides(pairs, docs)
+    signatures = np.asarray(docs.column("signature").combine_chunks().flatten()).view(np.uint8).reshape(-1, HASHES)
+    like = np.empty(len(pair))
+    for at in range(0, len(pair), PAIRS_AT_ONCE):
+        own = slice(at, at + PAIRS_AT_ONCE)
+        unlike = np.count_nonzero(signatures[x[own]] != signatures[y[own]], axis=1)
+        like[own] = ((1 - unlike / HASHES) - 2.0 ** -BITS) / (1 - 2.0 ** -BITS)
+    keep = like >= least
+    return pairs.select(["part", "a", "b"]).take(pa.array(pair[keep])).append_column("likely", pa.array(like[keep]))
+
+
+def _linked(pairs: pa.Table, docs: pa.Table, percent: int) -> pa.Table:
+    """Pairs whose sets are similar enough."""
+    pair, x, y = _sides(pairs, docs)
+    codes = docs.column("codes").combine_chunks()
+    size = np.asarray(pc.binary_length(codes)).astype(np.int64) // 8
+    ends = np.cumsum(size[x] + size[y])
+    found, at = [np.zeros(0, np.int64)], 0
+    while at < len(pair):
+        # A piece of the pairs, or one where that has more.
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE // 8, "right")))
+        row, code = [], []
+        for side in (x[at:upto], y[at:upto]):
+            row.append(np.repeat(np.arange(upto - at), size[side]))
+            code.append(np.frombuffer(b"".join(codes.take(pa.array(side)).to_pylist()), np.uint64))
+        row, code = np.concatenate(row), np.concatenate(code)
+        order = np.lexsort((code, row))
+        row, code = row[order], code[order]
+        common = np.bincount(row[1:][(row[1:] == row[:-1]) & (code[1:] == code[:-1])], minlength=upto - at)
+        union = np.bincount(row, minlength=upto - at) - common
+        found.append(pair[at:upto][(union > 0) & (100 * common >= percent * union)])
+        at = upto
+    return pairs.select(["a", "b"]).take(pa.array(np.concatenate(found)))
+
+
+def _in_parts(pairs: DataFrame, docs: DataFrame, judge: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``judge`` for each part's ``pairs`` (``part``, ``a``, ``b``) and the rows of ``docs`` that they name, each once."""
+    wanted = pairs.select(F.col("part").alias("of_part"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return pairs.groupBy("part").cogroup(wanted.join(docs, "doc_id").groupBy("of_part")).applyInArrow(judge, schema)
 
 
 def _least_estimate(percent: int) -> float:
@@ -189,33 +222,42 @@ def _labels(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent
     while True:
         old = [path for path in kept.paths if path != labels_at]
         open_members = labelled(members, "doc_id", "label")
-        mixed = open_members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        mixed = open_members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("first")).where(
+            "lo <> hi").select("bucket", "first")
         members = kept.freeze(open_members.join(mixed, "bucket"), "members")
         kept.drop(old)
         if members.isEmpty():
             return labels
+        blocks = kept.freeze(_blocks(members), "blocks")
+        old = kept.paths[-2:]
+        members = kept.freeze(members.drop("first").join(blocks.select("doc_id", "block"), "doc_id"), "members")
+        shingles = blocks.agg(F.sum("size")).first()[0]
+        kept.drop(old)
         turn = F.xxhash64("doc_id", "bucket")
         hubs = members.groupBy("bucket", F.pmod(turn, F.lit(hubs_each)).alias("slot")).agg(
-            F.min_by(F.struct(F.col("doc_id").alias("hub"), F.col("label").alias("hub_label"), F.col("least").alias("hub_least"), F.col("most").alias("hub_most")), F.struct(turn, "doc_id")).alias("h"),
+            F.min_by(F.struct(F.col("doc_id").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("label", "least", "most", "block")]),
+                     F.struct(turn, "doc_id")).alias("h"),
         ).select("bucket", "h.*")
         # The smaller set's share of the larger one bounds the share in common: no link is lost by it.
         near_size = (100 * F.col("most") >= percent * F.col("hub_least")) & (100 * F.col("hub_most") >= percent * F.col("least"))
-        met = members.join(hubs, "bucket").where((F.col("label") != F.col("hub_label")) & near_size).select(
-            F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-        sig = lambda side: signatures.select(F.col("doc_id").alias(side), F.col("signature").alias(f"sig_{side}"))
-        judged = met.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", estimate(F.col("sig_a"), F.col("sig_b")).alias("likely"))
         known = labels
         with temporary_tables(spark):
-            pairs = freeze(judged.where(F.col("likely") >= _least_estimate(percent)), "pairs")
+            met = freeze(members.join(hubs, "bucket").where((F.col("label") != F.col("hub_label")) & near_size).select(
+                F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"),
+                F.xxhash64(F.least("block", "hub_block"), F.greatest("block", "hub_block")).alias("blocks")).distinct(), "met")
+            parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met.count() // PART_PAIRS), -(-shingles // PART_SHINGLES))
+            met = met.select(F.pmod("blocks", F.lit(parts)).cast("int").alias("part"), "a", "b")
+            least = _least_estimate(percent)
+            pairs = freeze(_in_parts(met, signatures, lambda p, d: _likely(p, d, least), "part int, a bigint, b bigint, likely double"), "pairs")
             if not pairs.isEmpty():
                 ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
                 sets = freeze(texts.join(ids, "doc_id").mapInArrow(_set_rows, "doc_id bigint, codes binary"), "sets")
-                rest = pairs.select("a", "b")
+                rest = pairs.select("part", "a", "b").distinct()
                 if labels is None:
-                    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("likely", -F.col("a"))).alias("a"))
+                    best = pairs.groupBy("b").agg(F.max_by(F.struct("part", "a"), F.struct("likely", -F.col("a"))).alias("p")).select("p.*", "b")
                     labels = components(_confirm(best, sets, percent))
                     rest = labelled(labelled(rest.join(best, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb")
-                found = _confirm(rest.select("a", "b"), sets, percent)
+                found = _confirm(rest.select("part", "a", "b"), sets, percent)
                 if not found.isEmpty():
                     # A label is a link to the smallest document, and stands for all links so far.
                     labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
@@ -223,12 +265,20 @@ def _labels(texts: DataFrame, signatures: DataFrame, members: DataFrame, percent
                 labels = kept.freeze(labels, "labels")
                 labels_at = kept.paths[-1]
         # Pairs with a hub are judged; what remains are pairs of documents that were none.
-        members = members.drop("label").join(hubs.select("bucket", F.col("hub").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
+        members = members.drop("label", "block").join(hubs.select("bucket", F.col("hub").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
         hubs_each *= MORE
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """``(doc_id, size, block)``: documents with the same least neighbour in their buckets lie in one block, or in several of bounded
+    size. Any blocks give the same links; good ones let the documents of a part share their pairs."""
+    docs = members.groupBy("doc_id").agg(F.min("first").alias("head"), F.max("most").cast("bigint").alias("size"))
+    cuts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    heads = docs.groupBy("head").agg(cuts.alias("cuts"))
+    return docs.join(heads, "head").select(
+        "doc_id", "size", F.xxhash64("head", F.pmod(F.xxhash64("doc_id"), F.col("cuts"))).alias("block"))
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` whose full sets are similar enough."""
-    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("codes").alias(f"codes_{name}"))
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "codes_a", "codes_b")
-    return freeze(both.mapInArrow(lambda batches: _judge(batches, percent), "a bigint, b bigint"), "links")
+    return freeze(_in_parts(pairs, sets, lambda p, d: _linked(p, d, percent), "a bigint, b bigint"), "links")
