@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import toxicity
+from textloom.llm import language_model, toxicity
 from textloom.llm.language_model import backoff_scores
 
 rng = random.Random(6)
@@ -106,3 +106,20 @@ def test_nothing_to_learn_from(spark, docs_of):
     model = toxicity.train(docs_of([(1, "a")]), labels)
     assert [r.likely for r in toxicity.score_documents(docs_of([(1, "a"), (2, None)]), model, "likely").collect()] == [0.0, 0.0]
     assert toxicity.score_documents(docs_of([]), model).count() == 0
+
+
+def test_pairs_travel_as_two_word_numbers():
+    """Pairs of held words need no digest and no counts; each pair is found again from the numbers."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(rng.choice(words, 100)) for _ in range(200)]
+    rows = pa.RecordBatch.from_pydict({"row_key": pa.array(range(200), pa.int64()), "text": pa.array(texts), "fold": pa.array([i % 2 for i in range(200)], pa.int32())})
+    counted = pa.Table.from_batches(language_model._count_words(iter([rows])))
+    codes = np.asarray(counted.column("code").combine_chunks()).view(np.uint64)
+    both = np.stack([np.asarray(counted.column(c).combine_chunks()) for c in ("c0", "c1")])
+    by_number = np.argsort(-both.sum(0), kind="stable").astype(np.int32)
+    lexicon = language_model.Lexicon(codes, both, np.full(len(codes), -1), both.sum(1), np.argsort(by_number).astype(np.int32), by_number)
+    sent = pa.Table.from_batches(language_model._pair_rows(iter([rows]), lexicon, 1))
+    n = sum(sent.column("n").to_pylist())
+    assert n > 15_000
+    assert sum(len(v) for c in ("row_key", "first", "second") for v in sent.column(c).to_pylist()) < 6 * n and sent.num_columns == 5

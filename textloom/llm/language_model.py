@@ -14,7 +14,8 @@ and a document's score is the mean logarithm of its words' S; the first word has
 2. Pairs of the ``FREQUENT`` most frequent words are counted in a dense table (``FREQUENT`` squared entries
    at most) and scored where they are read. A pair is no more frequent than its rarer word, so
    no pair that is left is hot.
-3. All other pairs whose two words the other fold has are dealt out by hash, as packed columns. Each part counts its pairs in
+3. All other pairs whose two words the other fold has are dealt out by hash, as packed columns: the numbers of both words by
+   frequency if the tasks hold the words' table, else a digest and both counts. Each part counts its pairs in
    both folds and joins the counts back to the pairs by sorting; gains are summed per document and part, dealt out by document, and summed again.
 """
 
@@ -38,25 +39,28 @@ MOST_WORDS = 6_000_000
 FREQUENT = 512
 PAIRS_PER_PART = 4_000_000
 PAIRS_AT_ONCE = 1_000_000
-_PAIRS = "part int, n int, pair binary, row_key binary, first binary, second binary"
+_PAIRS = "part int, n int, row_key binary, first binary, second binary"
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Words of both folds by code; ``counts`` has a row per fold. ``rank`` is the place among the frequent words, else -1."""
+    """Words of both folds by code; ``counts`` has a row per fold. ``rank`` is the place among the frequent words, else -1;
+    ``number`` is 0 for the most frequent word and counts on, ``by_number`` the words in that order."""
 
     codes: np.ndarray
     counts: np.ndarray
     rank: np.ndarray
     totals: np.ndarray
+    number: np.ndarray
+    by_number: np.ndarray
 
-    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts in fold 0 and fold 1, and the rank, of each code."""
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counts in fold 0 and fold 1, the rank, and the number of each code; a word that is not held has the number 0."""
         if not len(self.codes):
-            return np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64), np.full(len(codes), -1)
+            return np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64), np.full(len(codes), -1), np.zeros(len(codes), np.int32)
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         known = self.codes[at] == codes
-        return np.where(known, self.counts[0][at], 0), np.where(known, self.counts[1][at], 0), np.where(known, self.rank[at], -1)
+        return np.where(known, self.counts[0][at], 0), np.where(known, self.counts[1][at], 0), np.where(known, self.rank[at], -1), np.where(known, self.number[at], 0)
 
 
 @dataclass
@@ -69,6 +73,7 @@ class Text:
     count: np.ndarray  # in the other fold
     rank: np.ndarray
     first: np.ndarray
+    number: np.ndarray | None = None  # in the held lexicon
 
 
 def _texts(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[tuple[pa.RecordBatch, Text]]:
@@ -85,9 +90,9 @@ def _texts(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[tupl
         for part in pieces(batch, "text"):
             words = find_words(part.column("text"), LOWER_BLANKS)
             row = words.text_of()
-            c0, c1, rank = lexicon.find(words.codes)
+            c0, c1, rank, number = lexicon.find(words.codes)
             fold = np.asarray(part.column("fold"))[row]
-            yield part, Text(row, words.codes, fold, np.where(fold == 0, c1, c0), rank, words.first)
+            yield part, Text(row, words.codes, fold, np.where(fold == 0, c1, c0), rank, words.first, number)
 
 
 def _pairs(t: Text) -> np.ndarray:
@@ -166,30 +171,41 @@ def _pair_rows(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, parts: int)
         """Many pairs at once, so that each part's share is worth compressing."""
         columns = {name: np.concatenate([w[name] for w in waiting]) for name in waiting[0]}
         waiting.clear()
-        return by_part((columns["pair"] % np.uint64(parts)).astype(np.int32), columns)
+        return by_part(columns.pop("part"), columns)
 
     for part, t in _texts(batches, lexicon):
         at = _pairs(t)
         at = at[(t.rank[at] < 0) | (t.rank[at - 1] < 0)]
         pair = mix(t.codes[at - 1] * np.uint64(3) + mix(t.codes[at]))
-        first = np.where(t.fold[at] == 1, -t.count[at - 1], t.count[at - 1])  # the sign tells the fold
-        waiting.append({"pair": pair, "row_key": np.asarray(part.column("row_key"))[t.row[at]],
-                        "first": first.astype(np.int64), "second": t.count[at].astype(np.int64)})
-        if sum(len(w["pair"]) for w in waiting) >= PAIRS_AT_ONCE:
+        columns = {"part": (pair % np.uint64(parts)).astype(np.int32), "row_key": np.asarray(part.column("row_key"))[t.row[at]]}
+        if t.number is not None:
+            # Both numbers name the pair, and its words' counts are known where it is counted. The lowest bit tells the fold.
+            columns |= {"first": t.number[at - 1].astype(np.uint32) * np.uint32(2) + t.fold[at].astype(np.uint32), "second": t.number[at].astype(np.uint32)}
+        else:
+            first = np.where(t.fold[at] == 1, -t.count[at - 1], t.count[at - 1])  # the sign tells the fold
+            columns |= {"pair": pair, "first": first.astype(np.int64), "second": t.count[at].astype(np.int64)}
+        waiting.append(columns)
+        if sum(len(w["part"]) for w in waiting) >= PAIRS_AT_ONCE:
             yield dealt()
     if waiting:
         yield dealt()
 
 
-def _join_counts(group: pa.Table, totals: np.ndarray, parts: int) -> pa.Table:
+def _join_counts(group: pa.Table, lexicon: Lexicon, parts: int) -> pa.Table:
     """Counts of this part's pairs, joined to the pairs and summed per row; the sums dealt out by row."""
-    pair, row_key, first, second = (gathered(group, n, k) for n, k in (
-        ("pair", np.uint64), ("row_key", np.int64), ("first", np.int64), ("second", np.int64)))
-    fold = (first < 0).astype(np.int64)
+    row_key, totals = gathered(group, "row_key", np.int64), lexicon.totals
+    if "pair" in group.column_names:
+        pair, first, second = (gathered(group, n, k) for n, k in (("pair", np.uint64), ("first", np.int64), ("second", np.int64)))
+        fold, first = (first < 0).astype(np.int64), np.abs(first)
+    else:
+        one, two = (gathered(group, n, np.uint32) for n in ("first", "second"))
+        fold, one = (one & np.uint32(1)).astype(np.int64), one >> np.uint32(1)
+        pair = (one.astype(np.uint64) << np.uint64(32)) | two
+        first, second = (lexicon.counts[1 - fold, lexicon.by_number[n]] for n in (one, two))
     codes, number = np.unique(pair, return_inverse=True)
     other = np.stack([np.bincount(number[fold == f], minlength=len(codes)) for f in (1, 0)])[fold, number]
     found = other > 0
-    gain = _gain(other[found], np.abs(first[found]), second[found], totals[1 - fold[found]].astype(np.float64))
+    gain = _gain(other[found], first[found], second[found], totals[1 - fold[found]].astype(np.float64))
     keys, number = np.unique(row_key[found], return_inverse=True)
     return pa.Table.from_batches([by_part((keys.view(np.uint64) % np.uint64(parts)).astype(np.int32), {
         "row_key": keys, "gain": np.bincount(number, gain, len(keys)).astype(np.float64), "found": np.bincount(number, minlength=len(keys)).astype(np.int64)})])
@@ -225,7 +241,11 @@ def backoff_scores(docs: DataFrame, most_words: int = MOST_WORDS, frequent: int
         order = np.argsort(codes)
         rank = np.full(len(codes), -1, np.int32)
         rank[np.searchsorted(codes[order], top_codes.view(np.uint64))] = np.arange(len(top))
-        lexicon = Lexicon(codes[order], np.stack([np.asarray(held.column(c).combine_chunks())[order] for c in ("c0", "c1")]), rank, totals)
+        both = np.stack([np.asarray(held.column(c).combine_chunks())[order] for c in ("c0", "c1")])
+        by_number = np.argsort(-both.sum(0), kind="stable").astype(np.int32)
+        number = np.empty_like(by_number)
+        number[by_number] = np.arange(len(by_number), dtype=np.int32)
+        lexicon, pair_rows = Lexicon(codes[order], both, rank, totals, number, by_number), _PAIRS
     else:
         ranks = spark.createDataFrame([(int(c), i) for i, c in enumerate(top_codes)], "code bigint, rank int")
         known = shared.join(F.broadcast(ranks), "code", "left")
@@ -237,7 +257,8 @@ def backoff_scores(docs: DataFrame, most_words: int = MOST_WORDS, frequent: int
         rows = freeze(rows.drop("text").join(joined, "row_key", "left").select(
             "doc_id", "fold", "row_key", F.coalesce("w.code", nothing).alias("codes"),
             *[F.coalesce(f"w.{n}", nothing).alias(n) for n in ("c0", "c1", "rank")]), "joined")
-        lexicon = Lexicon(np.zeros(0, np.uint64), np.zeros((2, 0), np.int64), np.zeros(0, np.int64), totals)
+        lexicon = Lexicon(np.zeros(0, np.uint64), np.zeros((2, 0), np.int64), np.zeros(0, np.int64), totals, np.zeros(0, np.int32), np.zeros(0, np.int32))
+        pair_rows = "part int, n int, row_key binary, pair binary, first binary, second binary"
     model = sc.broadcast(lexicon)
     # At most frequent * frequent * 2 rows.
     dense = np.zeros(frequent * frequent * 2, np.int64)
@@ -247,8 +268,8 @@ def backoff_scores(docs: DataFrame, most_words: int = MOST_WORDS, frequent: int
     base = freeze(rows.mapInArrow(lambda b: _base(b, model.value, table.value),
                                   "doc_id bigint, row_key bigint, n_words bigint, base double, n_frequent bigint"), "base")
     parts = max(-(-words // pairs_per_part), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    gains = rows.mapInArrow(lambda b: _pair_rows(b, model.value, parts), _PAIRS).groupBy("part").applyInArrow(
-        lambda g: _join_counts(g, model.value.totals, parts), "part int, n int, row_key binary, gain binary, found binary")
+    gains = rows.mapInArrow(lambda b: _pair_rows(b, model.value, parts), pair_rows).groupBy("part").applyInArrow(
+        lambda g: _join_counts(g, model.value, parts), "part int, n int, row_key binary, gain binary, found binary")
     summed = freeze(gains.groupBy("part").applyInArrow(_sum_rows, "row_key bigint, gain double, n bigint"), "gains")
     # Repeated rows have one key and so one sum for all of them.
     times = base.groupBy("row_key").agg(F.count(F.lit(1)).alias("times"))
