@@ -37,7 +37,7 @@ BANDS, BAND_ROWS = 64, 5
 DEVIATIONS = 5.5
 MORE = 8
 PERCENT = 75
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 64, 1 << 18
 PART_PAIRS, PART_SHINGLES = 1 << 19, 1 << 20
 PAIRS_AT_ONCE = 1 << 14
 _SEEDS = np.random.default_rng(5)
